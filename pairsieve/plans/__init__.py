@@ -4,7 +4,7 @@ from importlib import import_module
 
 MODULES = (
     "scalar",
-    "contracts",
+    # "contracts",
 )
 
 
