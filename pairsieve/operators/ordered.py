@@ -14,6 +14,8 @@ at most ``width`` rows. For md5 text the bucket is a digit prefix.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,30 +105,32 @@ def previous(
 
 
 def smallest_by_digest(
-    df: DataFrame, keys: list[str], digest: str, quota: DataFrame, size: str, digits: int = PREFIX_DIGITS
+    df: DataFrame,
+    keys: list[str],
+    digest: str,
+    size: Callable[[Column], Column],
+    digits: int = PREFIX_DIGITS,
 ) -> DataFrame:
-    """The ``size`` rows with the smallest digests in each key: an exact-size random subset.
+    """Exact-size random subset: the rows with the smallest digests in each key.
 
-    ``quota`` holds one row per key with the wanted size. A histogram over
-    digest prefixes finds the prefix at which the quota is reached; prefixes
-    below it are taken whole and only rows of that one prefix are ranked.
+    ``size`` maps the row count of a key to the wanted number. A histogram
+    over digest prefixes finds the prefix at which that number is reached;
+    prefixes below it are taken whole and only rows of that one prefix are
+    ranked, so no key is ever sorted as a whole.
     """
     base = df.withColumn("_p", prefix_of(digest, digits))
     hist = base.groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    by_prefix = Window.partitionBy(*keys).orderBy("_p")
     cut = (
-        hist.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
-        .join(quota.select(*keys, size), keys)
-        .withColumn("_need", F.col(size) - F.col("_before"))
+        hist.select(
+            *keys, "_p", "_n",
+            F.coalesce(F.sum("_n").over(by_prefix.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+            F.sum("_n").over(Window.partitionBy(*keys)).alias("_total"),
+        )
+        .withColumn("_need", size(F.col("_total")) - F.col("_before"))
         .where(F.col("_need") > 0)
         .select(*keys, "_p", "_need", (F.col("_n") <= F.col("_need")).alias("_whole"))
     )
     hit = base.join(cut, [*keys, "_p"])
-    whole = hit.where("_whole").select(*df.columns)
-    partial = (
-        hit.where(~F.col("_whole"))
-        .withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_p").orderBy(digest)))
-        .where(F.col("_r") <= F.col("_need"))
-        .select(*df.columns)
-    )
-    return whole.unionByName(partial)
+    rank = F.row_number().over(Window.partitionBy(*keys, "_p").orderBy(digest))
+    return hit.withColumn("_r", rank).where(F.col("_whole") | (F.col("_r") <= F.col("_need"))).select(*df.columns)

@@ -4,7 +4,8 @@ from importlib import import_module
 
 MODULES = (
     "scalar",
-    # "contracts",
+    "contracts",
+    "reports",
 )
 
 

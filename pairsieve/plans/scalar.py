@@ -39,7 +39,7 @@ def h2(spark, sf):
     return out(q3(views.samples(spark, sf)), capacity=channel.channel_capacity(F.least(c("qber"), F.lit(0.5))))
 
 
-@query("h3_qber_additive", f"SELECT sample_key, {r9(o.q_add())} AS qber FROM v_samples")
+@query("h3_qber_additive", f"SELECT sample_key, {r9(o.q_add(), 13)} AS qber FROM v_samples")
 def h3(spark, sf):
     # 13 digits: the sums are short decimals and would tie at fewer
     return out(q3(views.samples(spark, sf)), nd=13, qber=c("qber"))
@@ -366,7 +366,7 @@ def check_structs(df: DataFrame) -> DataFrame:
     )
 
 
-@query("h29_feasibility_checks", f"SELECT sample_key, check_name, status, round(value, CASE WHEN check_name = 'batch_size' THEN 4 ELSE 13 END) AS value, round(threshold, 13) AS threshold, round(margin, CASE WHEN check_name = 'batch_size' THEN 4 ELSE 13 END) AS margin FROM ({V_CHECK_ROWS})")
+@query("h29_feasibility_checks", f"SELECT sample_key, check_name, status, round(value, nd) AS value, round(threshold, nd) AS threshold, round(margin, nd) AS margin FROM (SELECT *, CASE check_name WHEN 'batch_size' THEN 4 WHEN 'qber' THEN 13 ELSE 9 END AS nd FROM ({V_CHECK_ROWS}))")
 def h29(spark, sf):
     df = check_structs(views.samples(spark, sf)).select("sample_key", F.explode("checks").alias("chk"))
     return df.select(
@@ -374,7 +374,10 @@ def h29(spark, sf):
         c("chk.check").alias("check_name"),
         c("chk.status").alias("status"),
         *[
-            F.when(c("chk.check") == "batch_size", F.round(c(f"chk.{x}"), 4)).otherwise(F.round(c(f"chk.{x}"), 13)).alias(x)
+            F.when(c("chk.check") == "batch_size", F.round(c(f"chk.{x}"), 4))
+            .when(c("chk.check") == "qber", F.round(c(f"chk.{x}"), 13))
+            .otherwise(F.round(c(f"chk.{x}"), 9))
+            .alias(x)
             for x in ("value", "threshold", "margin")
         ],
     )
