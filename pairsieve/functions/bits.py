@@ -16,11 +16,11 @@ def word_index(pos: Column) -> Column:
 
 def packed_word(bit: Column, pos: Column) -> Column:
     """Aggregate: little-endian 64-bit word of the bits whose positions share a word."""
-    return F.bit_or(F.shiftleft(bit.cast("bigint"), (pos % WORD_BITS).cast("int")))
+    return F.bit_or(F.call_function("shiftleft", bit.cast("bigint"), (pos % WORD_BITS).cast("int")))
 
 
 def unpack_bit(word: Column, offset: Column) -> Column:
-    return F.shiftrightunsigned(word, offset.cast("int")).bitwiseAND(F.lit(1).cast("bigint"))
+    return F.call_function("shiftrightunsigned", word, offset.cast("int")).bitwiseAND(F.lit(1).cast("bigint"))
 
 
 def hamming_words(a: Column, b: Column) -> Column:
@@ -29,7 +29,7 @@ def hamming_words(a: Column, b: Column) -> Column:
 
 def packed_byte(bit: Column, pos: Column) -> Column:
     """Aggregate: big-endian byte of the bits whose positions share a byte."""
-    return F.bit_or(F.shiftleft(bit.cast("int"), (7 - pos % 8).cast("int")))
+    return F.bit_or(F.call_function("shiftleft", bit.cast("int"), (7 - pos % 8).cast("int")))
 
 
 def bit_bytes(text: Column) -> Column:

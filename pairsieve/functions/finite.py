@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bounds import bounded_storage_entropy, max_bound_entropy
 from .channel import as_col, binary_entropy
+from .stage import staged
 
 EPS_SEC = 1e-10
 EPS_COR = 1e-6
@@ -79,29 +80,16 @@ def with_finite_key(
     Adds test_bits, key_bits, qber_adj, h_adj, h_min and final_length.
     """
     cost = math.log2(1 / eps_sec) + math.log2(1 / eps_cor)
-    return (
-        df.withColumn("test_bits", F.ceil(F.col(n) * test_fraction))
-        .withColumn("key_bits", F.col(n) - F.col("test_bits"))
-        .withColumn(
-            "qber_adj",
-            F.least(F.lit(0.5), F.col(qber) + finite_size_penalty(F.col("key_bits"), F.col("test_bits"), eps_sec / 4)),
-        )
-        .withColumns(
-            {
-                "h_adj": binary_entropy(F.col("qber_adj")),
-                "h_min": bounded_storage_entropy(F.col(r), F.col(nu)),
-            }
-        )
-        .withColumn(
-            "final_length",
-            F.when(F.col("key_bits") <= 0, F.lit(0).cast("bigint")).otherwise(
-                F.greatest(
-                    F.lit(0).cast("bigint"),
-                    F.floor(F.col("key_bits") * (F.col("h_min") - ec * F.col("h_adj")) - cost),
-                )
-            ),
-        )
+    df = df.withColumn("test_bits", F.ceil(F.col(n) * test_fraction)).withColumn("key_bits", F.col(n) - F.col("test_bits"))
+    penalty = finite_size_penalty(F.col("key_bits"), F.col("test_bits"), eps_sec / 4)
+    df = staged(df, {"qber_adj": F.least(F.lit(0.5), F.col(qber) + penalty)})
+    df = staged(
+        df,
+        {"h_adj": binary_entropy(F.col("qber_adj")), "h_min": bounded_storage_entropy(F.col(r), F.col(nu))},
     )
+    length = F.floor(F.col("key_bits") * (F.col("h_min") - ec * F.col("h_adj")) - cost)
+    zero = F.lit(0).cast("bigint")
+    return df.withColumn("final_length", F.when(F.col("key_bits") <= 0, zero).otherwise(F.greatest(zero, length)))
 
 
 FRACTION_STEPS = 49

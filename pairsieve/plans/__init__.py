@@ -6,6 +6,8 @@ MODULES = (
     "scalar",
     "contracts",
     "reports",
+    "sessions",
+    "keys",
 )
 
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import bits, bounds, channel
+from ..functions.stage import staged
 from ..operators import contracts as rules
 from ..operators import sweep
 from ..sources import views
 from . import oracle as o
 from .common import k, out, tidy
 from .registry import query
-from .scalar import _KM, _TH_EFF, q3
+from .scalar import _KM, _TH_EFF
 
 c = F.col
 
@@ -165,13 +166,15 @@ def b13(spark, sf):
 
 
 def report_rows(df):
-    """Results with the derived report columns, in stages (nothing computed twice)."""
-    return q3(df).withColumns(
+    """Results with the derived report columns, nothing computed twice."""
+    df = staged(df, {"qber": channel.qber_additive(k.channel_fidelity, k.detector_error, k.detection_efficiency, k.dark_count_prob)})
+    return staged(
+        df,
         {
             "distance_km": bounds.efficiency_to_distance(k.detection_efficiency),
             "is_success": c("net_efficiency") > 0,
             "theoretical_eff": bounds.theory_efficiency(c("qber"), k.num_pairs),
-        }
+        },
     ).withColumn("eff_gap", c("theoretical_eff") - c("net_efficiency"))
 
 

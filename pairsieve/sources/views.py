@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bits, channel, finite
+from ..functions.stage import staged
 from ..operators.ordered import positions
 
 
@@ -129,16 +130,12 @@ MARGIN_FLOOR = 1e-6
 
 
 def with_feasibility(df: DataFrame) -> DataFrame:
-    return (
-        df.withColumn(
-            "q_channel",
-            channel.q_channel(
-                F.col("channel_fidelity"), F.col("detector_error"), F.col("detection_efficiency"), F.col("dark_count_prob")
-            ),
-        )
-        .withColumn("q_storage", channel.q_storage(F.col("storage_noise_r")))
-        .withColumn("margin", F.col("q_storage") - F.col("q_channel"))
-        .withColumn("is_feasible", (F.col("margin") > MARGIN_FLOOR) & (F.col("q_channel") <= channel.QBER_HARD_LIMIT))
+    q = channel.q_channel(
+        F.col("channel_fidelity"), F.col("detector_error"), F.col("detection_efficiency"), F.col("dark_count_prob")
+    )
+    df = staged(df, {"q_channel": q, "q_storage": channel.q_storage(F.col("storage_noise_r"))})
+    return df.withColumn("margin", F.col("q_storage") - F.col("q_channel")).withColumn(
+        "is_feasible", (F.col("margin") > MARGIN_FLOOR) & (F.col("q_channel") <= channel.QBER_HARD_LIMIT)
     )
 
 
@@ -174,7 +171,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HASH_BITS = 50
-LEDGER_CAP = 2000
+LEDGER_CAP = 7000
 
 
 def leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
