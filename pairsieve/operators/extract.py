@@ -31,13 +31,18 @@ def seeded_rows(keyed: DataFrame, keys: list[str], seed_bit) -> DataFrame:
     n + m - 1 matrix bits come from the n key rows, so no row explodes into
     a long sequence.
     """
-    key_bits = keyed.select(*keys, "n", "m", (F.col("n") - 1 - F.col("pos")).alias("t"), F.lit(0.0).alias("r"), F.col("bit").cast("double").alias("x"))
-    low = keyed.select(*keys, "n", "m", F.col("pos").alias("t"), seed_bit(F.col("pos")).cast("double").alias("r"), F.lit(0.0).alias("x"))
-    high = (
-        keyed.where(F.col("pos") < F.col("m") - 1)
-        .select(*keys, "n", "m", (F.col("pos") + F.col("n")).alias("t"), seed_bit(F.col("pos") + F.col("n")).cast("double").alias("r"), F.lit(0.0).alias("x"))
+    n, m, pos = F.col("n"), F.col("m"), F.col("pos")
+
+    def number(t: Column, r: Column, x: Column) -> Column:
+        return F.struct(t.alias("t"), r.cast("double").alias("r"), x.cast("double").alias("x"))
+
+    none = F.lit(0.0)
+    numbers = F.array(
+        number(n - 1 - pos, none, F.col("bit")),
+        number(pos, seed_bit(pos), none),
+        number(pos + n, F.when(pos < m - 1, seed_bit(pos + n)).otherwise(F.lit(0)), none),
     )
-    rows = key_bits.unionByName(low).unionByName(high).where("r <> 0 OR x <> 0")
+    rows = keyed.select(*keys, "n", "m", F.inline(numbers)).where("r <> 0 OR x <> 0")
     size = F.greatest(F.lit(1), F.ceil(F.log2((F.col("n") + F.col("m") - 1).cast("double")) - 1e-12)).cast("int")
     return rows.withColumn("lg", size)
 

@@ -104,33 +104,30 @@ def previous(
     return joined.select(*df.columns, *[prev[k].alias(k) for k in values])
 
 
-def smallest_by_digest(
+def mark_smallest(
     df: DataFrame,
     keys: list[str],
     digest: str,
     size: Callable[[Column], Column],
+    out: str,
     digits: int = PREFIX_DIGITS,
 ) -> DataFrame:
-    """Exact-size random subset: the rows with the smallest digests in each key.
+    """Exact-size random subset: flag the rows with the smallest digests in each key.
 
     ``size`` maps the row count of a key to the wanted number. A histogram
     over digest prefixes finds the prefix at which that number is reached;
-    prefixes below it are taken whole and only rows of that one prefix are
-    ranked, so no key is ever sorted as a whole.
+    rows below it are in, rows above it are out, and the rank inside the one
+    prefix decides the rest. The rank runs per (key, prefix), so no key is
+    ever sorted as a whole.
     """
     base = df.withColumn("_p", prefix_of(digest, digits))
     hist = base.groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_n"))
-    by_prefix = Window.partitionBy(*keys).orderBy("_p")
-    cut = (
-        hist.select(
-            *keys, "_p", "_n",
-            F.coalesce(F.sum("_n").over(by_prefix.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-            F.sum("_n").over(Window.partitionBy(*keys)).alias("_total"),
-        )
-        .withColumn("_need", size(F.col("_total")) - F.col("_before"))
-        .where(F.col("_need") > 0)
-        .select(*keys, "_p", "_need", (F.col("_n") <= F.col("_need")).alias("_whole"))
-    )
-    hit = base.join(cut, [*keys, "_p"])
+    upto = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    # the size of a key is added up from the histogram; keys are rows here, not groups
+    need = hist.select(
+        *keys, "_p",
+        (size(F.sum("_n").over(Window.partitionBy(*keys))) - F.coalesce(F.sum("_n").over(upto), F.lit(0))).alias("_need"),
+    ).where(F.col("_need") > 0)
     rank = F.row_number().over(Window.partitionBy(*keys, "_p").orderBy(digest))
-    return hit.withColumn("_r", rank).where(F.col("_whole") | (F.col("_r") <= F.col("_need"))).select(*df.columns)
+    joined = base.join(need, [*keys, "_p"], "left").withColumn("_r", rank)
+    return joined.select(*df.columns, F.coalesce(F.col("_r") <= F.col("_need"), F.lit(False)).alias(out))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits, finite
 from ..functions.channel import QBER_HARD_LIMIT, QBER_WARN_LIMIT
-from .ordered import positions, smallest_by_digest
+from .ordered import mark_smallest, positions
 from .skew import attach
 
 ROUND_KEY = ["session_id", "round_id"]
@@ -37,37 +37,48 @@ def test_size(n: Column, fraction: float, minimum: int = 1) -> Column:
     return F.least(F.greatest(F.lit(minimum), F.floor(n * fraction)), F.floor(n / 2)).cast("bigint")
 
 
-def test_subset(sifted: DataFrame, fraction: float, minimum: int = 1) -> DataFrame:
-    """Random test rounds of exact size per session, fixed by the md5 of the round."""
+def assign_roles(sifted: DataFrame, fraction: float, minimum: int = 1) -> DataFrame:
+    """Sifted rows with ``is_test``: an exact-size random subset per session, fixed by the md5 of the round."""
     marked = sifted.withColumn("_digest", F.md5(F.concat(F.lit("test:"), F.col("round_id").cast("string"))))
-    chosen = smallest_by_digest(marked, ["session_id"], "_digest", lambda n: test_size(n, fraction, minimum))
+    chosen = mark_smallest(marked, ["session_id"], "_digest", lambda n: test_size(n, fraction, minimum), "is_test")
     return chosen.drop("_digest")
 
 
+def test_part(roles: DataFrame) -> DataFrame:
+    return roles.where("is_test").drop("is_test")
+
+
+def key_part(roles: DataFrame) -> DataFrame:
+    return roles.where("NOT is_test").drop("is_test")
+
+
 def key_rows(sifted: DataFrame, tested: DataFrame) -> DataFrame:
+    """Matching rounds without the test rounds, when the two come as separate tables."""
     return sifted.join(tested.select(*ROUND_KEY), ROUND_KEY, "left_anti")
 
 
-def error_estimate(sifted: DataFrame, tested: DataFrame, epsilon: float = finite.EPS_SEC) -> DataFrame:
-    """Observed error rate, allowance and verdict per session.
+def error_estimate(roles: DataFrame, epsilon: float = finite.EPS_SEC) -> DataFrame:
+    """Observed error rate, allowance and verdict per session; one map-side-combined pass.
 
     A session over the hard limit is flagged, not raised: one bad session
     must not stop the others.
     """
-    sizes = sifted.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_sifted"))
-    seen = tested.groupBy("session_id").agg(
-        F.count(F.lit(1)).alias("n_test"), F.count_if(F.col("a_bit") != F.col("b_bit")).alias("n_errors")
+    c = F.col
+    seen = roles.groupBy("session_id").agg(
+        F.count_if(c("is_test")).alias("n_test"),
+        F.count_if(~c("is_test")).alias("n_key"),
+        F.count_if(c("is_test") & (c("a_bit") != c("b_bit"))).alias("n_errors"),
+        F.count_if(~c("is_test") & (c("basis") == 0)).alias("i0"),
+        F.count_if(~c("is_test") & (c("basis") == 1)).alias("i1"),
     )
     return (
-        sizes.join(seen, "session_id")
-        .withColumn("n_key", F.col("n_sifted") - F.col("n_test"))
-        .where("n_key > 0 AND n_test > 0")
-        .withColumn("observed", F.col("n_errors") / F.col("n_test"))
-        .withColumn("penalty", finite.finite_size_penalty(F.col("n_key"), F.col("n_test"), epsilon))
-        .withColumn("adjusted", F.col("observed") + F.col("penalty"))
+        seen.where("n_key > 0 AND n_test > 0")
+        .withColumn("observed", c("n_errors") / c("n_test"))
+        .withColumn("penalty", finite.finite_size_penalty(c("n_key"), c("n_test"), epsilon))
+        .withColumn("adjusted", c("observed") + c("penalty"))
         .withColumn(
             "verdict",
-            F.when(F.col("adjusted") > QBER_HARD_LIMIT, "hard_limit").when(F.col("adjusted") > QBER_WARN_LIMIT, "warning").otherwise("pass"),
+            F.when(c("adjusted") > QBER_HARD_LIMIT, "hard_limit").when(c("adjusted") > QBER_WARN_LIMIT, "warning").otherwise("pass"),
         )
     )
 

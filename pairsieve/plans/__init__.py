@@ -8,6 +8,7 @@ MODULES = (
     "reports",
     "sessions",
     "keys",
+    "graphs",
 )
 
 

@@ -10,6 +10,7 @@ from ..operators import contracts as rules
 from ..operators import extract, sifting
 from ..operators.ordered import positions
 from ..operators.skew import attach
+from ..session import written
 from ..sources import views
 from . import oracle as o
 from .common import k, tidy
@@ -165,7 +166,7 @@ FROM (SELECT b.*, q, least(0.5::DOUBLE - 1e-6::DOUBLE, greatest(1e-6::DOUBLE, q)
  FROM v_blocked b JOIN (SELECT session_id, avg((a_bit <> b_bit)::INT) AS q FROM v_tested GROUP BY 1) USING (session_id))""")
 def h47(spark, sf):
     s = sifting.sift(views.pairs(spark, sf))
-    t = sifting.test_subset(s, FRACTION_SMALL)
+    t = sifting.test_part(sifting.assign_roles(s, FRACTION_SMALL))
     q = t.groupBy("session_id").agg(F.avg((c("a_bit") != c("b_bit")).cast("int")).alias("q"))
     rows = attach(key_blocks(spark, sf), q, ["session_id"], ["round_id"])
     pun, sho = c("round_id") % 8 == 0, c("round_id") % 8 == 1
@@ -201,13 +202,14 @@ def partition_rows(key: DataFrame, share: int = 2) -> DataFrame:
     """Key rows with position and length per (session, basis); a 1/share of the length is extracted."""
     placed = positions(key, ["session_id", "basis"], "round_id", out="pos", start=0)
     sizes = key.groupBy("session_id", "basis").agg(F.count(F.lit(1)).alias("n")).withColumn("m", F.floor(c("n") / share))
-    return attach(placed, sizes, ["session_id", "basis"], ["round_id"]).where("m > 0").withColumn("bit", c("a_bit"))
+    rows = attach(placed, sizes, ["session_id", "basis"], ["round_id"]).where("m > 0")
+    return written(rows.select("session_id", "basis", "pos", "n", "m", c("a_bit").alias("bit")), "key-rows")
 
 
 @query("h49_toeplitz", f"SELECT session_id, CAST(basis AS BIGINT) AS basis, i, CAST(bit AS BIGINT) AS bit FROM ({_TOEP.format(src='v_part')})")
 def h49(spark, sf):
     s = sifting.sift(views.pairs(spark, sf))
-    key = sifting.key_rows(s, sifting.test_subset(s, FRACTION_SMALL))
+    key = sifting.key_part(sifting.assign_roles(s, FRACTION_SMALL))
     rows = extract.seeded_rows(partition_rows(key), ["session_id", "basis"], extract.seed_from("t", c("basis")))
     return tidy(extract.toeplitz(rows, ["session_id", "basis"]))
 
@@ -218,7 +220,7 @@ view("v_large_part", "SELECT session_id, basis, a_bit AS bit, row_number() OVER
 @query("h49_toeplitz_large", f"SELECT CAST(basis AS BIGINT) AS basis, i, CAST(bit AS BIGINT) AS bit FROM ({_TOEP.format(src='v_large_part').replace('n // 2', 'n // 32')})")
 def h49_large(spark, sf):
     s = sifting.sift(views.pairs_large(spark, sf))
-    key = sifting.key_rows(s, sifting.test_subset(s, FRACTION_LARGE))
+    key = sifting.key_part(sifting.assign_roles(s, FRACTION_LARGE))
     rows = extract.seeded_rows(partition_rows(key, 32), ["session_id", "basis"], extract.seed_from("t", c("basis")))
     # a low limit, so that this key takes the two-pass way
     return tidy(extract.toeplitz(rows, ["session_id", "basis"], limit_log2=10).drop("session_id"))
@@ -246,11 +248,9 @@ SELECT *, least(final // 2, i0, i1) AS key_length FROM (
      JOIN (SELECT session_id, count(*) FILTER (basis = 0) AS i0, count(*) FILTER (basis = 1) AS i1 FROM v_m1_key GROUP BY 1) USING (session_id)) WHERE n_key > 0)))""")
 
 
-def session_plan(sifted: DataFrame, tested: DataFrame, key: DataFrame) -> DataFrame:
+def session_plan(roles: DataFrame) -> DataFrame:
     """Per session: estimate, cap, planned disclosure, key length per partition."""
-    est = sifting.error_estimate(sifted, tested, M_EPS)
-    parts = key.groupBy("session_id").agg(F.count_if(c("basis") == 0).alias("i0"), F.count_if(c("basis") == 1).alias("i1"))
-    both = est.join(parts, "session_id")
+    both = sifting.error_estimate(roles, M_EPS)
     leak = F.floor(F.floor(c("n_key") / 2) * 3 / 4) + M_TAG * F.ceil(c("n_key") / M_FRAME)
     both = both.withColumn("leak", leak).withColumn("cap", rates.safety_cap(c("n_key"), F.least(c("adjusted"), F.lit(0.5))))
     final = finite.detailed_key_length(c("n_key"), c("leak"), F.lit(M_R), M_EPS)["final_length"]
@@ -269,15 +269,17 @@ def session_keys(pairs: DataFrame) -> DataFrame:
     """Extracted bits of every viable session and partition, all sessions at once.
 
     Viability is decided on session totals before any bit-level work, so
-    sessions over their cap cost no extraction.
+    sessions over their cap cost no extraction. The sifted rows with their
+    roles are written once and read by the later steps.
     """
-    sifted = sifting.sift(pairs)
-    tested = sifting.test_subset(sifted, FRACTION_SMALL)
-    key = sifting.key_rows(sifted, tested)
-    plan = session_plan(sifted, tested, key).where("within_cap AND key_length > 0")
+    roles = written(sifting.assign_roles(sifting.sift(pairs), FRACTION_SMALL), "roles")
+    plan = session_plan(roles).where("within_cap AND key_length > 0")
+    key = sifting.key_part(roles)
+    plan = written(plan, "plan")
     live = attach(key, plan.select("session_id", c("key_length").alias("m"), "i0", "i1"), ["session_id"], ["round_id"])
     placed = positions(live, ["session_id", "basis"], "round_id", out="pos", start=0)
     rows = placed.withColumn("n", F.when(c("basis") == 0, c("i0")).otherwise(c("i1"))).withColumn("bit", c("a_bit"))
+    rows = written(rows.select("session_id", "basis", "pos", "n", "m", "bit"), "key-rows")
     seeded = extract.seeded_rows(rows, ["session_id", "basis"], extract.seed_from("t", c("basis")))
     return extract.toeplitz(seeded, ["session_id", "basis"])
 
@@ -285,9 +287,7 @@ def session_keys(pairs: DataFrame) -> DataFrame:
 @query("m1_session_plan", """
 SELECT session_id, n_key, n_test, n_errors, round(adjusted, 9) AS adjusted, leak, cap, final, within_cap, key_length FROM v_m1""")
 def m1_plan(spark, sf):
-    sifted = sifting.sift(all_pairs(spark, sf))
-    tested = sifting.test_subset(sifted, FRACTION_SMALL)
-    p = session_plan(sifted, tested, sifting.key_rows(sifted, tested))
+    p = session_plan(sifting.assign_roles(sifting.sift(all_pairs(spark, sf)), FRACTION_SMALL))
     return tidy(p.select("session_id", "n_key", "n_test", "n_errors", "adjusted", "leak", "cap", "final", "within_cap", "key_length"))
 
 
@@ -308,7 +308,7 @@ FROM (SELECT session_id, string_agg(CASE WHEN basis = 0 THEN bit::VARCHAR END, '
  HAVING count(*) = 16)""")
 def b7_output(spark, sf):
     s = sifting.sift(views.pairs(spark, sf))
-    key = sifting.key_rows(s, sifting.test_subset(s, FRACTION_SMALL))
+    key = sifting.key_part(sifting.assign_roles(s, FRACTION_SMALL))
     head = positions(key, ["session_id", "basis"], "round_id", out="i", start=0).where("i < 8").withColumn("bit", c("a_bit"))
     text = extract.output_text(head, ["session_id", "basis"])
     side = lambda b: F.max(F.when(c("basis") == b, c("text")))

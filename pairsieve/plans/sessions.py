@@ -73,24 +73,24 @@ def c3(spark, sf):
 @query("c4_i0_in_key", "SELECT session_id, round_id FROM v_sifted i WHERE basis = 0 AND EXISTS (SELECT 1 FROM v_key x WHERE x.session_id = i.session_id AND x.round_id = i.round_id)")
 def c4(spark, sf):
     s = sifted(spark, sf)
-    key = sifting.key_rows(s, sifting.test_subset(s, FRACTION_SMALL))
+    key = sifting.key_part(sifting.assign_roles(s, FRACTION_SMALL))
     return s.where("basis = 0").select("session_id", "round_id").join(key.select("session_id", "round_id"), ["session_id", "round_id"], "left_semi")
 
 
 @query("c5_key_rounds", "SELECT session_id, round_id FROM v_key")
 def c5(spark, sf):
     s = sifted(spark, sf)
-    return sifting.key_rows(s, sifting.test_subset(s, FRACTION_SMALL)).select("session_id", "round_id")
+    return sifting.key_rows(s, sifting.test_part(sifting.assign_roles(s, FRACTION_SMALL))).select("session_id", "round_id")
 
 
 @query("f2_test_subset", "SELECT session_id, round_id FROM v_tested")
 def f2(spark, sf):
-    return sifting.test_subset(sifted(spark, sf), FRACTION_SMALL).select("session_id", "round_id")
+    return sifting.test_part(sifting.assign_roles(sifted(spark, sf), FRACTION_SMALL)).select("session_id", "round_id")
 
 
 @query("f2_test_subset_large", "SELECT round_id FROM v_large_tested")
 def f2_large(spark, sf):
-    return sifting.test_subset(large_sifted(spark, sf), FRACTION_LARGE).select("round_id")
+    return sifting.test_part(sifting.assign_roles(large_sifted(spark, sf), FRACTION_LARGE)).select("round_id")
 
 
 @query("d1_match_counts", "SELECT session_id, count(*) AS total, count(*) FILTER (basis = 0) AS i0, count(*) FILTER (basis = 1) AS i1 FROM v_sifted GROUP BY 1")
@@ -108,7 +108,7 @@ def d2(spark, sf):
 
 @query("d3_observed_error", "SELECT session_id, count(*) AS n_test, round(sum((a_bit <> b_bit)::INT) / count(*)::DOUBLE, 9) AS observed FROM v_tested GROUP BY 1")
 def d3(spark, sf):
-    t = sifting.test_subset(sifted(spark, sf), FRACTION_SMALL)
+    t = sifting.test_part(sifting.assign_roles(sifted(spark, sf), FRACTION_SMALL))
     wrong = (c("a_bit") != c("b_bit")).cast("int")
     return tidy(t.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_test"), (F.sum(wrong) / F.count(F.lit(1))).alias("observed")))
 
@@ -128,19 +128,19 @@ _EST_COLS = ("session_id", "n_key", "n_test", "n_errors", "observed", "penalty",
 @query("d4_error_estimate", _estimate("v_sifted", "v_tested", 1e-10))
 def d4(spark, sf):
     s = sifting.sift(sifting.align(views.alice(spark, sf), views.bob(spark, sf)))
-    return tidy(sifting.error_estimate(s, sifting.test_subset(s, FRACTION_SMALL)).select(*_EST_COLS))
+    return tidy(sifting.error_estimate(sifting.assign_roles(s, FRACTION_SMALL)).select(*_EST_COLS))
 
 
 @query("d4_error_estimate_large", _estimate("v_large_sifted", "v_large_tested", 1e-10))
 def d4_large(spark, sf):
     s = large_sifted(spark, sf)
-    return tidy(sifting.error_estimate(s, sifting.test_subset(s, FRACTION_LARGE)).select(*_EST_COLS))
+    return tidy(sifting.error_estimate(sifting.assign_roles(s, FRACTION_LARGE)).select(*_EST_COLS))
 
 
 @query("d4_error_estimate_loose", _estimate("v_large_sifted", "v_large_tested3", 1e-3))
 def d4_loose(spark, sf):
     s = large_sifted(spark, sf)
-    return tidy(sifting.error_estimate(s, sifting.test_subset(s, 0.3), 1e-3).select(*_EST_COLS))
+    return tidy(sifting.error_estimate(sifting.assign_roles(s, 0.3), 1e-3).select(*_EST_COLS))
 
 
 _ALLOW = "sqrt(7.600902459542082 / (2 * attempts))"
@@ -185,12 +185,12 @@ view("v_large_blocked", "SELECT *, pos // 4096 AS block_id, pos % 4096 AS offs F
 
 def key_blocks(spark, sf, frame: int = FRAME) -> DataFrame:
     s = sifted(spark, sf)
-    return sifting.blocks_of(sifting.key_rows(s, sifting.test_subset(s, FRACTION_SMALL)), frame)
+    return sifting.blocks_of(sifting.key_part(sifting.assign_roles(s, FRACTION_SMALL)), frame)
 
 
 def large_key_blocks(spark, sf, frame: int = rates.FRAME) -> DataFrame:
     s = large_sifted(spark, sf)
-    return sifting.blocks_of(sifting.key_rows(s, sifting.test_subset(s, FRACTION_LARGE)), frame)
+    return sifting.blocks_of(sifting.key_part(sifting.assign_roles(s, FRACTION_LARGE)), frame)
 
 
 @query("d7_block_partition", "SELECT session_id, round_id, block_id, offs AS \"offset\" FROM v_blocked")
@@ -281,7 +281,7 @@ def e8(spark, sf):
     from pyspark.sql import Window
 
     s = sifted(spark, sf)
-    t = sifting.test_subset(s, FRACTION_SMALL)
+    t = sifting.test_part(sifting.assign_roles(s, FRACTION_SMALL))
     q = t.groupBy("session_id").agg(F.avg((c("a_bit") != c("b_bit")).cast("int")).alias("q"))
     rows = attach(key_blocks(spark, sf), q, ["session_id"], ["round_id"])
     sched = ledger.disclosure_schedule(rows, "pos", c("q"), d=20, rounds=3).where("iteration IS NOT NULL")
@@ -340,14 +340,14 @@ def g1(spark, sf):
 @query("g2_intersect", "SELECT session_id, round_id FROM v_sifted WHERE basis = 0 INTERSECT SELECT session_id, round_id FROM v_key")
 def g2(spark, sf):
     s = sifted(spark, sf)
-    key = sifting.key_rows(s, sifting.test_subset(s, FRACTION_SMALL)).select("session_id", "round_id")
+    key = sifting.key_part(sifting.assign_roles(s, FRACTION_SMALL)).select("session_id", "round_id")
     return s.where("basis = 0").select("session_id", "round_id").intersect(key)
 
 
 @query("g3_except", "SELECT session_id, round_id FROM v_sifted EXCEPT SELECT session_id, round_id FROM v_tested")
 def g3(spark, sf):
     s = sifted(spark, sf)
-    t = sifting.test_subset(s, FRACTION_SMALL)
+    t = sifting.test_part(sifting.assign_roles(s, FRACTION_SMALL))
     return s.select("session_id", "round_id").subtract(t.select("session_id", "round_id"))
 
 
@@ -377,7 +377,7 @@ def d28(spark, sf):
 SELECT session_id, batch_id, sum(e) OVER w::BIGINT AS errors, sum(n) OVER w::BIGINT AS tests FROM (
  SELECT session_id, round_id // 1000 AS batch_id, count(*) FILTER (a_bit <> b_bit) AS e, count(*) AS n FROM v_tested GROUP BY 1, 2) WINDOW w AS (PARTITION BY session_id ORDER BY batch_id)""".replace("sum(e) OVER w::BIGINT", "CAST(sum(e) OVER w AS BIGINT)").replace("sum(n) OVER w::BIGINT", "CAST(sum(n) OVER w AS BIGINT)"))
 def d29(spark, sf):
-    t = sifting.test_subset(sifted(spark, sf), FRACTION_SMALL)
+    t = sifting.test_part(sifting.assign_roles(sifted(spark, sf), FRACTION_SMALL))
     per = t.groupBy("session_id", F.floor(c("round_id") / 1000).alias("batch_id")).agg(
         F.count_if(c("a_bit") != c("b_bit")).alias("e"), F.count(F.lit(1)).alias("n")
     )
@@ -388,7 +388,7 @@ def d29(spark, sf):
 SELECT session_id, round(p, 9) AS p, round(p - 1.96::DOUBLE * sqrt(p * (1 - p) / n), 9) AS lower, round(p + 1.96::DOUBLE * sqrt(p * (1 - p) / n), 9) AS upper
 FROM (SELECT session_id, avg((a_bit <> b_bit)::INT) AS p, count(*) AS n FROM v_tested GROUP BY 1)""")
 def d30(spark, sf):
-    t = sifting.test_subset(sifted(spark, sf), FRACTION_SMALL)
+    t = sifting.test_part(sifting.assign_roles(sifted(spark, sf), FRACTION_SMALL))
     g = t.groupBy("session_id").agg(F.avg((c("a_bit") != c("b_bit")).cast("int")).alias("p"), F.count(F.lit(1)).alias("n"))
     lo, hi = rates.binomial_interval(c("p"), c("n"))
     return tidy(g.select("session_id", "p", lo.alias("lower"), hi.alias("upper")))
@@ -414,7 +414,7 @@ FROM (SELECT e.session_id, p.n, p.n_a, e.adjusted, b.leaked, b.failed, greatest(
  JOIN (SELECT session_id, sum((n_bits + 1) // 2) AS leaked, count(*) FILTER (n_errors > 0) AS failed FROM v_block GROUP BY 1) b USING (session_id))""")
 def b7(spark, sf):
     s = sifted(spark, sf)
-    est = sifting.error_estimate(s, sifting.test_subset(s, FRACTION_SMALL), 1e-2)
+    est = sifting.error_estimate(sifting.assign_roles(s, FRACTION_SMALL), 1e-2)
     gen = views.pairs(spark, sf).groupBy("session_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("detected").alias("n_a"),
         F.count_if(~c("a_bit").isin(0, 1)).alias("bad_o"), F.count_if(~c("a_basis").isin(0, 1)).alias("bad_b"),
