@@ -25,7 +25,8 @@ def decode(edges: DataFrame, llr: DataFrame, target: DataFrame, max_iterations:
     state is one row per frame and edge. A half-iteration is one map-side
     combined sum per check or variable: products run as sums of logarithms
     with a sign and a zero count. Converged frames leave the loop. Each
-    round is checkpointed, so a lost executor costs one round.
+    half-round is written to the shared folder, so a lost executor costs
+    one half-round.
     """
     sized = F.greatest(F.lit(-LLR_LIMIT), F.least(F.lit(LLR_LIMIT), c("llr")))
     state = llr.select("frame_id", "var_id", sized.alias("llr")).join(edges, "var_id").join(target, ["frame_id", "check_id"])

@@ -130,7 +130,7 @@ def untainted_selection(edges: DataFrame, priority: DataFrame, rank: str, target
     The order is fixed beforehand, so all variables that come first in each
     of their checks can be picked in the same round: the result is the same
     as picking one at a time. A round is linear in the edges; no pairs are
-    formed. Lineage is cut with a checkpoint per round.
+    formed. The remaining edges are written out each round.
     """
     place = F.struct(c(rank).alias("rank"), c("var_id").alias("id"))
     left = cut_lineage(attach(edges, priority.select("var_id", rank), ["var_id"], ["check_id"]).withColumn("place", place).drop(rank))
@@ -141,7 +141,7 @@ def untainted_selection(edges: DataFrame, priority: DataFrame, rank: str, target
             F.min(c("place") == c("first")).alias("is_first"), F.first("place").alias("place")
         )
         chosen = cut_lineage(judged.where("is_first").select("var_id", "place"))
-        picks = chosen if picks is None else cut_lineage(picks.unionByName(chosen))
+        picks = chosen if picks is None else picks.unionByName(chosen)
         gone = reach_two_hops(left.select("check_id", "var_id"), chosen).withColumn("gone", F.lit(True))
         left = cut_lineage(attach(left, gone, ["var_id"], ["check_id"], "left").where("gone IS NULL").drop("gone"))
     if picks is None:
@@ -153,7 +153,7 @@ def reachable_checks(edges: DataFrame, seeds: DataFrame, max_depth: int) -> Data
     """Checks reached from the seeds by alternating steps, with the depth of the first visit.
 
     Each step joins the frontier to the edges and drops what was seen; the
-    frontier and the visited sets are checkpointed.
+    frontier and the visited sets are written out.
     """
     seen_vars = cut_lineage(seeds.select("var_id").distinct())
     frontier = seen_vars

@@ -9,6 +9,7 @@ MODULES = (
     "sessions",
     "keys",
     "graphs",
+    "models",
 )
 
 

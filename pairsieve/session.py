@@ -1,4 +1,4 @@
-"""Session helpers: settings, shared scratch folder, lineage cuts."""
+"""Session helpers: settings, shared scratch folder, written intermediate tables."""
 
 from __future__ import annotations
 
@@ -53,15 +53,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), "pairsieve", f"{label}-{uuid.uuid4().hex}")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df`` in the shared folder (never executor-local)."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read back.
 
@@ -71,3 +62,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Cut the plan of an iterative job: written to the shared folder, read back.
+
+    Compared with ``checkpoint()`` the next round sees true sizes, so small
+    sides are found small by the optimizer, and no constraints of earlier
+    rounds pile up in its plan (they grow with every round otherwise).
+    """
+    return written(df, "round")
