@@ -10,6 +10,8 @@ MODULES = (
     "keys",
     "graphs",
     "models",
+    "stores",
+    "streams",
 )
 
 
