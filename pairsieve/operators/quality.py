@@ -26,7 +26,7 @@ def byte_chi_square(bits: DataFrame, key: str) -> DataFrame:
     total = F.sum("k")
     expected = total / 256
     # sum (k - e)^2 / e over the seen values plus e for each unseen one = sum k^2 / e - total
-    return hist.groupBy(key).agg(total.alias("n_bytes"), (F.sum(c("k") * c("k")) / expected - total).alias("chi2"))
+    return hist.groupBy(key).agg(total.alias("n_bytes"), (F.sum(c("k").cast("double") * c("k")) / expected - total).alias("chi2"))
 
 
 def with_previous(bits: DataFrame, key: str) -> DataFrame:
@@ -47,8 +47,9 @@ def runs_test(bits: DataFrame, key: str) -> DataFrame:
     g = rows.groupBy(key).agg(
         F.count(F.lit(1)).alias("n"), F.sum("bit").alias("n1"), F.count_if(c("prev").isNull() | (c("prev") != c("bit"))).alias("runs")
     ).withColumn("n0", c("n") - c("n1")).where("n0 > 0 AND n1 > 0")
-    expected = 2 * c("n0") * c("n1") / c("n") + 1
-    variance = 2 * c("n0") * c("n1") * (2 * c("n0") * c("n1") - c("n")) / (c("n") * c("n") * (c("n") - 1))
-    return g.withColumn("expected", expected).withColumn("variance", variance.cast("double")).withColumn(
+    n, n0, n1 = (c(x).cast("double") for x in ("n", "n0", "n1"))  # cubes of counts do not fit BIGINT
+    expected = 2 * n0 * n1 / n + 1
+    variance = 2 * n0 * n1 * (2 * n0 * n1 - n) / (n * n * (n - 1))
+    return g.withColumn("expected", expected).withColumn("variance", variance).withColumn(
         "z", F.when(c("variance") > 0, (c("runs") - c("expected")) / F.sqrt("variance"))
     )

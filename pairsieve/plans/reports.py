@@ -60,7 +60,7 @@ DARK_GRID = [10 ** (-7 + 4 * i / 19) for i in range(20)]
 SELECT round(gx, 9) AS eta, round(gy, 12) AS p_dark, round(max(CASE WHEN strategy = 'baseline' THEN v END), 9) AS baseline,
   round(max(CASE WHEN strategy = 'blind' THEN v END), 9) AS blind, round(max(CASE WHEN strategy = 'baseline' THEN v END) - max(CASE WHEN strategy = 'blind' THEN v END), 9) AS gap
 FROM (SELECT strategy, gx, gy, v FROM (
-  SELECT strategy, gx, gy, v, row_number() OVER (PARTITION BY strategy, gx, gy ORDER BY round((x - gx) * (x - gx) + (y - gy) * (y - gy), 12), t) AS rn
+  SELECT strategy, gx, gy, v, row_number() OVER (PARTITION BY strategy, gx, gy ORDER BY round((x - gx) * (x - gx) + (y - gy) * (y - gy), 15), t) AS rn
   FROM (SELECT strategy, detection_efficiency AS x, dark_count_prob AS y, min(sample_key) AS t, arg_min(net_efficiency, sample_key) AS v FROM v_results GROUP BY 1, 2, 3),
    (VALUES {_values(ETA_GRID)}) a(gx), (VALUES {_values(DARK_GRID)}) b(gy)) WHERE rn = 1)
 GROUP BY gx, gy""")

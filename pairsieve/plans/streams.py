@@ -125,7 +125,7 @@ def k9(spark, sf):
 
 
 @query("k10_session_closeout", """
-SELECT session_id, CAST(epoch(min(ts)) AS BIGINT) AS opened, count(*) AS tests, count(*) FILTER (a_bit <> b_bit) AS errors FROM (
+SELECT session_id, epoch_us(min(ts)) // 1000000 AS opened, count(*) AS tests, count(*) FILTER (a_bit <> b_bit) AS errors FROM (
  SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS part FROM (
   SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY session_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM v_stream_tests))
 GROUP BY session_id, part HAVING max(ts) + INTERVAL 12 HOUR <= (SELECT w FROM v_test_mark)""")
