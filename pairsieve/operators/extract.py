@@ -15,6 +15,8 @@ so rounding the double-precision result is exact.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -60,19 +62,36 @@ def _key_schema(df: DataFrame, keys: list[str]) -> str:
 
 
 def _short(rows: DataFrame, keys: list[str]) -> DataFrame:
-    def convolve(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, m, size = int(pdf.n.iloc[0]), int(pdf.m.iloc[0]), 1 << int(pdf.lg.iloc[0])
-        r, x = np.zeros(size), np.zeros(size)
-        np.add.at(r, pdf.t.to_numpy(), pdf.r.to_numpy())
-        np.add.at(x, pdf.t.to_numpy(), pdf.x.to_numpy())
+    """Keys that fit one convolution, streamed key by key through sorted partitions.
+
+    A task holds one key at a time and pays no start-up cost per key.
+    """
+
+    def convolve(part: pd.DataFrame) -> pd.DataFrame:
+        n, m, size = int(part.n.iloc[0]), int(part.m.iloc[0]), 1 << int(part.lg.iloc[0])
+        t = part.t.to_numpy()
+        r = np.bincount(t, part.r.to_numpy(), size)
+        x = np.bincount(t, part.x.to_numpy(), size)
         y = np.fft.irfft(np.fft.rfft(r) * np.fft.rfft(x), size)
         bit = np.rint(y[n - 1 : n - 1 + m]).astype(np.int64) & 1
         out = pd.DataFrame({"i": np.arange(len(bit), dtype=np.int64), "bit": bit.astype(np.int32)})
         for key in keys:
-            out[key] = pdf[key].iloc[0]
+            out[key] = part[key].iloc[0]
         return out[[*keys, "i", "bit"]]
 
-    return rows.groupBy(*keys).applyInPandas(convolve, f"{_key_schema(rows, keys)}, i bigint, bit int")
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: pd.DataFrame | None = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            groups = [g for _, g in pdf.groupby(keys, sort=False)]
+            rest = groups.pop() if groups else None
+            if groups:
+                yield pd.concat([convolve(g) for g in groups], ignore_index=True)
+        if rest is not None and len(rest):
+            yield convolve(rest)
+
+    sorted_rows = rows.repartition(*keys).sortWithinPartitions(*keys)
+    return sorted_rows.mapInPandas(stream, f"{_key_schema(rows, keys)}, i bigint, bit int")
 
 
 def _long(rows: DataFrame, keys: list[str], limit_log2: int) -> DataFrame:

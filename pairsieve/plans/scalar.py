@@ -561,3 +561,19 @@ def h39(spark, sf):
     df = views.results(spark, sf)
     raw = c("raw_key_length")
     return out(df, per_partition=rates.partition_length(c("final_key_length"), F.floor(raw / 3), F.floor(raw / 5)))
+
+
+@query("l_sql_functions", f"""
+SELECT sample_key, {r9(o.h('q_channel'))} AS entropy, {r9('q_channel')} AS q, {r9(o.hbs('storage_noise_r', 'storage_rate_nu'))} AS h_min,
+  {r9(o.hbs('storage_noise_r', 'storage_rate_nu') + ' - 1.16::DOUBLE * ' + o.h('q_channel'))} AS key_rate FROM v_feasible""")
+def l_sql_functions(spark, sf):
+    from ..functions import sqlfuncs
+
+    sqlfuncs.register(spark)
+    df = views.samples(spark, sf).selectExpr(
+        "sample_key", "storage_noise_r AS r", "storage_rate_nu AS nu",
+        "q_channel(channel_fidelity, detector_error, detection_efficiency, dark_count_prob) AS q",
+    )
+    return tidy(
+        df.selectExpr("sample_key", "binary_entropy(q) AS entropy", "q", "bounded_storage_entropy(r, nu) AS h_min", "extractable_key_rate(r, nu, q, 1.16D) AS key_rate")
+    )
