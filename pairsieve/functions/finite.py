@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .bounds import bounded_storage_entropy, max_bound_entropy
 from .channel import as_col, binary_entropy
-from .stage import staged
+from .stage import let, staged
 
 EPS_SEC = 1e-10
 EPS_COR = 1e-6
@@ -92,23 +92,35 @@ def with_finite_key(
     return df.withColumn("final_length", F.when(F.col("key_bits") <= 0, zero).otherwise(F.greatest(zero, length)))
 
 
-FRACTION_STEPS = 49
+def _looped_length(n: Column, qber: Column, r: Column, nu: Column, fraction: Column | float) -> Column:
+    """``finite_key_length`` for use inside a loop: every part computed once."""
+    cost = math.log2(1 / EPS_SEC) + math.log2(1 / EPS_COR)
+    zero = F.lit(0).cast("bigint")
+    n = n.cast("double")
+
+    def by_test(k: Column) -> Column:
+        kept = n - k
+        q_adj = F.least(F.lit(0.5), qber + finite_size_penalty(kept, k, EPS_SEC / 4))
+        length = let(q_adj, lambda q: F.floor(kept * (bounded_storage_entropy(r, nu) - EC_EFFICIENCY * binary_entropy(q)) - cost))
+        return F.when(kept <= 0, zero).otherwise(F.greatest(zero, length))
+
+    return let(F.ceil(n * as_col(fraction)).cast("double"), by_test)
+
+
+FRACTION_STEPS = 50
 
 
 def optimal_test_fraction(n: Column, qber: Column, r: Column, nu: Column) -> Column:
-    """Best of the fractions 0.01, 0.02 ... 0.50 (smallest on a tie)."""
-    best = F.aggregate(
-        F.sequence(F.lit(0), F.lit(FRACTION_STEPS)),
-        F.struct(F.lit(-1).cast("bigint").alias("len"), F.lit(0.0).alias("frac")),
-        lambda acc, i: F.when(
-            finite_key_length(n, qber, r, nu, test_fraction=(i + 1) / 100.0) > acc["len"],
-            F.struct(
-                finite_key_length(n, qber, r, nu, test_fraction=(i + 1) / 100.0).alias("len"),
-                ((i + 1) / 100.0).alias("frac"),
-            ),
-        ).otherwise(acc),
-    )
-    return best
+    """Best of the fractions 0.01, 0.02 ... 0.50 (smallest on a tie), as (len, frac)."""
+
+    def better(acc: Column, i: Column) -> Column:
+        return let(
+            _looped_length(n, qber, r, nu, i / 100.0),
+            lambda got: F.when(got > acc["len"], F.struct(got.alias("len"), (i / 100.0).alias("frac"))).otherwise(acc),
+        )
+
+    start = F.struct(F.lit(-1).cast("bigint").alias("len"), F.lit(0.0).alias("frac"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(FRACTION_STEPS)), start, better)
 
 
 MIN_N_LOW, MIN_N_HIGH = 100, 10_000_000
@@ -120,10 +132,12 @@ def min_n_for_length(target: int, qber: Column, r: Column, nu: Column) -> Column
     def halve(acc: Column, _: Column) -> Column:
         mid = F.floor((acc["lo"] + acc["hi"]) / 2)
         open_ = acc["lo"] < acc["hi"]
-        hit = finite_key_length(mid, qber, r, nu) >= target
-        return F.struct(
-            F.when(open_ & ~hit, mid + 1).otherwise(acc["lo"]).alias("lo"),
-            F.when(open_ & hit, mid).otherwise(acc["hi"]).alias("hi"),
+        return let(
+            _looped_length(mid, qber, r, nu, 0.05) >= target,
+            lambda hit: F.struct(
+                F.when(open_ & ~hit, mid + 1).otherwise(acc["lo"]).alias("lo"),
+                F.when(open_ & hit, mid).otherwise(acc["hi"]).alias("hi"),
+            ),
         )
 
     return F.aggregate(

@@ -67,27 +67,31 @@ def narrow_rate(qber: Column, f_crit: float = F_CRIT) -> Column:
     )
 
 
-def grid_rates() -> Column:
-    """0.50, 0.51 ... 0.95 as an array literal."""
-    return F.transform(F.sequence(F.lit(50), F.lit(95)), lambda i: i / F.lit(100.0))
-
-
-def nearest_rate(target: Column, rates: Column | None = None) -> Column:
+def nearest_rate(target: Column, rates: Column) -> Column:
     """Rate of a fixed, short list next to the target; the lower one on a tie.
 
     A min over an array literal: no join, so the row is never multiplied.
     """
-    rates = grid_rates() if rates is None else rates
     best = F.array_min(F.transform(rates, lambda r: F.struct(F.round(F.abs(r - target), 12).alias("d"), r.alias("r"))))
     return best["r"]
 
 
-def selected_rate(qber: Column, rates: Column | None = None) -> Column:
-    rates = grid_rates() if rates is None else rates
+def nearest_grid_rate(target: Column) -> Column:
+    """``nearest_rate`` on the 0.01 grid in closed form: the two neighbours decide."""
+
+    def clip(x: Column) -> Column:
+        return F.greatest(F.lit(RATE_MIN), F.least(F.lit(RATE_MAX), x / 100.0))
+
+    lo, hi = clip(F.floor(target * 100)), clip(F.ceil(target * 100))
+    return F.when(F.round(F.abs(hi - target), 12) < F.round(F.abs(lo - target), 12), hi).otherwise(lo)
+
+
+def selected_rate(qber: Column) -> Column:
+    """Rate of the 0.01 grid for an error rate."""
     return (
-        F.when(qber <= 0, F.array_max(rates))
-        .when(qber >= 0.5, F.array_min(rates))
-        .otherwise(nearest_rate(rate_target(qber), rates))
+        F.when(qber <= 0, F.lit(RATE_MAX))
+        .when(qber >= 0.5, F.lit(RATE_MIN))
+        .otherwise(nearest_grid_rate(rate_target(qber)))
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,3 +18,12 @@ def staged(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
     whole-stage codegen and moves no rows.
     """
     return df.select("*", F.inline(F.array(F.struct(*[v.alias(n) for n, v in cols.items()]))))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once.
+
+    For expressions inside ``aggregate`` and ``transform``, where common
+    subexpressions are not shared.
+    """
+    return F.transform(F.array(value), use)[0]

@@ -67,30 +67,42 @@ def _short(rows: DataFrame, keys: list[str]) -> DataFrame:
     A task holds one key at a time and pays no start-up cost per key.
     """
 
-    def convolve(part: pd.DataFrame) -> pd.DataFrame:
-        n, m, size = int(part.n.iloc[0]), int(part.m.iloc[0]), 1 << int(part.lg.iloc[0])
-        t = part.t.to_numpy()
-        r = np.bincount(t, part.r.to_numpy(), size)
-        x = np.bincount(t, part.x.to_numpy(), size)
-        y = np.fft.irfft(np.fft.rfft(r) * np.fft.rfft(x), size)
-        bit = np.rint(y[n - 1 : n - 1 + m]).astype(np.int64) & 1
-        out = pd.DataFrame({"i": np.arange(len(bit), dtype=np.int64), "bit": bit.astype(np.int32)})
-        for key in keys:
-            out[key] = part[key].iloc[0]
-        return out[[*keys, "i", "bit"]]
+    def convolve(pdf: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
+        t, r, x = (pdf[c].to_numpy() for c in ("t", "r", "x"))
+        n, m, lg = (pdf[c].to_numpy()[starts] for c in ("n", "m", "lg"))
+        bits = []
+        for j, (a, b) in enumerate(zip(starts, ends)):
+            size = 1 << int(lg[j])
+            fr = np.fft.rfft(np.bincount(t[a:b], r[a:b], size))
+            fx = np.fft.rfft(np.bincount(t[a:b], x[a:b], size))
+            y = np.fft.irfft(fr * fx, size)[n[j] - 1 : n[j] - 1 + m[j]]
+            bits.append(np.rint(y).astype(np.int64) & 1)
+        counts = [len(b) for b in bits]
+        out = {k: np.repeat(pdf[k].to_numpy()[starts], counts) for k in keys}
+        out["i"] = np.concatenate([np.arange(k, dtype=np.int64) for k in counts])
+        out["bit"] = np.concatenate(bits).astype(np.int32)
+        return pd.DataFrame(out)
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
         for pdf in batches:
             pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            groups = [g for _, g in pdf.groupby(keys, sort=False)]
-            rest = groups.pop() if groups else None
-            if groups:
-                yield pd.concat([convolve(g) for g in groups], ignore_index=True)
-        if rest is not None and len(rest):
-            yield convolve(rest)
-
-    sorted_rows = rows.repartition(*keys).sortWithinPartitions(*keys)
+            if pdf.empty:
+                continue
+            new = np.zeros(len(pdf), bool)
+            for k in keys:
+                col = pdf[k].to_numpy()
+                new[1:] |= col[1:] != col[:-1]
+            cuts = np.flatnonzero(new)
+            rest = pdf.iloc[cuts[-1] if len(cuts) else 0 :]  # the last key may go on in the next batch
+            if len(cuts):
+                yield convolve(pdf, np.concatenate([[0], cuts[:-1]]), cuts)
+        if rest is not None:
+            rest = rest.reset_index(drop=True)
+            yield convolve(rest, np.array([0]), np.array([len(rest)]))
+
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_rows = rows.repartition(tasks, *keys).sortWithinPartitions(*keys)
     return sorted_rows.mapInPandas(stream, f"{_key_schema(rows, keys)}, i bigint, bit int")
 
 

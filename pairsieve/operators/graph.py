@@ -12,9 +12,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .skew import attach
+from . import skew
 
 c = F.col
+SALTS = 4  # per-node tables are about as large as the edges, so they are repeated less often
+
+
+def attach(big: DataFrame, per_key: DataFrame, keys: list[str], spread: list[str], how: str = "inner") -> DataFrame:
+    return skew.attach(big, per_key, keys, spread, how, SALTS)
 
 
 def with_bits(edges: DataFrame, bits: DataFrame) -> DataFrame:
@@ -56,7 +61,7 @@ def reach_two_hops(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return attach(edges, touched, ["check_id"], ["var_id"]).select("var_id").distinct()
 
 
-HEAVY = 1024
+HEAVY = 128
 
 
 def two_hop_sizes(edges: DataFrame, heavy: int = HEAVY) -> DataFrame:
