@@ -89,9 +89,11 @@ def i3(spark, sf):
     return graph.excess_degree(views.edges(spark, sf))
 
 
-@query("i4_untainted", "SELECT var_id FROM v_checks GROUP BY 1 HAVING max(n_punctured) = 0")
+@query("i4_untainted", f"""
+SELECT var_id FROM (SELECT e.var_id, max(v.few) OVER (PARTITION BY e.check_id) AS hit FROM v_edges e JOIN (SELECT p_partkey AS var_id, ({o.byte_of('few', 'p_partkey')} < 1)::INT AS few FROM part) v USING (var_id)) GROUP BY 1 HAVING max(hit) = 0""")
 def i4(spark, sf):
-    return graph.untainted(views.edges(spark, sf), views.variables(spark, sf))
+    few = views.variables(spark, sf).select("var_id", (views.byte_of("few", c("var_id")) < 1).alias("punctured"))
+    return graph.untainted(views.edges(spark, sf), few)
 
 
 @query("i5_dead_checks", "SELECT var_id, count(*) FILTER (NOT punctured AND degree - n_punctured = 1) AS n_dead FROM v_checks GROUP BY 1")
@@ -111,7 +113,7 @@ WITH RECURSIVE s AS (SELECT min(var_id) AS v FROM v_edges),
  c0 AS (SELECT DISTINCT check_id FROM v_edges WHERE var_id = (SELECT v FROM s)),
  v1 AS (SELECT DISTINCT var_id FROM v_edges WHERE check_id IN (SELECT check_id FROM c0)),
  c2 AS (SELECT DISTINCT check_id FROM v_edges WHERE var_id IN (SELECT var_id FROM v1))
-SELECT check_id, min(depth) AS depth FROM (SELECT check_id, 0 AS depth FROM c0 UNION ALL SELECT check_id, 2 FROM c2) GROUP BY 1""")
+SELECT check_id, CAST(min(depth) AS BIGINT) AS depth FROM (SELECT check_id, 0 AS depth FROM c0 UNION ALL SELECT check_id, 2 FROM c2) GROUP BY 1""")
 def i7(spark, sf):
     e = views.edges(spark, sf)
     return tidy(graph.reachable_checks(e, e.agg(F.min("var_id").alias("var_id")), 4))

@@ -517,8 +517,8 @@ def h35(spark, sf):
 
 
 @query("h36_blind_start", """
-SELECT sample_key, CASE WHEN q_channel <= 0.05 THEN 0 WHEN q_channel <= 0.10 THEN -455 ELSE -170 END AS initial_shortening,
-  CASE WHEN q_channel <= 0.10 THEN 3 ELSE 5 END AS max_iterations,
+SELECT sample_key, CAST(CASE WHEN q_channel <= 0.05 THEN 0 WHEN q_channel <= 0.10 THEN -455 ELSE -170 END AS BIGINT) AS initial_shortening,
+  CAST(CASE WHEN q_channel <= 0.10 THEN 3 ELSE 5 END AS BIGINT) AS max_iterations,
   CASE WHEN q_channel <= 0.05 THEN 0.10 WHEN q_channel <= 0.10 THEN 0.15 ELSE 0.20 END::DOUBLE AS modulation_delta,
   CASE WHEN q_channel > 0.05 THEN least(CAST(floor(204 * 0.1::DOUBLE) AS BIGINT), 204 // 3) ELSE 0 END AS first_disclosure,
   round(CASE WHEN num_pairs % 300 >= 204 THEN 0.5 ELSE 0.5 + 0.5 * ((num_pairs % 300) / 204::DOUBLE) * 0.4::DOUBLE END, 9) AS effective_rate
