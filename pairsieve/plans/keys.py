@@ -15,7 +15,7 @@ from ..sources import views
 from . import oracle as o
 from .common import k, tidy
 from .registry import query, view
-from .sessions import FRACTION_LARGE, FRACTION_SMALL, key_blocks, large_key_blocks
+from .sessions import FRACTION_LARGE, FRACTION_SMALL, key_blocks
 
 c = F.col
 

@@ -13,7 +13,7 @@ from ..sources import views
 from .common import k, tidy
 from .contracts import V_REPORT, report_rows
 from .registry import query
-from .scalar import _LOG4, _MIN_N
+from .scalar import _MIN_N
 
 c = F.col
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import bits, bounds, channel, finite, rates, security
+from ..functions import bounds, channel, finite, rates, security
 from ..sources import views
 from . import oracle as o
 from .common import k, out, tidy

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import finite, rates
+from ..functions import rates
 from ..operators import contracts as rules
 from ..operators import ledger, sifting
 from ..operators.ordered import positions, prefix_of, previous, running

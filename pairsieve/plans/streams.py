@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ledger import whole_bits  # noqa: F401
 from ..session import scratch_path
 from ..sources import store, views
 from ..streaming import base, jobs
@@ -23,7 +22,7 @@ def rounds(spark, sf) -> DataFrame:
     return ev.select(
         c("user_id").alias("session_id"), rid.alias("round_id"), "ts", (c("event_type") != "error").alias("detected"),
         views.coin("ab", rid).alias("a_basis"), views.coin("bb", rid).alias("b_basis"), views.coin("ao", rid).alias("a_bit"),
-    ).withColumns(views._pair_columns(c("round_id")))
+    ).withColumns(views.pair_columns(c("round_id")))
 
 
 def tests(spark, sf) -> DataFrame:

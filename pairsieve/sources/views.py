@@ -49,7 +49,7 @@ def byte_of(tag: str, *ids: Column) -> Column:
 NOISE_OF_256 = 13
 
 
-def _pair_columns(rid: Column) -> dict[str, Column]:
+def pair_columns(rid: Column) -> dict[str, Column]:
     same = F.col("a_basis") == F.col("b_basis")
     return {
         "b_bit": F.when(same & (byte_of("n", rid) >= NOISE_OF_256), F.col("a_bit"))
@@ -72,7 +72,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
             coin("bb", rid).alias("b_basis"),
             coin("ao", rid).alias("a_bit"),
         )
-        .withColumns(_pair_columns(F.col("round_id")))
+        .withColumns(pair_columns(F.col("round_id")))
     )
 
 
@@ -100,7 +100,7 @@ def pairs_large(spark: SparkSession, sf_dir: str) -> DataFrame:
             coin("bb", rid).alias("b_basis"),
             coin("ao", rid).alias("a_bit"),
         )
-        .withColumns(_pair_columns(rid))
+        .withColumns(pair_columns(rid))
     )
 
 

@@ -11,7 +11,7 @@ from ..operators.ledger import entry_bits, whole_bits
 from ..operators.ordered import previous, running
 from ..operators.skew import attach
 from ..sources import store
-from .base import drain, drain_latest, drain_with_carry
+from .base import drain_with_carry
 
 c = F.col
 DELAY = "10 minutes"
@@ -150,5 +150,3 @@ def ingest_results(stream: DataFrame, path: str, key: str = "sample_key") -> Non
     query = once.writeStream.option("checkpointLocation", path + "-state").trigger(availableNow=True)
     query.foreachBatch(write).start().awaitTermination()
 
-
-__all__ = ["drain", "drain_latest"]

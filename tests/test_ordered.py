@@ -62,6 +62,7 @@ def test_exact_subset(spark, table):
             assert sorted(r.d for r in mine if r.hit) == want
 
 
-def test_prefix(one):
-    assert one(F.substring(F.lit("abcdef"), 1, 4)) == "abcd"
-    assert prefix_of is not None
+def test_prefix_buckets_keep_the_order(spark):
+    df = spark.range(500).select(F.md5(F.col("id").cast("string")).alias("d"))
+    got = positions(df, [], "d", bucket=prefix_of("d", 1)).orderBy("d").collect()
+    assert [r.pos for r in got] == list(range(1, 501))
