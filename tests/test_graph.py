@@ -106,3 +106,20 @@ def test_toeplitz_both_ways(spark, limit):
     got = extract.toeplitz(extract.seeded_rows(df, ["key"], seed), ["key"], limit_log2=limit).collect()
     for key in sizes:
         assert [r.bit for r in sorted((r for r in got if r.key == key), key=lambda r: r.i)] == want[key]
+
+
+def test_retries_only_touch_failed_frames(spark):
+    edges, df = code(spark)
+    bits = [v % 2 for v in range(60)]
+    flips = {0: set(), 1: {3, 30, 50}}
+    llr = [(f, v, (1 - 2 * (b ^ (v in flips[f]))) * 3.0) for f in flips for v, b in enumerate(bits)]
+    target = [(f, c, sum(bits[v] for cc, v in edges if cc == c) % 2) for f in flips for c in {c for c, _ in edges}]
+    llr = spark.createDataFrame(llr, "frame_id int, var_id bigint, llr double")
+    target = spark.createDataFrame(target, "frame_id int, check_id bigint, target int")
+    first = {r.frame_id: r.n_failing for r in decode.decode(df, llr, target, 1).collect()}
+    got = decode.decode_with_retries(df, llr, target, 1, retries=2, iteration_scale=4.0).collect()
+    assert len(got) == 120
+    assert {r.attempt for r in got if r.frame_id == 0} == {0}
+    assert all(r.n_failing <= first[r.frame_id] for r in got)
+    for r in got:
+        assert not r.converged or r.bit == bits[r.var_id]
