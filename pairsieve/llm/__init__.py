@@ -1,6 +1 @@
 """Operators of a training-data pipeline over documents, pages and embeddings."""
-
-from . import queries  # noqa: F401  registers
-from .registry import ORACLES, QUERIES
-
-__all__ = ["ORACLES", "QUERIES"]

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import scratch_path
 from . import packing, token_files
 from .common import read
-from .registry import query
+from .registry import ORACLES, QUERIES, query
+
+__all__ = ["ORACLES", "QUERIES"]
 
 VOCABULARY = "word_bpe_49k.json"
 
