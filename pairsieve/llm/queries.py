@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
-from . import packing, token_files
+from . import langid, packing, quality, token_files
 from .common import read
 from .registry import ORACLES, QUERIES, query
 
@@ -15,6 +15,16 @@ __all__ = ["ORACLES", "QUERIES"]
 VOCABULARY = "word_bpe_49k.json"
 
 
+@query("op2_language_id")
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_held_out(read(spark, sf_dir, "documents"))
+
+
+@query("op6_quality")
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_held_out(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query("op9_packing")
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
