@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
-from . import langid, packing, quality, token_files
+from . import langid, minhash, packing, quality, token_files, warc
 from .common import read
 from .registry import ORACLES, QUERIES, query
 
@@ -20,11 +20,36 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_held_out(read(spark, sf_dir, "documents"))
 
 
+@query("op3_minhash")
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 @query("op6_quality")
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_held_out(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS n, sha1(h) AS x FROM p),
+w AS (SELECT x, max(page_id) AS holder FROM d GROUP BY x)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(d.x, CAST(5 * (i // 4) + 1 AS INT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31 AS INT) + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = holder OR holder IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = holder OR holder IS NULL THEN NULL ELSE holder END AS refers_to
+FROM d JOIN w USING (x)
+"""
+
+
+@query("op8_warc", WARC_SQL)
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "archive")
+    warc.write_archive(read(spark, sf_dir, "pages"), folder)
+    return warc.read_index(spark, folder)
+
+
 @query("op9_packing")
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
