@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontam, langid, minhash, packing, pii, quality, token_files, warc
+from . import decontam, langid, mih, minhash, packing, pii, quality, token_files, warc
 from .common import read
 from .registry import ORACLES, QUERIES, query
 
@@ -15,6 +16,11 @@ __all__ = ["ORACLES", "QUERIES"]
 VOCABULARY = "word_bpe_49k.json"
 
 
+@query("op1_multi_index_hashing")
+def op1_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mih.nearest(read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 @query("op2_language_id")
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_held_out(read(spark, sf_dir, "documents"))
