@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontam, langid, mih, minhash, packing, pii, quality, token_files, warc
+from . import decontam, langid, mih, minhash, packing, pfp, pii, quality, token_files, warc
 from .common import read
 from .registry import ORACLES, QUERIES, query
 
@@ -46,6 +46,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_held_out(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+@query("op7_prefix_free_parsing")
+def op7_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfp.report(read(spark, sf_dir, "documents"))
+
+
 WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, strlen(h) AS n, sha1(h) AS x FROM p),
