@@ -5,10 +5,13 @@
    class from here on, with the least doc_id as representative.
 2. Signatures are cut into bands; representatives that agree in a band share a
    bucket. With 32 bands of 4 a pair at the threshold is missed with 5e-6.
-3. Round one compares every member of a bucket with the bucket's least member.
-   Round two compares, within each bucket, members that are still in different
-   components, so groups of near copies never give all pairs, and no link that
-   could join two components is left untested.
+3. Round one compares every member of a bucket with the bucket's hub, the member
+   that shares most buckets with others: in a group of near copies that is the
+   version closest to the rest. Round two takes the buckets whose members are
+   still in different components. Members outside a bucket's main component are
+   compared with all members in other components, in blocks of bounded size
+   that give out confirmed links only, so no group's pairs are ever listed and
+   no link that could join two components is left untested.
 4. Each candidate pair is compared a batch of signature positions at a time.
    After each batch it is dropped when the posterior probability (uniform
    prior) that its similarity reaches the threshold is below ``MISS``.
@@ -32,21 +35,21 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
 from .common import rows_at_a_time, texts_of, word_shingles
 from .components import components
+from .idfilter import id_filter, id_slot, in_filter
 
 WIDTH = 5
 BANDS, ROWS = 32, 4
 SIGNATURE = BANDS * ROWS
 BATCH = 32
 NUMERATOR, DENOMINATOR = 75, 100
-MISS = 1e-7
+MISS = 1e-5
 BLOCK_SHINGLES = 1 << 19
-FILTER_BITS = 1 << 23
 
 _seed = np.random.default_rng(7919)
 _MULTIPLIERS = _seed.integers(1, 1 << 63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -136,42 +139,32 @@ def plausible(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
 
 
-def _slot(id_: Column) -> Column:
-    return F.pmod(F.xxhash64(id_), F.lit(FILTER_BITS))
-
-
-def _id_filter(ids: DataFrame) -> np.ndarray:
-    """Bit array of FILTER_BITS that holds all ids: a filter without false negatives, of the same size for any input."""
-    words = (
-        ids.select(_slot(F.col("id")).alias("s"))
-        .groupBy(F.shiftright("s", 6).alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("mask"))
-        .toArrow()
-    )
-    out = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
-    out[words.column("word").to_numpy()] = words.column("mask").to_numpy().view(np.uint64)
-    return out
-
-
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, shingles) of the given ids. What the filter lets through besides goes in the join."""
-    shared = docs.sparkSession.sparkContext.broadcast(_id_filter(ids))
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
-            s = batch.column("slot").to_numpy()
-            keep = np.flatnonzero((bits[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1))
+            keep = np.flatnonzero(in_filter(bits, batch.column("slot").to_numpy()))
             if not len(keep):
                 continue
             for table in rows_at_a_time([batch.take(pa.array(keep))], 1 << 20):
                 sets = [s.tobytes() for _, s in shingle_sets([t or b"" for t in table.column("text").to_pylist()])]
                 yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), pa.array(sets, pa.binary())], ["id", "shingles"])
 
-    raw = texts_of(docs).where(F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("binary").alias("text"), _slot(F.col("doc_id")).alias("slot"))
+    raw = texts_of(docs).where(F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("binary").alias("text"), id_slot(F.col("doc_id")).alias("slot"))
     return raw.mapInArrow(run, "id long, shingles binary")
 
 
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    if not len(a) or not len(b) or DENOMINATOR * min(len(a), len(b)) < NUMERATOR * max(len(a), len(b)):
+        return False
+    common = int(np.count_nonzero(a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b))
+    return DENOMINATOR * common >= NUMERATOR * (len(a) + len(b) - common)
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) of representatives whose full sets are similar enough.
 
@@ -195,11 +188,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
             sets[id_] = np.frombuffer(s, dtype=np.uint64)
         mine, good = sets.pop(a, np.zeros(0, dtype=np.uint64)), []
         for id_, other in sets.items():
-            if len(mine) and len(other):
-                at = np.minimum(np.searchsorted(mine, other), len(mine) - 1)
-                common = int(np.count_nonzero(mine[at] == other))
-                if DENOMINATOR * common >= NUMERATOR * (len(mine) + len(other) - common):
-                    good.append(id_)
+            if similar(mine, other):
+                good.append(id_)
         return pa.table({"a": pa.array([a] * len(good), pa.int64()), "b": pa.array(good, pa.int64())})
 
     return own.groupBy("a", "block").applyInArrow(check, "a long, b long")
@@ -215,32 +205,66 @@ def links(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("rep").alias("id"),
         F.explode(F.array(*[F.xxhash64(F.lit(k), F.substring("signature", 4 * ROWS * k + 1, 4 * ROWS)) for k in range(BANDS)])).alias("bucket"),
     )
-    shared = bands.groupBy("bucket").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = written(bands.join(shared, "bucket"), "bucket-members")
+    popular = members.groupBy("id").agg(F.sum("n").alias("popularity"))
+    known = members.drop("n").join(popular, "id")
+    hubs = known.groupBy("bucket").agg(F.max_by("id", F.struct("popularity", -F.col("id"))).alias("hub"))
+    starred = members.drop("n").join(hubs, "bucket").where("id <> hub")
+    candidates = written(starred.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "candidates")
+    first = written(confirmed(plausible(candidates, classes), docs, classes), "links")
+    labels = written(components(first), "labels")
+    both = first.unionByName(written(between_components(members, labels, docs, classes), "links"))
+    return both, written(components(both), "labels")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        candidates = written(pairs, "candidates")
-        return written(confirmed(plausible(candidates, classes), docs, classes), "links")
 
-    first = verified(members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
-    labels = written(components(first), "labels")
+def between_components(members: DataFrame, labels: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between members of a bucket that are in different components so far.
 
-    # what is left: members of a bucket outside its largest component, with all members in other components
-    placed = _with_component(members, labels, "id", "c")
+    Everything is grouped by the main component of the bucket. Members outside
+    it make the blocks of one side, all members those of the other; a task
+    compares one block of either side, by band, then by signature batch after
+    batch, then on the full sets.
+    """
+    placed = _with_component(members.select("bucket", "id"), labels, "id", "c")
     counts = placed.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
     main = counts.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    open_members = written(placed.join(main, "bucket"), "open-buckets")
-    outside = open_members.where("c <> main").select("bucket", F.col("id").alias("x"), F.col("c").alias("cx"))
-    inside = open_members.select("bucket", F.col("id").alias("y"), F.col("c").alias("cy"), (F.col("c") == F.col("main")).alias("is_main"), "leader")
-    left = (
-        outside.join(inside, "bucket")
-        .where("cx <> cy AND (is_main OR x < y) AND x <> leader AND y <> leader")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
-    )
-    second = verified(left)
-    both = first.unionByName(second)
-    return both, written(components(both), "labels")
+    facts = classes.select(F.col("rep").alias("id"), "n_shingles", "signature")
+    people = placed.join(main, "bucket").select("main", "id", "c").distinct().join(facts.drop("signature"), "id")
+    people = written(people, "open-members")
+    outside = F.col("c") != F.col("main")
+    amount = lambda what: F.ceil(F.sum(what) / BLOCK_SHINGLES).cast("int")
+    blocks = people.groupBy("main").agg(amount(F.when(outside, F.col("n_shingles"))).alias("x_blocks"), amount(F.col("n_shingles")).alias("y_blocks"))
+    found = written(sets_of(docs, people.select("id")), "sets")
+    full = people.join(found, "id").where(F.octet_length("shingles") == F.col("n_shingles") * 8).join(facts.drop("n_shingles"), "id").join(blocks, "main")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["main", "x", "y", "id", "c", "signature", "shingles"]
+    xs = full.where(outside).withColumn("x", own("x_blocks")).withColumn("y", every("y_blocks")).select(*[F.col(n).alias(f"x_{n}") for n in columns])  # names of its own, as both sides come from one table
+    ys = full.withColumn("y", own("y_blocks")).withColumn("x", every("x_blocks")).select(*columns)
+    fewest = fewest_matches()
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        out_a, out_b = [], []
+        if left.num_rows and right.num_rows:
+            left = left.rename_columns(columns)
+            main_ = right.column("main")[0].as_py()
+            x_ids, x_c, y_ids, y_c = (t.column(n).to_numpy() for t in (left, right) for n in ("id", "c"))
+            x_sig, y_sig = (np.frombuffer(b"".join(t.column("signature").to_pylist()), dtype="<u4").reshape(-1, SIGNATURE) for t in (left, right))
+            x_sets, y_sets = ([np.frombuffer(s, dtype=np.uint64) for s in t.column("shingles").to_pylist()] for t in (left, right))
+            for k in range(len(x_ids)):
+                same = y_sig == x_sig[k]
+                alive = np.flatnonzero(same.reshape(-1, BANDS, ROWS).all(axis=2).any(axis=1) & (y_c != x_c[k]) & ((y_c == main_) | (y_ids > x_ids[k])))
+                for n, least in fewest.items():
+                    alive = alive[same[alive, :n].sum(axis=1) >= least]
+                for y in alive.tolist():
+                    if similar(x_sets[k], y_sets[y]):
+                        out_a.append(int(x_ids[k]))
+                        out_b.append(int(y_ids[y]))
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    key = ["main", "x", "y"]
+    return xs.groupBy(*[f"x_{n}" for n in key]).cogroup(ys.groupBy(*key)).applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
