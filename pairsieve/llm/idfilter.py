@@ -8,6 +8,7 @@ many ids are given it lets more through, and the join behind it decides.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,3 +34,23 @@ def id_filter(ids: DataFrame) -> np.ndarray:
 
 def in_filter(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return ((bits[slots >> 6] >> (slots & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id isn't in the single column of ``ids``; null ids stay.
+
+    Only rows that the filter lets through take part in a join, so the other
+    texts aren't shuffled.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
+
+    @F.pandas_udf("boolean")
+    def may_be_in(slots: pd.Series) -> pd.Series:
+        return pd.Series(in_filter(shared.value, slots.to_numpy()))
+
+    id_ = F.col("doc_id").cast("long")
+    marked = docs.withColumn("_maybe", F.when(id_.isNotNull(), may_be_in(F.coalesce(id_slot(id_), F.lit(0).cast("long")))).otherwise(F.lit(False)))
+    clear = marked.where(~F.col("_maybe")).drop("_maybe")
+    gone = ids.select(F.col(ids.columns[0]).alias("_gone")).distinct()
+    looked_up = marked.where("_maybe").join(gone, id_ == F.col("_gone"), "left_anti").drop("_maybe")
+    return clear.unionByName(looked_up)
