@@ -1,4 +1,7 @@
-"""Contract checks: each returns the ids of the violated rules, rows stay whole."""
+"""Contract checks: each returns the ids of the violated rules, rows stay whole.
+
+The rule ids are fixed values.
+"""
 
 from __future__ import annotations
 
@@ -91,11 +94,12 @@ def amplification_rules(length: Column, consumed: Column) -> dict[str, Column]:
     return {"POST-AMP-001": length > 0, "POST-AMP-002": consumed >= length}
 
 
-def output_rules(s0: Column, s1: Column, sc: Column, choice: Column, length: Column) -> dict[str, Column]:
+def output_rules(n0: Column, n1: Column, nc: Column, is_chosen: Column, length: Column) -> dict[str, Column]:
+    """Lengths of both keys and of the receiver's, whether the receiver's equals the chosen one, and the stated length."""
     return {
-        "POST-OT-001": (F.length(s0) == length) & (F.length(s1) == length),
-        "POST-OT-002": F.length(sc) == length,
-        "POST-OT-003": sc == F.when(choice == 0, s0).otherwise(s1),
+        "POST-OT-001": (n0 == length) & (n1 == length),
+        "POST-OT-002": nc == length,
+        "POST-OT-003": is_chosen,
     }
 
 

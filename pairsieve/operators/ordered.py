@@ -4,12 +4,13 @@ A plain window ``partitionBy(session)`` sorts a whole session in one task,
 which fails when one session holds a third of the table. Here the order
 column is cut in buckets, the window runs inside (key, bucket), and what
 must be carried from bucket to bucket comes from a small summary table with
-one row per (key, bucket). The summary is aggregated map-side, and its join
-back uses the same partitioning as the window, so the big side shuffles
-once.
+one row per (key, bucket). The summary is aggregated map-side. Its join
+back uses the same partitioning as the window. Input that is costly to
+compute is read by both branches; write it first where that matters.
 
 For an integer order column that is unique within the key, a bucket holds
-at most ``width`` rows. For md5 text the bucket is a digit prefix.
+at most ``width`` rows. For md5 text the bucket is a digit prefix, as long
+as the size of the table asks for.
 """
 
 from __future__ import annotations
@@ -20,14 +21,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WIDTH = 1 << 16
-PREFIX_DIGITS = 4
+LEAST_DIGITS, MOST_DIGITS = 3, 10
+ROW_BYTES = 32  # estimated size of a row at least
 
 
 def bucket_of(order: str, width: int = WIDTH) -> Column:
     return F.floor(F.col(order) / width)
 
 
-def prefix_of(order: str, digits: int = PREFIX_DIGITS) -> Column:
+def prefix_digits(df: DataFrame) -> int:
+    """Hex digits with which a prefix holds about WIDTH rows, from the optimizer's size estimate (no job)."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    prefixes = max(1, size // ROW_BYTES // WIDTH)
+    return min(MOST_DIGITS, max(LEAST_DIGITS, -(-(prefixes.bit_length() - 1) // 4)))
+
+
+def prefix_of(order: str, digits: int = LEAST_DIGITS) -> Column:
     return F.substring(F.col(order), 1, digits)
 
 
@@ -110,7 +119,7 @@ def mark_smallest(
     digest: str,
     size: Callable[[Column], Column],
     out: str,
-    digits: int = PREFIX_DIGITS,
+    digits: int | None = None,
 ) -> DataFrame:
     """Exact-size random subset: flag the rows with the smallest digests in each key.
 
@@ -120,14 +129,17 @@ def mark_smallest(
     prefix decides the rest. The rank runs per (key, prefix), so no key is
     ever sorted as a whole.
     """
-    base = df.withColumn("_p", prefix_of(digest, digits))
+    base = df.withColumn("_p", prefix_of(digest, digits or prefix_digits(df)))
     hist = base.groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     # the size of a key is added up from the histogram; keys are rows here, not groups
     need = hist.select(
-        *keys, "_p",
+        *keys, "_p", "_n",
         (size(F.sum("_n").over(Window.partitionBy(*keys))) - F.coalesce(F.sum("_n").over(upto), F.lit(0))).alias("_need"),
     ).where(F.col("_need") > 0)
+    joined = base.join(need, [*keys, "_p"], "left")
+    split = F.coalesce(F.col("_need") < F.col("_n"), F.lit(False))  # only here the rank decides
     rank = F.row_number().over(Window.partitionBy(*keys, "_p").orderBy(digest))
-    joined = base.join(need, [*keys, "_p"], "left").withColumn("_r", rank)
-    return joined.select(*df.columns, F.coalesce(F.col("_r") <= F.col("_need"), F.lit(False)).alias(out))
+    whole = joined.where(~split).select(*df.columns, F.col("_need").isNotNull().alias(out))
+    ranked = joined.where(split).withColumn("_r", rank).select(*df.columns, (F.col("_r") <= F.col("_need")).alias(out))
+    return whole.unionByName(ranked)

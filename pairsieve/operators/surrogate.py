@@ -121,12 +121,16 @@ def predict(df: DataFrame, model: Landscape, keys, out: tuple[str, str]) -> Data
     """Add mean and standard deviation.
 
     ``keys`` is the name of one group for all rows, or a list of columns
-    that choose the model of each row.
+    that choose the model of each row. A group without training rows gets
+    the prior: mean of all groups' offsets, unit deviation.
     """
     inputs = list(model.inputs)
     by_row = isinstance(keys, list)
 
     def apply(x: np.ndarray, key) -> tuple[np.ndarray, np.ndarray]:
+        if key not in model.weights:
+            known = list(model.offset.values())
+            return np.full(len(x), float(np.mean(known)) if known else 0.0), np.ones(len(x))
         phi = model.features(x)
         mu = phi @ model.weights[key] + model.offset[key]
         var = model.noise + np.einsum("ij,jk,ik->i", phi, model.cover[key], phi)

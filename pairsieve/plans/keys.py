@@ -217,13 +217,19 @@ def h49(spark, sf):
 view("v_large_part", "SELECT session_id, basis, a_bit AS bit, row_number() OVER (PARTITION BY session_id, basis ORDER BY round_id) - 1 AS pos, count(*) OVER (PARTITION BY session_id, basis) AS n FROM v_large_key")
 
 
-@query("h49_toeplitz_large", f"SELECT CAST(basis AS BIGINT) AS basis, i, CAST(bit AS BIGINT) AS bit FROM ({_TOEP.format(src='v_large_part').replace('n // 2', 'n // 32')})")
+# the same sum, the seed's coins drawn once per place
+_TOEP_JOIN = f"""
+SELECT p.session_id, p.basis, s.k - p.pos AS i, bit_xor(s.coin * p.bit) AS bit FROM (SELECT * FROM v_large_part WHERE n // 2 > 0) p JOIN (
+  SELECT basis, k, {o.coin('t', "basis || ':' || k")} AS coin FROM (SELECT basis, unnest(range(0, max(n) + max(n) // 2)) AS k FROM v_large_part GROUP BY basis)) s
+ ON s.basis = p.basis AND s.k >= p.pos AND s.k < p.pos + p.n // 2 GROUP BY 1, 2, 3"""
+
+
+@query("h49_toeplitz_large", f"SELECT CAST(basis AS BIGINT) AS basis, i, CAST(bit AS BIGINT) AS bit FROM ({_TOEP_JOIN})")
 def h49_large(spark, sf):
     s = sifting.sift(views.pairs_large(spark, sf))
     key = sifting.key_part(sifting.assign_roles(s, FRACTION_LARGE))
-    rows = extract.seeded_rows(partition_rows(key, 32), ["session_id", "basis"], extract.seed_from("t", c("basis")))
-    # a low limit, so that this key takes the two-pass way
-    return tidy(extract.toeplitz(rows, ["session_id", "basis"], limit_log2=10).drop("session_id"))
+    rows = extract.seeded_rows(partition_rows(key), ["session_id", "basis"], extract.seed_from("t", c("basis")))
+    return tidy(extract.toeplitz(rows, ["session_id", "basis"]).drop("session_id"))
 
 
 # --- whole sessions ---------------------------------------------------------
@@ -303,20 +309,26 @@ def m1_keys(spark, sf):
 
 
 @query("b7_output_contracts", """
-SELECT session_id, concat_ws(',', CASE WHEN session_id % 7 = 2 THEN 'POST-OT-001,POST-OT-002' END, CASE WHEN session_id % 5 = 1 AND s0 <> s1 THEN 'POST-OT-003' END) AS violations
-FROM (SELECT session_id, string_agg(CASE WHEN basis = 0 THEN bit::VARCHAR END, '' ORDER BY pos) AS s0, string_agg(CASE WHEN basis = 1 THEN bit::VARCHAR END, '' ORDER BY pos) AS s1 FROM v_part WHERE pos < 8 GROUP BY 1
- HAVING count(*) = 16)""")
+SELECT session_id, concat_ws(',', CASE WHEN length(s0) <> n OR length(s1) <> n THEN 'POST-OT-001' END, CASE WHEN length(sc) <> n THEN 'POST-OT-002' END, CASE WHEN sc <> mine THEN 'POST-OT-003' END) AS violations
+FROM (SELECT *, CASE WHEN session_id % 5 = 1 THEN other ELSE mine END AS sc, length(mine) + CASE WHEN session_id % 7 = 2 THEN 1 ELSE 0 END AS n FROM (
+ SELECT *, CASE WHEN session_id % 2 = 0 THEN s0 ELSE s1 END AS mine, CASE WHEN session_id % 2 = 0 THEN s1 ELSE s0 END AS other FROM (
+  SELECT session_id, coalesce(string_agg(bit::VARCHAR, '' ORDER BY pos) FILTER (basis = 0), '') AS s0, coalesce(string_agg(bit::VARCHAR, '' ORDER BY pos) FILTER (basis = 1), '') AS s1 FROM v_part GROUP BY 1)))""")
 def b7_output(spark, sf):
     s = sifting.sift(views.pairs(spark, sf))
     key = sifting.key_part(sifting.assign_roles(s, FRACTION_SMALL))
-    head = positions(key, ["session_id", "basis"], "round_id", out="i", start=0).where("i < 8").withColumn("bit", c("a_bit"))
-    text = extract.output_text(head, ["session_id", "basis"])
-    side = lambda b: F.max(F.when(c("basis") == b, c("text")))
-    keys = text.groupBy("session_id").agg(side(0).alias("s0"), side(1).alias("s1")).where("length(s0) = 8 AND length(s1) = 8")
+    bits_ = positions(key, ["session_id", "basis"], "round_id", out="i", start=0).withColumn("bit", c("a_bit"))
+    text = extract.output_text(bits_, ["session_id", "basis"])
+    # whole keys, compared piece by piece: a piece is at most one row of text
+    side = lambda b: F.coalesce(F.max(F.when(c("basis") == b, c("text"))), F.lit(""))
+    pieces = text.groupBy("session_id", "piece").agg(side(0).alias("s0"), side(1).alias("s1"))
     # every fifth session holds the other key, every seventh states a wrong length
     choice = (c("session_id") % 2).cast("int")
     mine = F.when(choice == 0, c("s0")).otherwise(c("s1"))
     other = F.when(choice == 0, c("s1")).otherwise(c("s0"))
     sc = F.when(c("session_id") % 5 == 1, other).otherwise(mine)
-    length = F.when(c("session_id") % 7 == 2, 9).otherwise(8)
-    return keys.select("session_id", rules.violated(rules.output_rules(c("s0"), c("s1"), sc, choice, length)).alias("violations"))
+    sums = pieces.groupBy("session_id").agg(
+        F.sum(F.length("s0")).alias("n0"), F.sum(F.length("s1")).alias("n1"), F.sum(F.length(sc)).alias("nc"),
+        F.sum(F.length(mine)).alias("stated"), F.bool_and(sc == mine).alias("chosen"),
+    )
+    length = c("stated") + F.when(c("session_id") % 7 == 2, 1).otherwise(0)
+    return sums.select("session_id", rules.violated(rules.output_rules(c("n0"), c("n1"), c("nc"), c("chosen"), length)).alias("violations"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import acquire, guardrail, surrogate, sweep
-from ..operators.ordered import positions, prefix_of, running
+from ..operators.ordered import WIDTH, positions, prefix_digits, prefix_of, running
 from ..session import written
 from ..sources import store, views
 from . import oracle as o
@@ -77,7 +77,7 @@ def j4(spark, sf):
 @query("j5_guardrail_fit")
 def j5(spark, sf):
     df = written(training(spark, sf), "training")
-    model = guardrail.fit_guardrail(df, trees=20)
+    model = guardrail.fit_guardrail(df)
     got = guardrail.score(df, model).withColumn("failed", c("net_efficiency") <= 0)
     return got.groupBy("failed").agg(F.count(F.lit(1)).alias("n"), F.count_if(c("p_fail") >= 0.5).alias("predicted_failed"), F.count_if(c("p_fail") >= guardrail.SKIP_AT).alias("skipped"))
 
@@ -85,7 +85,7 @@ def j5(spark, sf):
 @query("j6_guardrail_filter")
 def j6(spark, sf):
     df = written(training(spark, sf), "training")
-    kept = guardrail.split(df, guardrail.fit_guardrail(df, trees=10))
+    kept = guardrail.split(df, guardrail.fit_guardrail(df))
     return kept.groupBy("guard", "strategy").agg(F.count(F.lit(1)).alias("n"), F.count_if(c("net_efficiency") > 0).alias("n_success"))
 
 
@@ -168,7 +168,7 @@ def f7_strata(spark, sf):
 @query("f8_feasible_quota", "SELECT sample_key, round(margin, 9) AS margin FROM v_feasible WHERE is_feasible QUALIFY row_number() OVER (ORDER BY sample_key) <= 5000")
 def f8(spark, sf):
     ok = views.with_feasibility(views.samples(spark, sf)).where("is_feasible").select("sample_key", "margin")
-    return tidy(positions(ok, [], "sample_key", bucket=prefix_of("sample_key", 3)).where("pos <= 5000").select("sample_key", "margin"))
+    return tidy(positions(ok, [], "sample_key", bucket=prefix_of("sample_key", prefix_digits(ok))).where("pos <= 5000").select("sample_key", "margin"))
 
 
 @query("j9_fit_quality", f"""
@@ -198,8 +198,10 @@ def roc_points(scored: DataFrame, score: str, positive: str) -> DataFrame:
     """Cumulative shares over the distinct scores, highest first."""
     per = scored.groupBy(c(score).alias("score")).agg(F.count_if(c(positive)).alias("p"), F.count_if(~c(positive)).alias("n"))
     per = per.withColumn("down", -c("score"))
-    got = running(per, [], "down", {"tp": ("sum", c("p")), "fp": ("sum", c("n"))})
-    totals = per.agg(F.sum("p").alias("P"), F.sum("n").alias("N")).first()
+    totals = per.agg(F.sum("p").alias("P"), F.sum("n").alias("N"), F.count(F.lit(1)).alias("k"), F.min("down").alias("lo"), F.max("down").alias("hi")).first()
+    span = float((totals["hi"] or 0) - (totals["lo"] or 0)) or 1.0
+    width = span / max(1, totals["k"] // WIDTH)
+    got = running(per, [], "down", {"tp": ("sum", c("p")), "fp": ("sum", c("n"))}, bucket=F.floor((c("down") - F.lit(totals["lo"] or 0)) / F.lit(width)))
     return got.select(
         "score", "down", "p", "n", (c("tp") / F.lit(totals["P"] or 1)).alias("tpr"), (c("fp") / F.lit(totals["N"] or 1)).alias("fpr"),
         (c("p") / F.lit(totals["P"] or 1)).alias("dt"), (c("n") / F.lit(totals["N"] or 1)).alias("df"),
@@ -261,9 +263,9 @@ def active_loop(spark, sf, path: str, rounds: int, batch: int, retrain_every: in
         seen = store.read_results(spark, path)
         if i % retrain_every == 0 or model is None:
             train = written(sweep.encode(seen.where("outcome <> 'skipped_infeasible'")).select("sample_key", "strategy", *sweep.FEATURES, "net_efficiency"), "train")
-            model, guard = surrogate.fit(train), guardrail.fit_guardrail(train, trees=5, depth=5)
+            model, guard = surrogate.fit(train), guardrail.fit_guardrail(train)
         left = pool.join(seen.select("sample_key"), "sample_key", "left_anti")
-        scored = guardrail.split(surrogate.predict(left, model, "baseline", ("mu", "sd")), guard).where("guard = 'run'")
+        scored = guardrail.split(surrogate.predict(left, model, ["strategy"], ("mu", "sd")), guard).where("guard = 'run'")
         scored = written(scored.withColumn("score", acquire.straddle(c("mu"), c("sd"))), "scored")
         picks = acquire.diverse_batch(scored, batch, "score", "sample_key")
         chosen = scored.join(picks.select("sample_key", "pick"), "sample_key")

@@ -137,12 +137,12 @@ WITH a AS (SELECT
    count(*) FILTER (dark_count_prob > 1e-4) AS burst_n, coalesce(avg(is_success::INT) FILTER (dark_count_prob > 1e-4 AND strategy = 'baseline'), 0) AS bb, coalesce(avg(is_success::INT) FILTER (dark_count_prob > 1e-4 AND strategy = 'blind'), 0) AS bd,
    count(*) FILTER (net_efficiency > 0 AND net_efficiency < 0.05 AND strategy = 'baseline') AS tb, count(*) FILTER (net_efficiency > 0 AND net_efficiency < 0.05 AND strategy = 'blind') AS td
  FROM {V_REPORT})
-SELECT 'Low Latency (N < 5000)' AS scenario, CASE WHEN sd > sb THEN 'Blind' ELSE 'Baseline' END AS recommended_strategy, CASE WHEN sd > sb THEN round(CASE WHEN sb > 0 THEN (sd - sb) / sb * 100 ELSE 0 END, 6) END AS expected_gain_percent,
-   CASE WHEN sd > sb THEN 'Blind adapts better to high QBER variance' ELSE 'Static rate more stable' END AS rationale FROM a WHERE small_n > 0
-UNION ALL SELECT 'High Fidelity (F > 0.98)', CASE WHEN hb >= hd THEN 'Baseline' ELSE 'Blind' END, round(abs(hb - hd) / greatest(hb, hd, 0.001) * 100, 6),
-   CASE WHEN hb >= hd THEN 'Low QBER regime favors static rates' ELSE 'Adaptive still beneficial' END FROM a WHERE high_n > 0
-UNION ALL SELECT 'Burst Noise (P_dark > 10^-4)', CASE WHEN bd > bb THEN 'Blind' ELSE 'Either' END, NULL, CASE WHEN bd > bb THEN 'Adaptive handles dark count bursts' ELSE 'Both strategies robust here' END FROM a WHERE burst_n > 0
-UNION ALL SELECT 'Critical Safety (Margin < 5%)', CASE WHEN tb > td THEN 'Baseline' ELSE 'Blind' END, NULL, CASE WHEN tb > td THEN 'Deterministic error correction' ELSE 'Adaptive recovery' END FROM a WHERE tb + td > 0"""
+SELECT 'few_pairs_below_5000' AS scenario, CASE WHEN sd > sb THEN 'Blind' ELSE 'Baseline' END AS recommended_strategy, CASE WHEN sd > sb THEN round(CASE WHEN sb > 0 THEN (sd - sb) / sb * 100 ELSE 0 END, 6) END AS expected_gain_percent,
+   CASE WHEN sd > sb THEN 'blind_mean_higher' ELSE 'baseline_mean_not_lower' END AS rationale FROM a WHERE small_n > 0
+UNION ALL SELECT 'fidelity_above_0.98', CASE WHEN hb >= hd THEN 'Baseline' ELSE 'Blind' END, round(abs(hb - hd) / greatest(hb, hd, 0.001) * 100, 6),
+   CASE WHEN hb >= hd THEN 'baseline_mean_not_lower' ELSE 'blind_mean_higher' END FROM a WHERE high_n > 0
+UNION ALL SELECT 'dark_counts_above_1e-4', CASE WHEN bd > bb THEN 'Blind' ELSE 'Either' END, NULL, CASE WHEN bd > bb THEN 'blind_succeeds_more_often' ELSE 'blind_not_more_successful' END FROM a WHERE burst_n > 0
+UNION ALL SELECT 'efficiency_below_5_percent', CASE WHEN tb > td THEN 'Baseline' ELSE 'Blind' END, NULL, CASE WHEN tb > td THEN 'baseline_rows_more_frequent' ELSE 'blind_rows_not_fewer' END FROM a WHERE tb + td > 0"""
 
 
 @query("d19_strategy_guideline", _SG)

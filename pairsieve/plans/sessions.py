@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rates
 from ..operators import contracts as rules
 from ..operators import ledger, sifting
-from ..operators.ordered import positions, prefix_of, previous, running
+from ..operators.ordered import positions, prefix_digits, prefix_of, previous, running
 from ..operators.skew import attach
 from ..sources import views
 from . import oracle as o
@@ -315,7 +315,7 @@ def f1(spark, sf):
 @query("f3_shuffle_rows", "SELECT round_id, row_number() OVER (ORDER BY md5('mix:' || round_id)) AS place FROM v_pairs")
 def f3(spark, sf):
     mixed = views.pairs(spark, sf).select("round_id", F.md5(F.concat(F.lit("mix:"), c("round_id").cast("string"))).alias("d"))
-    return positions(mixed, [], "d", out="place", bucket=prefix_of("d", 3)).select("round_id", "place")
+    return positions(mixed, [], "d", out="place", bucket=prefix_of("d", prefix_digits(mixed))).select("round_id", "place")
 
 
 @query("f9_biased_choice", f"SELECT event_id, CAST({o.byte_of('bias', 'event_id')} < 77 AS INTEGER) AS basis, {o.coin('fair', 'event_id')} AS fair FROM events")

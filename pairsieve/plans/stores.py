@@ -87,8 +87,7 @@ def a9(spark, sf):
     bounds = config.read_bounds(spark, path)
     names = ("storage_noise_r", "channel_fidelity", "detector_error")
     rows = views.samples(spark, sf).select(*names).unpivot([], list(names), "name", "value")
-    # a parameter list: a handful of rows
-    both = rows.join(F.broadcast(bounds), "name")
+    both = rows.join(bounds, "name")
     return both.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.count_if(c("value").between(c("lo"), c("hi"))).alias("n_inside"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,15 +34,40 @@ def build_session(app: str = "pairsieve", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the package to the workers, once per Spark context.
+
+    Functions that run in tasks are found there by their module, wherever the
+    driver was started from. A test session on one machine gets it the same way.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_pairsieve_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix="spark-"), "pairsieve_package.zip")  # the driver's own copy, served by Spark
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(os.path.join(root, "pairsieve")):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, root))
+    context.addPyFile(archive)
+    context._pairsieve_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is
-    unset (tests on one machine) a temporary folder is used.
+    The cluster names it in ``spark.checkpoint.dir``; without that a cluster
+    job fails here. Only a session on one machine, where every task sees the
+    same disk, sets a temporary folder of its own.
     """
     configured = spark.conf.get(CHECKPOINT_KEY, None)
     if configured:
         return configured
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
     known = getattr(spark, "_pairsieve_dir", None)
     if known is None:
         known = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
@@ -49,9 +75,21 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return os.path.join(shared_dir(spark), "pairsieve", spark.sparkContext.applicationId)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; results read from them must be saved before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path under the shared folder."""
-    return os.path.join(shared_dir(spark), "pairsieve", f"{label}-{uuid.uuid4().hex}")
+    """A new, unused path under the shared folder, for this application; ``drop_scratch`` removes them all."""
+    ship_package(spark)
+    return os.path.join(run_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
