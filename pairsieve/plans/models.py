@@ -265,6 +265,7 @@ def active_loop(spark, sf, path: str, rounds: int, batch: int, retrain_every: in
             train = written(sweep.encode(seen.where("outcome <> 'skipped_infeasible'")).select("sample_key", "strategy", *sweep.FEATURES, "net_efficiency"), "train")
             model, guard = surrogate.fit(train), guardrail.fit_guardrail(train)
         left = pool.join(seen.select("sample_key"), "sample_key", "left_anti")
+        left = left.withColumn("strategy", F.when(c("strategy_code") < 0.5, "baseline").otherwise("blind"))
         scored = guardrail.split(surrogate.predict(left, model, ["strategy"], ("mu", "sd")), guard).where("guard = 'run'")
         scored = written(scored.withColumn("score", acquire.straddle(c("mu"), c("sd"))), "scored")
         picks = acquire.diverse_batch(scored, batch, "score", "sample_key")

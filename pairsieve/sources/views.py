@@ -21,17 +21,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where the input has fewer splits than there are cores.
-
-    A small table in a single row group would otherwise be computed by one
-    task. Inputs of cluster size have more splits than cores and stay as
-    they are. Put it behind the column selection, so that little moves.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def digest(tag: str, *ids: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(tag), *[i.cast("string") for i in ids]))
 
@@ -60,7 +49,7 @@ def pair_columns(rid: Column) -> dict[str, Column]:
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both parties' rounds: one row per event, one session per user."""
-    events = spread(read_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts"))
+    events = read_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
     rid = F.col("event_id")
     return (
         events.select(
@@ -106,11 +95,9 @@ def pairs_large(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parameter-sweep samples: one per line item."""
-    li = spread(
-        read_table(spark, sf_dir, "lineitem").select(
-            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
-            "l_returnflag", "l_linestatus",
-        )
+    li = read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+        "l_returnflag", "l_linestatus",
     )
     ten = F.lit(10.0)
     return li.select(
