@@ -46,9 +46,9 @@ LENGTH = 50
 TRIGGER = 20
 SPAN = LENGTH - TRIGGER + 1  # trigger positions of a window
 NEAR = SPAN // 2  # bytes on one side of the trigger that windows of that half hold
-POSITION_BITS = 20
+POSITION_BITS = 18
 PIECE = (1 << POSITION_BITS) - 1
-LOAD = 8 << 20
+LOAD = 3 << 20
 PART_BYTES = 48 << 20  # text whose phrases make one part
 SHARE_PHRASES = 20_000
 PHRASE_BITS = 48
