@@ -64,25 +64,45 @@ def reach_two_hops(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 HEAVY = 128
 
 
+WIDE = 8
+
+
+def _class_reach(counted: DataFrame) -> DataFrame:
+    """Members of all classes that share a check with each class, from (cls, n): (cls, big_count)."""
+    narrow = counted.where(F.size("cls") <= WIDE)
+    wide = counted.where(F.size("cls") > WIDE)
+    masks = F.explode(F.expr("sequence(1, cast(pow(2, size(cls)) as int) - 1)"))
+    subsets = narrow.withColumn("m", masks).select(
+        "cls", "n", F.expr("filter(cls, (x, i) -> (shiftright(m, i) & 1) = 1)").alias("part"), F.expr("if(bit_count(m) % 2 = 1, 1, -1)").alias("sign")
+    )
+    held = subsets.groupBy("part").agg(F.sum("n").alias("held"))
+    among_narrow = attach(subsets, held, ["part"], ["cls"]).groupBy("cls").agg(F.sum(c("sign") * c("held")).alias("k"))
+    by_check = lambda df: df.select("cls", "n", F.explode("cls").alias("check_id"))
+    one, other = by_check(wide), by_check(counted).select(c("cls").alias("cls2"), c("n").alias("n2"), "check_id")
+    met = one.join(other, "check_id").select("cls", "n", "cls2", "n2").distinct()
+    of_wide = met.groupBy("cls").agg(F.sum("n2").alias("k"))
+    towards_wide = met.where(F.size("cls2") <= WIDE).groupBy(c("cls2").alias("cls")).agg(F.sum("n").alias("k"))
+    return among_narrow.unionByName(of_wide).unionByName(towards_wide).groupBy("cls").agg(F.sum("k").alias("big_count"))
+
+
 def two_hop_sizes(edges: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """Number of distinct variables within two hops of each variable, itself included.
 
     Checks of at most ``heavy`` members meet pairwise: that multiplies an
     edge by at most ``heavy``. The members of larger checks are never
     paired. Variables that lie in the same set of large checks form one
-    class; how many variables two classes reach is counted on the classes.
-    Light pairs already reached through a large check are left out, so the
-    two counts add up exactly.
+    class; how many variables a class reaches is counted by inclusion and
+    exclusion over the subsets of its checks, so classes that share a check
+    don't meet. Only classes of more than ``WIDE`` large checks are met
+    with others. Light pairs already reached through a large check are left
+    out, so the two counts add up exactly.
     """
     sized = attach(edges, degrees(edges, "check_id"), ["check_id"], ["var_id"])
     light = sized.where(c("degree") <= heavy).select("check_id", "var_id")
     big = sized.where(c("degree") > heavy)
     classes = big.groupBy("var_id").agg(F.array_sort(F.collect_set("check_id")).alias("cls"))
     counted = classes.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
-    by_check = counted.select("cls", "n", F.explode("cls").alias("check_id"))
-    other = by_check.select(c("cls").alias("cls2"), c("n").alias("n2"), "check_id")
-    met = by_check.select("cls", "check_id").join(other, "check_id").select("cls", "cls2", "n2").distinct()
-    through_big = met.groupBy("cls").agg(F.sum("n2").alias("big_count"))
+    through_big = _class_reach(counted)
     pairs = light.join(light.select("check_id", c("var_id").alias("other")), "check_id").select("var_id", "other").distinct()
     tagged = pairs.join(classes, "var_id", "left").join(classes.select(c("var_id").alias("other"), c("cls").alias("cls2")), "other", "left")
     fresh = tagged.where(~F.coalesce(F.arrays_overlap("cls", "cls2"), F.lit(False)))
