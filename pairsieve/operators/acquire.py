@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import views
@@ -102,28 +102,27 @@ def random_candidates(ids: DataFrame, key: str, seed: int = 0) -> DataFrame:
     return ids.select(key, *[v.alias(n) for n, v in cols.items()])
 
 
-def _steps(n: int, dims: int) -> list[int]:
-    """Multipliers without a common factor with n, spread by the golden ratio."""
-    found, x = [], n * 0.6180339887498949
-    while len(found) < dims:
-        a = max(1, int(x) % n) if n > 1 else 1
-        while math.gcd(a, n) != 1 or (a in found and n > 2 * dims):
-            a = a % n + 1
-        found.append(a)
-        x = x * 1.6180339887498949 + 7
-    return found
+# Multipliers of the design: two primes per dimension, the second for point counts that the first divides.
+STEPS = (
+    (1_000_003, 1_000_033), (618_041, 618_049), (2_654_447, 2_654_467), (1_414_241, 1_414_261), (1_732_051, 1_732_057),
+    (2_236_079, 2_236_081), (2_718_281, 2_718_293), (3_141_601, 3_141_641), (1_324_717, 1_324_721),
+)
 
 
-def latin_hypercube(spark: SparkSession, n: int, strategy_ratio: float = 0.5, seed: int = 0) -> DataFrame:
-    """n design points, every stratum of every dimension used exactly once.
+def latin_hypercube(points: DataFrame, n: int, strategy_ratio: float = 0.5, seed: int = 0) -> DataFrame:
+    """A design point for each row of ``points`` (sample_id 0..n-1 and any other columns); each stratum of each dimension is used once.
 
     Dimension j sends index i to stratum (a_j * i + b_j) mod n with a_j
     coprime to n. That is a permutation, so no shuffle or sort is needed.
     Fidelity follows Beta(2, 1) (inverse: square root); the share of blind
     points is exact.
     """
-    steps = _steps(n, len(BOUNDS))
-    df = spark.range(n).withColumnRenamed("id", "sample_id")
+    steps = [first if n % first else second for first, second in STEPS]
+    for j, a in enumerate(steps):
+        while math.gcd(a, n) != 1:  # both primes divide n
+            a += 2
+        steps[j] = a
+    df = points
     cols = {}
     for j, (name, (lo, hi)) in enumerate(BOUNDS.items()):
         shift = (seed * 7919 + j * 104729) % n
@@ -134,4 +133,4 @@ def latin_hypercube(spark: SparkSession, n: int, strategy_ratio: float = 0.5, se
             continue
         u = (stratum + unit(f"lhs{seed}-{name}", c("sample_id"))) / n
         cols[name] = lo + (F.sqrt(u) if name == "channel_fidelity" else u) * (hi - lo)
-    return df.select("sample_id", *[v.alias(k) for k, v in cols.items()])
+    return df.select(*points.columns, *[v.alias(k) for k, v in cols.items()])

@@ -142,19 +142,41 @@ def j8(spark, sf):
     return candidates(spark, sf).select("sample_key", "score").orderBy(c("score").desc(), c("sample_key")).limit(16)
 
 
-@query("f6_random_candidates")
+def _unit(tag: str, ident: str) -> str:
+    return f"(CAST('0x' || substr(md5('{tag}:' || {ident}), 1, 12) AS BIGINT) / {float(1 << 48)!r}::DOUBLE)"
+
+
+@query("f6_random_candidates", "SELECT sample_key, " + ", ".join(
+    f"round({lo!r}::DOUBLE + {_unit(f'cand0-{n}', 'sample_key')} * ({hi!r}::DOUBLE - {lo!r}::DOUBLE), 9) AS {n}" for n, (lo, hi) in acquire.BOUNDS.items()) + " FROM v_samples")
 def f6(spark, sf):
-    return acquire.random_candidates(views.samples(spark, sf).select("sample_key"), "sample_key")
+    return tidy(acquire.random_candidates(views.samples(spark, sf).select("sample_key"), "sample_key"))
 
 
 def design(spark, sf) -> DataFrame:
-    """Latin hypercube with one point per order."""
-    return acquire.latin_hypercube(spark, views.read_table(spark, sf, "orders").count())
+    """Latin hypercube with a point for each order, in the order of the keys."""
+    orders = written(positions(views.read_table(spark, sf, "orders").select("o_orderkey"), [], "o_orderkey", out="sample_id", start=0), "design-rows")
+    return acquire.latin_hypercube(orders, orders.count())
+
+
+def _stratum(j: int) -> str:
+    a, b = acquire.STEPS[j]
+    return f"CAST((CAST(sample_id AS HUGEINT) * (CASE WHEN n % {a} <> 0 THEN {a} ELSE {b} END) + {j * 104729} % n) % n AS BIGINT)"
+
+
+def _design_value(name: str) -> str:
+    lo, hi = acquire.BOUNDS[name]
+    u = f"((stratum_{name} + {_unit(f'lhs0-{name}', 'sample_id')}) / n)"
+    if name == "strategy_code":
+        return f"CASE WHEN stratum_{name} < n // 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS {name}"
+    return f"round({lo!r}::DOUBLE + {f'sqrt({u})' if name == 'channel_fidelity' else u} * ({hi!r}::DOUBLE - {lo!r}::DOUBLE), 9) AS {name}"
 
 
-@query("f7_latin_hypercube")
+@query("f7_latin_hypercube", f"""
+SELECT o_orderkey, sample_id, {", ".join(f"stratum_{n}" for n in acquire.BOUNDS)}, {", ".join(_design_value(n) for n in acquire.BOUNDS)} FROM (
+ SELECT *, {", ".join(f"{_stratum(j)} AS stratum_{n}" for j, n in enumerate(acquire.BOUNDS))} FROM (
+  SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS sample_id, count(*) OVER () AS n FROM orders))""")
 def f7(spark, sf):
-    return design(spark, sf)
+    return tidy(design(spark, sf))
 
 
 @query("f7_stratum_uniqueness", " UNION ALL ".join(f"SELECT '{n}' AS dimension, count(*) AS n_points, count(*) AS n_strata, count(*) // 2 AS n_blind FROM orders" for n in acquire.BOUNDS))
@@ -244,7 +266,7 @@ def evaluated_design(df: DataFrame, phase: str) -> DataFrame:
 
 @query("m3_sweep_plan")
 def m3(spark, sf):
-    res = evaluated_design(design(spark, sf), "lhs_warmup")
+    res = evaluated_design(design(spark, sf).drop("o_orderkey"), "lhs_warmup")
     path = store.new_store(spark, "sweep")
     store.append_results(res, path)
     got = store.read_phase(spark, path, "lhs_warmup")

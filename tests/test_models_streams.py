@@ -58,7 +58,7 @@ def test_diverse_batch_brute_force(training):
 
 @pytest.mark.parametrize("n", [1, 7, 100, 997])
 def test_latin_hypercube_strata(spark, n):
-    df = acquire.latin_hypercube(spark, n)
+    df = acquire.latin_hypercube(spark.range(n).withColumnRenamed("id", "sample_id"), n)
     row = df.agg(*[F.count_distinct(f"stratum_{d}").alias(d) for d in acquire.BOUNDS], F.sum("strategy_code").alias("blind")).first()
     assert all(row[d] == n for d in acquire.BOUNDS) and row.blind == n // 2
     for d, (lo, hi) in acquire.BOUNDS.items():
