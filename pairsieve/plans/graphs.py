@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import bits, distributions
 from ..operators import decode, graph, quality, sifting
-from ..operators.ordered import positions
+from ..operators.ordered import positions, running
+from ..session import written
 from ..sources import views
 from . import oracle as o
 from .common import tidy
@@ -150,10 +151,12 @@ SELECT var_id, place, min(rate) AS first_rate FROM (SELECT var_id, row_number()
 def i10(spark, sf):
     e = views.edges(spark, sf)
     n = e.select("var_id").distinct().count()
-    # (score, id) as sortable text; the bucket splits equal scores by id range
-    scored = graph.excess_degree(e).withColumn("key", F.format_string("%015d-%015d", c("score"), c("var_id")))
-    bucket = F.format_string("%015d-%015d", c("score"), F.floor(c("var_id") / 65536))
-    ordered = positions(scored, [], "key", out="place", bucket=bucket)
+    # place = variables of lower score, from the histogram of scores, plus the place among equal scores
+    scored = written(graph.excess_degree(e), "scores")
+    hist = scored.groupBy("score").agg(F.count(F.lit(1)).alias("k"))
+    before = running(hist, [], "score", {"before": ("sum", c("k"))}, inclusive=False).select("score", "before")
+    inside = positions(scored, ["score"], "var_id", out="inner")
+    ordered = graph.attach(inside, before, ["score"], ["var_id"]).withColumn("place", c("before") + c("inner"))
     return graph.nested_patterns(ordered.select("var_id", "place"), n, RATES).select("var_id", "place", "first_rate")
 
 

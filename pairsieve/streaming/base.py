@@ -61,7 +61,9 @@ def drain_latest(df: DataFrame, label: str, keys: list[str]) -> DataFrame:
 Step = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
 
 
-def drain_with_carry(stream: DataFrame, label: str, state_schema: str, out_schema: str, step: Step) -> DataFrame:
+def drain_with_carry(
+    stream: DataFrame, label: str, state_schema: str, out_schema: str, step: Step, finish: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """Order-dependent streaming with a small carried table.
 
     A keyed state function would process all rows of a hot session in one
@@ -69,10 +71,12 @@ def drain_with_carry(stream: DataFrame, label: str, state_schema: str, out_schem
     ``step(batch, carried)`` returns output rows and the new carried table
     (one row per key). Both are written under the epoch number with
     overwrite, and epoch n reads the table of epoch n - 1, so a repeated
-    epoch after a failure gives the same files.
+    epoch after a failure gives the same files. ``finish`` turns what is
+    still carried at the end of the stream into output rows.
     """
     spark = stream.sparkSession
     path = scratch_path(spark, label)
+    last = [-1]
 
     def write(batch: DataFrame, epoch: int) -> None:
         session = batch.sparkSession
@@ -85,9 +89,15 @@ def drain_with_carry(stream: DataFrame, label: str, state_schema: str, out_schem
             rows, after = step(batch, carried)
             rows.write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")
             after.write.mode("overwrite").parquet(f"{path}/carry/epoch={epoch}")
+            last[0] = epoch
         finally:
             batch.unpersist()
 
     query = stream.writeStream.option("checkpointLocation", path + "/_state").trigger(availableNow=True)
     query.foreachBatch(write).start().awaitTermination()
-    return spark.read.schema(out_schema).option("recursiveFileLookup", "true").parquet(path + "/rows")
+    if last[0] < 0:  # nothing has come
+        return spark.createDataFrame([], out_schema)
+    rows = spark.read.schema(out_schema).option("recursiveFileLookup", "true").parquet(path + "/rows")
+    if finish is None:
+        return rows
+    return rows.unionByName(finish(spark.read.schema(state_schema).parquet(f"{path}/carry/epoch={last[0]}")))

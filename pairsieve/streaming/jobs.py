@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.ledger import entry_bits, whole_bits
 from ..operators.ordered import previous, running
 from ..operators.skew import attach
+from ..session import cut_lineage
 from ..sources import store
 from .base import drain_with_carry
 
@@ -76,18 +77,56 @@ def session_closeout(tests: DataFrame, gap: str = "12 hours") -> DataFrame:
     return g.select("session_id", c("session_window.start").alias("opened"), "tests", "errors")
 
 
-def sequence_check(messages: DataFrame, session_of_link: Column | None = None) -> DataFrame:
-    """Rows that break the numbering (seq = previous + 1) or carry a type that is not allowed."""
+SEQUENCE_STATE = "session_id bigint, seq bigint, allowed boolean, ts timestamp, settled boolean"
+
+
+def sequence_check(messages: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Rows that break the numbering (seq = previous + 1) or carry a type that is not allowed.
+
+    Messages have session_id, seq, allowed, ts. A gap is judged once the
+    watermark (latest time seen less ``delay``) has passed the row behind it;
+    until then that row and those after it wait for the missing ones. A row
+    whose number is already settled is out of order. The carried table holds
+    the last settled number of each session, the waiting rows, and in a row
+    without session the latest time.
+    """
+
+    def judge(fresh: DataFrame, carried: DataFrame, mark: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+        settled = carried.where("settled AND session_id IS NOT NULL").select("session_id", c("seq").alias("last_seq"))
+        waiting = carried.where("NOT settled").select("session_id", "seq", "allowed", "ts")
+        rows = waiting.unionByName(fresh.select("session_id", "seq", "allowed", "ts"))
+        rows = attach(rows, settled, ["session_id"], ["seq"], "left")
+        stale = rows.where(c("seq") <= c("last_seq"))
+        open_ = rows.where(c("last_seq").isNull() | (c("seq") > c("last_seq")))
+        both = previous(open_, ["session_id"], "seq", {"prev": c("seq")})
+        gap = c("seq") != F.coalesce(c("prev"), c("last_seq"), F.lit(-1)) + 1
+        both = cut_lineage(both.withColumn("gap", gap))
+        holds = both.where(c("gap") & (c("ts") >= mark)).groupBy("session_id").agg(F.min("seq").alias("hold"))
+        placed = attach(both, holds, ["session_id"], ["seq"], "left")
+        done = placed.where(c("hold").isNull() | (c("seq") < c("hold")))
+        kind = F.when(c("gap"), "out_of_order").when(~c("allowed"), "wrong_type")
+        out = done.select("session_id", "seq", kind.alias("violation")).where("violation IS NOT NULL")
+        out = out.unionByName(stale.select("session_id", "seq", F.lit("out_of_order").alias("violation")))
+        upto = done.groupBy("session_id").agg(F.max("seq").alias("last_seq"))
+        return out, _merge(settled, upto, "last_seq", F.greatest), placed.where(c("seq") >= c("hold"))
 
     def step(batch: DataFrame, carried: DataFrame) -> tuple[DataFrame, DataFrame]:
-        before = previous(batch, ["session_id"], "seq", {"prev": c("seq")})
-        both = attach(before, carried, ["session_id"], ["seq"], "left")
-        prev = F.coalesce(c("prev"), c("last_seq"), F.lit(-1))
-        kind = F.when(c("seq") != prev + 1, "out_of_order").when(~c("allowed"), "wrong_type")
-        rows = both.select("session_id", "seq", kind.alias("violation")).where("violation IS NOT NULL")
-        return rows, _merge(carried, batch.groupBy("session_id").agg(F.max("seq").alias("last_seq")), "last_seq", F.greatest)
-
-    return drain_with_carry(messages, "sequence", "session_id bigint, last_seq bigint", "session_id bigint, seq bigint, violation string", step)
+        latest = batch.select("ts").unionByName(carried.where("session_id IS NULL").select("ts")).agg(F.max("ts").alias("ts")).first()["ts"]
+        mark = F.lit(latest).cast("timestamp") - F.expr(f"INTERVAL {delay}")
+        out, settled, waiting = judge(batch, carried, mark)
+        nothing = F.lit(None)
+        after = settled.select("session_id", c("last_seq").alias("seq"), F.lit(True).alias("allowed"), nothing.cast("timestamp").alias("ts"), F.lit(True).alias("settled"))
+        after = after.unionByName(waiting.select("session_id", "seq", "allowed", "ts", F.lit(False).alias("settled")))
+        clock = batch.sparkSession.range(1).select(
+            nothing.cast("bigint").alias("session_id"), nothing.cast("bigint").alias("seq"), F.lit(True).alias("allowed"), F.lit(latest).cast("timestamp").alias("ts"), F.lit(True).alias("settled")
+        )
+        return out, after.unionByName(clock)
+
+    def finish(carried: DataFrame) -> DataFrame:
+        none = carried.where("false").select("session_id", "seq", "allowed", "ts")
+        return judge(none, carried, F.expr("TIMESTAMP '9999-01-01'"))[0]
+
+    return drain_with_carry(messages, "sequence", SEQUENCE_STATE, "session_id bigint, seq bigint, violation string", step, finish)
 
 
 def _merge(carried: DataFrame, fresh: DataFrame, value: str, choose) -> DataFrame:

@@ -1,3 +1,4 @@
+import datetime
 import random
 
 import pytest
@@ -79,15 +80,33 @@ def test_budget_over_many_batches(spark):
     assert got == {0: (60.0, True), 1: (10.0, True), 2: (100.0, True), 3: (101.0, False), 4: (15.5, True)}
 
 
-def test_sequence_over_many_batches(spark):
+def message_files(spark, parts):
     path = scratch_path(spark, "test-messages")
-    for rows in ([(1, 0, True), (1, 1, True), (2, 0, True)], [(1, 2, True), (2, 2, True)], [(1, 4, True), (2, 3, False)]):
-        spark.createDataFrame(rows, "session_id bigint, seq bigint, allowed boolean").coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema("session_id bigint, seq bigint, allowed boolean").option("maxFilesPerTrigger", 1).parquet(path)
-    got = {(r.session_id, r.seq, r.violation) for r in jobs.sequence_check(stream).collect()}
+    schema = "session_id bigint, seq bigint, allowed boolean, ts timestamp"
+    for rows in parts:
+        timed = [(s, q, ok, datetime.datetime(2026, 1, 1, 0, minute)) for s, q, ok, minute in rows]
+        spark.createDataFrame(timed, schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_sequence_over_many_batches(spark):
+    parts = [[(1, 0, True, 0), (1, 1, True, 0), (2, 0, True, 1)], [(1, 2, True, 2), (2, 2, True, 3)], [(1, 4, True, 4), (2, 3, False, 5)]]
+    got = {(r.session_id, r.seq, r.violation) for r in jobs.sequence_check(message_files(spark, parts)).collect()}
     assert got == {(2, 2, "out_of_order"), (1, 4, "out_of_order"), (2, 3, "wrong_type")}
 
 
+def test_sequence_waits_for_late_messages(spark):
+    # 1 comes an epoch after 2, within the delay; in session 7 it comes when the watermark has passed
+    parts = [
+        [(5, 0, True, 0), (5, 2, True, 1), (7, 0, True, 0), (7, 2, True, 1)],
+        [(5, 1, True, 1)],
+        [(5, 3, True, 40)],
+        [(7, 1, True, 2), (7, 3, True, 41)],
+    ]
+    got = {(r.session_id, r.seq, r.violation) for r in jobs.sequence_check(message_files(spark, parts)).collect()}
+    assert got == {(7, 2, "out_of_order"), (7, 1, "out_of_order")}
+
+
 def test_phase_order(spark):
     path = scratch_path(spark, "test-phases")
     rows = [(1, 0, "DECODING"), (1, 1, "VERIFIED"), (1, 2, "DONE"), (1, 3, "DECODING"), (2, 4, "DECODING")]
