@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .common import prefix_hashes, range_hashes, rows_at_a_time
+from .common import mixed, prefix_hashes, range_hashes, rows_at_a_time
 from .idfilter import id_filter, id_slot, in_filter
 
 LENGTH = 50
@@ -88,7 +88,7 @@ class Phrases:
         self.windows = np.bincount(runs[good], minlength=len(self.start))
         self.at = at[self.start]
         self.owner = owner[self.start]
-        self.trigger = hashes[self.at]
+        self.trigger = mixed(hashes[self.at])  # least hashes are small; mixed again they fill the range
         self.phrase = range_hashes(sums, self.start, self.start + self.windows + LENGTH - 1) & np.uint64((1 << PHRASE_BITS) - 1)
         self.bounds = bounds
 
