@@ -103,9 +103,9 @@ def output_rules(n0: Column, n1: Column, nc: Column, is_chosen: Column, length:
     }
 
 
-def key_rules(bits: Column, length: Column, security: Column, created: Column) -> dict[str, Column]:
+def key_rules(n_bits: Column, length: Column, security: Column, created: Column) -> dict[str, Column]:
     return {
-        "INV-KEY-001": F.length(bits) == length,
+        "INV-KEY-001": n_bits == length,
         "INV-KEY-002": (security > 0) & (security < 1),
         "INV-KEY-003": created >= 0,
     }

@@ -147,12 +147,12 @@ def h42(spark, sf):
 
 
 @query("c14_commitment_check", """
-SELECT session_id, block_id, NOT (session_id % 10 = 3) AS holds FROM v_commit""")
+SELECT session_id, block_id, commitment = CASE WHEN session_id % 10 = 3 THEN reverse(commitment) ELSE commitment END AS holds FROM v_commit""")
 def c14(spark, sf):
     # the stored side was altered for every tenth session
-    stored = commitments(spark, sf).withColumn(
+    stored = written(commitments(spark, sf).withColumn(
         "stored", F.when(c("session_id") % 10 == 3, F.reverse("commitment")).otherwise(c("commitment"))
-    ).drop("commitment")
+    ).drop("commitment"), "stored-commitments")
     both = commitments(spark, sf).join(stored, ["session_id", "block_id"])
     return both.select("session_id", "block_id", (c("commitment") == c("stored")).alias("holds"))
 
@@ -332,3 +332,19 @@ def b7_output(spark, sf):
     )
     length = c("stated") + F.when(c("session_id") % 7 == 2, 1).otherwise(0)
     return sums.select("session_id", rules.violated(rules.output_rules(c("n0"), c("n1"), c("nc"), c("chosen"), length)).alias("violations"))
+
+
+@query("b7_key_contracts", """
+SELECT session_id, CAST(basis AS BIGINT) AS basis, concat_ws(',', CASE WHEN n <> n + (session_id % 11 = 3)::INT THEN 'INV-KEY-001' END, CASE WHEN session_id % 13 = 4 THEN 'INV-KEY-002' END,
+  CASE WHEN first_round - CASE WHEN session_id % 17 = 5 THEN 1000000000000 ELSE 0 END < 0 THEN 'INV-KEY-003' END) AS violations
+FROM (SELECT session_id, basis, count(*) AS n, min(round_id) AS first_round FROM v_key GROUP BY 1, 2)""")
+def b7_key(spark, sf):
+    s = sifting.sift(views.pairs(spark, sf))
+    key = sifting.key_part(sifting.assign_roles(s, FRACTION_SMALL))
+    keys = key.groupBy("session_id", "basis").agg(F.count(F.lit(1)).alias("n"), F.min("round_id").alias("created"))
+    # some sessions state a wrong length, no security level, or a time before the epoch
+    sid = c("session_id")
+    stated = c("n") + F.when(sid % 11 == 3, 1).otherwise(0)
+    level = F.when(sid % 13 == 4, 0.0).otherwise(1e-10)
+    created = c("created") - F.when(sid % 17 == 5, 1_000_000_000_000).otherwise(0)
+    return tidy(keys.select("session_id", "basis", rules.violated(rules.key_rules(c("n"), stated, level, created)).alias("violations")))
