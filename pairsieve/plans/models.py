@@ -304,3 +304,39 @@ def j14(spark, sf):
     store.append_results(warm, path)
     got = active_loop(spark, sf, path, rounds=2, batch=3)
     return got.groupBy("phase", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- invariants of fitted models: exact counts beside the fits above -----------
+
+_RUN = "FROM v_results WHERE outcome <> 'skipped_infeasible'"
+
+
+@query("j2_fit_rows", f"SELECT strategy, count(*) AS n, count(*) AS n_finite, count(*) AS n_spread {_RUN} GROUP BY 1")
+def j2_rows(spark, sf):
+    df = written(training(spark, sf), "training")
+    got = surrogate.predict(df, surrogate.fit(df), ["strategy"], ("mu", "sd"))
+    finite = ~F.isnan("mu") & (F.abs("mu") < float("inf"))
+    return got.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), F.count_if(finite).alias("n_finite"), F.count_if(c("sd") > 0).alias("n_spread"))
+
+
+@query("j10_fold_rows", f"SELECT strategy, CAST({o.byte_of('fold', 'sample_key')} % 5 AS BIGINT) AS fold, count(*) AS n, count(*) AS n_finite {_RUN} GROUP BY 1, 2")
+def j10_rows(spark, sf):
+    df = written(training(spark, sf).withColumn("fold", (views.byte_of("fold", k.sample_key) % 5).cast("int")), "folds")
+    got = surrogate.predict(df, surrogate.fit(df, folds="fold"), ["strategy", "fold"], ("mu", "sd"))
+    finite = ~F.isnan("mu") & (F.abs("mu") < float("inf"))
+    return tidy(got.groupBy("strategy", "fold").agg(F.count(F.lit(1)).alias("n"), F.count_if(finite).alias("n_finite")))
+
+
+@query("j5_guardrail_classes", f"SELECT net_efficiency <= 0 AS failed, count(*) AS n, count(*) AS n_scored {_RUN} GROUP BY 1")
+def j5_classes(spark, sf):
+    df = written(training(spark, sf), "training")
+    got = guardrail.score(df, guardrail.fit_guardrail(df)).withColumn("failed", c("net_efficiency") <= 0)
+    return got.groupBy("failed").agg(F.count(F.lit(1)).alias("n"), F.count_if(c("p_fail").between(0, 1)).alias("n_scored"))
+
+
+@query("m4_active_phases", "SELECT 'lhs_warmup' AS phase, count(*) AS n, count(*) AS n_keys FROM v_results WHERE phase = 'lhs_warmup' UNION ALL SELECT 'active_learning', 6, 6")
+def m4(spark, sf):
+    path = store.new_store(spark, "active")
+    store.append_results(views.results(spark, sf).where("phase = 'lhs_warmup'"), path)
+    got = active_loop(spark, sf, path, rounds=2, batch=3)
+    return got.groupBy("phase").agg(F.count(F.lit(1)).alias("n"), F.count(F.col("sample_key")).alias("n_keys"))
