@@ -34,6 +34,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -178,13 +179,36 @@ def sent_phrases(texts: DataFrame, part_bits: int) -> DataFrame:
     return texts.mapInArrow(run, PACKED)
 
 
-def judged(sent: DataFrame) -> DataFrame:
-    """(doc_id, whole, dictionary): per document, packed phrases that a smaller document holds, and those to go into the dictionary."""
+REPLY = "bucket long, is_whole boolean, docs binary, counts binary, phrases binary"
+
+
+def _runs(doc: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted documents as distinct ones and how often each comes."""
+    first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+    return doc[first].astype("<i8").tobytes(), np.diff(np.concatenate((first, [len(doc)]))).astype("<u4").tobytes()
+
+
+def _repeated(docs: bytes, counts: bytes) -> np.ndarray:
+    return np.repeat(np.frombuffer(docs, dtype="<i8"), np.frombuffer(counts, dtype="<u4"))
+
+
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.table({name: pa.array([r[k] for r in rows], kinds[kind]) for k, (name, kind) in enumerate(fields)})
+
+
+def judged(sent: DataFrame, buckets: int) -> DataFrame:
+    """(doc_id, whole, dictionary): per document, packed phrases that a smaller document holds, and those to go into the dictionary.
+
+    Replies of a part travel packed by buckets of documents, so their number
+    doesn't grow with documents times parts.
+    """
 
     def judge(group: pa.Table) -> pa.Table:
         whole_doc, whole_phrase, ask = [], [], []
         for docs, counts, triggers, phrases, known in zip(*[group.column(c).to_pylist() for c in ("docs", "counts", "triggers", "phrases", "known")], strict=True):
-            doc = np.repeat(np.frombuffer(docs, dtype="<i8"), np.frombuffer(counts, dtype="<u4"))
+            doc = _repeated(docs, counts)
             if known:
                 whole_doc.append(doc)
                 whole_phrase.append(_unpacked_phrases(phrases))
@@ -208,18 +232,36 @@ def judged(sent: DataFrame) -> DataFrame:
             low, high = np.minimum.reduceat(first, at)[group_of], np.maximum.reduceat(first, at)[group_of]
             various = new_phrase & (high > low)  # other phrases of the trigger have other first documents
             dict_doc, dict_phrase = doc[various], phrase[various]
-        rows: dict[int, list[bytes]] = {}
-        for k, (d, p) in enumerate(((np.concatenate(whole_doc or [np.zeros(0, np.int64)]), np.concatenate(whole_phrase or [np.zeros(0, np.uint64)])), (dict_doc, dict_phrase))):
-            if d is None or not len(d):
-                continue
-            order = np.argsort(d, kind="stable")
-            d, p = d[order], p[order]
-            cuts = np.flatnonzero(np.diff(d)) + 1
-            for w in np.split(np.arange(len(d)), cuts):
-                rows.setdefault(int(d[w[0]]), [b"", b""])[k] = _packed_phrases(p[w])
-        return pa.table({"doc_id": pa.array(list(rows), pa.int64()), "whole": pa.array([r[0] for r in rows.values()], pa.binary()), "dictionary": pa.array([r[1] for r in rows.values()], pa.binary())})
-
-    return sent.groupBy("part").applyInArrow(judge, "doc_id long, whole binary, dictionary binary")
+        out = []
+        none = (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        wholes = (np.concatenate(whole_doc), np.concatenate(whole_phrase)) if whole_doc else none
+        for is_whole, (d, p) in ((True, wholes), (False, none if dict_doc is None else (dict_doc, dict_phrase))):
+            bucket = (mixed(d.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((d, bucket))
+            d, p, bucket = d[order], p[order], bucket[order]
+            for w in np.split(np.arange(len(d)), np.flatnonzero(np.diff(bucket)) + 1):
+                if len(w):
+                    out.append((int(bucket[w[0]]), is_whole, *_runs(d[w]), _packed_phrases(p[w])))
+        return _table(out, REPLY)
+
+    def gather(group: pa.Table) -> pa.Table:
+        held: dict[bool, tuple[np.ndarray, np.ndarray]] = {}
+        for is_whole in (True, False):
+            some = group.filter(pc.equal(group.column("is_whole"), is_whole))
+            parts = [(_repeated(d, n), _unpacked_phrases(p)) for d, n, p in zip(*[some.column(c).to_pylist() for c in ("docs", "counts", "phrases")], strict=True)]
+            doc, phrase = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+            order = np.argsort(doc, kind="stable")
+            held[is_whole] = doc[order], phrase[order]
+        docs = np.unique(np.concatenate([held[True][0], held[False][0]]))
+        columns = []
+        for is_whole in (True, False):
+            doc, phrase = held[is_whole]
+            at, end = np.searchsorted(doc, docs), np.searchsorted(doc, docs, side="right")
+            columns.append([_packed_phrases(phrase[x:y]) for x, y in zip(at, end, strict=True)])
+        return pa.table({"doc_id": pa.array(docs), "whole": pa.array(columns[0], pa.binary()), "dictionary": pa.array(columns[1], pa.binary())})
+
+    replies = sent.groupBy("part").applyInArrow(judge, REPLY)
+    return replies.groupBy("bucket").applyInArrow(gather, "doc_id long, whole binary, dictionary binary")
 
 
 def _some_texts(texts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -260,8 +302,7 @@ def placed(texts: DataFrame, replies: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in rows_at_a_time(batches, LOAD):
             names, raw = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
-            whole = [np.concatenate([_unpacked_phrases(x) for x in v]) for v in table.column("whole").to_pylist()]
-            asked = [np.concatenate([_unpacked_phrases(x) for x in v]) for v in table.column("dictionary").to_pylist()]
+            whole, asked = ([_unpacked_phrases(x) for x in table.column(c).to_pylist()] for c in ("whole", "dictionary"))
             keys = [sha256(t).digest() for t in raw]
             spans: list[list[np.ndarray]] = [[] for _ in raw]
             halves: dict[tuple[int, int, bytes, int, int], list[int]] = {}
@@ -295,8 +336,7 @@ def placed(texts: DataFrame, replies: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [c.split()[0] for c in PARSE.split(", ")])
 
-    lists = replies.groupBy("doc_id").agg(F.collect_list("whole").alias("whole"), F.collect_list("dictionary").alias("dictionary"))
-    return _some_texts(texts, replies.select("doc_id")).join(lists, "doc_id").dropDuplicates(["doc_id", "text"]).mapInArrow(run, PARSE)
+    return _some_texts(texts, replies.select("doc_id")).join(replies, "doc_id").dropDuplicates(["doc_id", "text"]).mapInArrow(run, PARSE)
 
 
 def suffix_order(dictionary: DataFrame) -> DataFrame:
@@ -343,7 +383,7 @@ def removed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = _texts(docs).where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     part_bits = max(0, int(np.ceil(np.log2(max(1, size / PART_BYTES)))))
-    replies = written(judged(sent_phrases(texts, part_bits)), "replies")
+    replies = written(judged(sent_phrases(texts, part_bits), 2 << part_bits), "replies")
     parse = written(placed(texts, replies), "parse")
     whole = parse.where("share IS NULL").select("doc_id", "text_key", "spans")
     rest = suffix_order(parse.where("share IS NOT NULL").select("doc_id", "text_key", "share", "bytes", "last", "place"))
