@@ -9,10 +9,18 @@ one value of the document wherever it recurs. A document is contaminated by an
 item when consistent alignments cover at least 75 of 100 of the item's windows,
 so a question whose numbers or names were exchanged is caught too.
 
+A capitalised word is surely a name where no sentence or line begins; at such
+a place it may be one. As copies lose points, line ends and capitals, every
+window comes on both sides in all readings of its capitalised words, as a name
+and as a plain word: words match when they are equal apart from case, or as
+names. Two words that only may be names don't stand for each other. Values of
+words that only may be names are left aside, with the windows that need an
+exchange of them, where they are all that makes an alignment inconsistent.
+
 Windows with fewer than three plain words are too general and are used on
 neither side, unless all windows of an item are; then all of its windows count.
-The first word of an item may be read as a name inside a document, so windows
-with it come in both readings. Items with fewer than five words are one window.
+That is told by the reading in which only sure names are names. Items with
+fewer than five words are one window.
 
 Before the join, documents' windows pass a bit array of fixed size that holds
 all benchmark hashes (no false negatives); what it lets through besides goes in
@@ -51,6 +59,7 @@ UNITS = (
 ).split()
 
 PLAIN, NUMBER, NAME, UNIT = 0, 1, 2, 3
+MAYBE = "?"  # no word holds it
 
 _WORD, _DIGIT, _UPPER, _STOP, _JOIN = 1, 2, 4, 8, 16
 _CLASS = np.zeros(256, dtype=np.uint8)
@@ -67,6 +76,11 @@ for _c in b".,":
     _CLASS[_c] |= _JOIN
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
+# Subsets of every set of a window's words, as bits, one set's behind another's.
+_LISTS = [[m for m in range(p + 1) if m & p == m] for p in range(1 << WIDTH)]
+_SUBSETS = np.array([len(m) for m in _LISTS])
+_FIRST_SUBSET = np.cumsum(_SUBSETS) - _SUBSETS
+_SUBSET = np.array([m for ms in _LISTS for m in ms])
 
 
 class Words:
@@ -104,6 +118,8 @@ class Words:
         self.kinds[number] = NUMBER
         behind = np.flatnonzero(number[:-1]) + 1
         self.kinds[behind[np.isin(self.hashes[behind], _unit_hashes()) & ~number[behind]]] = UNIT
+        self.titled &= self.kinds != UNIT
+        self.opens = opens
 
     def __len__(self) -> int:
         return len(self.starts)
@@ -111,23 +127,37 @@ class Words:
     def value(self, k: int) -> str:
         return self.data[self.starts[k] : self.stops[k]].tobytes().decode("utf-8", "replace")
 
-    def canonical(self) -> np.ndarray:
-        return np.where(self.kinds == PLAIN, self.hashes, self.kinds.astype(np.uint64))
+    def plain(self, width: int) -> np.ndarray:
+        """Number of plain words of every window of ``width`` words, sure names being names."""
+        upto = np.concatenate(([0], np.cumsum(self.kinds == PLAIN)))
+        return upto[width:] - upto[:-width]
 
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and number of plain words of every window of ``width`` words."""
+    def readings(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(names, at, h): windows with each set of their capitalised words, as bits, read as names, and their hashes."""
         n = len(self) - width + 1
         if n <= 0:
-            return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-        c = self.canonical()
-        h = np.full(n, width, dtype=np.uint64)
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        c = np.where(self.titled | (self.kinds == PLAIN), self.hashes, self.kinds.astype(np.uint64))
+        pattern = np.zeros(n, dtype=np.int64)
+        for k in range(width):
+            pattern |= self.titled[k : k + n].astype(np.int64) << k
+        counts = _SUBSETS[pattern]
+        at = np.repeat(np.arange(n), counts)
+        names = _SUBSET[_FIRST_SUBSET[pattern][at] + np.arange(len(at)) - (np.cumsum(counts) - counts)[at]]
+        h = np.full(len(at), width, dtype=np.uint64)
         for k in range(width):
-            h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + c[k : k + n])
-        plain = np.concatenate(([0], np.cumsum(self.kinds == PLAIN)))
-        return h, plain[width:] - plain[:n]
+            h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + np.where(names >> k & 1, np.uint64(NAME), c[at + k]))
+        return names, at, h
 
-    def slots(self, at: int, width: int) -> list[str | None]:
-        return [None if self.kinds[k] == PLAIN else self.value(k) for k in range(at, at + width)]
+    def slots(self, at: int, width: int, names: int) -> list[str | None]:
+        """Values of the placeholders; MAYBE stands before those of words that only may be names."""
+        out: list[str | None] = []
+        for k in range(at, at + width):
+            if self.titled[k]:
+                out.append((MAYBE * bool(self.opens[k]) + self.value(k)) if names >> (k - at) & 1 else None)
+            else:
+                out.append(None if self.kinds[k] == PLAIN else self.value(k))
+        return out
 
 
 _CACHE: dict[str, np.ndarray] = {}
@@ -141,7 +171,7 @@ def _unit_hashes() -> np.ndarray:
     return _CACHE["units"]
 
 
-WINDOWS = "id long, h long, at long, width int, slots array<string>, plain int"
+WINDOWS = "id long, h long, at long, width int, slots array<string>"
 
 
 def item_windows(benchmark: DataFrame, id_column: str = "item_id") -> DataFrame:
@@ -155,21 +185,18 @@ def item_windows(benchmark: DataFrame, id_column: str = "item_id") -> DataFrame:
                 if not len(words):
                     continue
                 width = min(WIDTH, len(words))
-                readings = [words.kinds.copy()]
-                if words.titled[0]:
-                    readings.append(words.kinds.copy())
-                    readings[1][0] = NAME
-                first = words.windows(width)[1]
-                general = width < WIDTH or not (first >= LEAST_PLAIN).any()
-                for r, kinds in enumerate(readings):
-                    words.kinds = kinds
-                    h, plain = words.windows(width)
-                    for at in range(len(h) if r == 0 else 1):
-                        if general or plain[at] >= LEAST_PLAIN or (r == 1 and first[0] >= LEAST_PLAIN):
-                            rows.append((item, int(h[at].view(np.int64)), at, width, words.slots(at, width), int(plain[at])))
+                base = words.plain(width)
+                general = width < WIDTH or not (base >= LEAST_PLAIN).any()
+                chosen, ats, hashes = words.readings(width)
+                for names, at, h in zip(chosen.tolist(), ats.tolist(), hashes.view(np.int64).tolist(), strict=True):
+                    maybe = sum(names >> k & 1 and bool(words.opens[at + k]) for k in range(width))
+                    sure = sum(bool(words.titled[at + k] and not words.opens[at + k]) and not names >> k & 1 for k in range(width))
+                    # names that are read as words make a window less general; one opening word may be a name
+                    if general or base[at] >= LEAST_PLAIN and (maybe <= 1 or base[at] - maybe + sure >= LEAST_PLAIN):
+                        rows.append((item, h, at, width, words.slots(at, width, names)))
             if rows:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", "h", "at", "width", "slots", "plain"])
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", "h", "at", "width", "slots"])
 
     raw = benchmark.select(benchmark[id_column].cast("long").alias("id"), benchmark["text"].cast("string").alias("text")).where("id IS NOT NULL")
     found = raw.mapInArrow(run, WINDOWS)
@@ -214,13 +241,14 @@ def document_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
                 for piece, first, _ in pieces(text or b""):
                     words = Words(piece)
                     for width in widths:
-                        h, plain = words.windows(width)
+                        names, ats, h = words.readings(width)
                         s = (h >> np.uint64(40)).astype(np.int64)
-                        for at in np.flatnonzero((bits[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1)).tolist():
-                            rows.append((doc, int(h[at].view(np.int64)), first + at, width, words.slots(at, width), int(plain[at])))
+                        for k in np.flatnonzero((bits[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1)).tolist():
+                            at = int(ats[k])
+                            rows.append((doc, int(h[k].view(np.int64)), first + at, width, words.slots(at, width, int(names[k]))))
             if rows:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", "h", "at", "width", "slots", "plain"])
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", "h", "at", "width", "slots"])
 
     raw = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].cast("string").cast("binary").alias("text")).where("id IS NOT NULL")
     return raw.mapInArrow(run, WINDOWS)
@@ -230,18 +258,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Pairs (doc_id, item_id) with covered and total windows; ``reparameterised`` where some slot's value was exchanged."""
     items = written(item_windows(benchmark), "item-windows")
     found = document_windows(docs, items).select(F.col("id").alias("doc_id"), "h", F.col("at").alias("doc_at"), "width", "slots")
-    slots = F.filter(
-        F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc")), lambda s: s["item"].isNotNull() & s["doc"].isNotNull()
+    value = lambda c: F.ltrim(c, F.lit(MAYBE))
+    pair = lambda s: F.struct(value(s["item"]).alias("item"), value(s["doc"]).alias("doc"), (s["item"].startswith(MAYBE).cast("int") + s["doc"].startswith(MAYBE).cast("int")).alias("maybe"))
+    both = F.filter(F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc")), lambda s: s["item"].isNotNull() & s["doc"].isNotNull())
+    other = lambda p: p["item"] != p["doc"]
+    hits = found.join(items, ["h", "width"]).select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift"), "item_at", "n_windows", F.transform(both, pair).alias("pairs"))
+    hits = hits.where(~F.exists("pairs", lambda p: other(p) & (p["maybe"] == 2)))
+    hits = hits.withColumn("loose", F.exists("pairs", lambda p: other(p) & (p["maybe"] == 1)))
+    # an alignment has at most as many different rows as the item has windows, in each of their readings
+    aligned = hits.groupBy("doc_id", "item_id", "shift", "n_windows").agg(
+        F.collect_set("item_at").alias("ats"), F.collect_set(F.when(~F.col("loose"), F.col("item_at"))).alias("sure_ats"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
+    )
+    bare = lambda p: F.struct(p["item"], p["doc"])
+    aligned = aligned.withColumn("sure", F.array_distinct(F.transform(F.filter("pairs", lambda p: p["maybe"] == 0), bare))).withColumn("pairs", F.array_distinct(F.transform("pairs", bare)))
+    one_to_one = lambda c: F.size(c) == F.size(F.array_distinct(F.transform(c, lambda p: p["item"])))
+    aligned = aligned.withColumn("all", one_to_one("pairs"))
+    used = aligned.where(F.col("all") | one_to_one("sure")).select(
+        "doc_id", "item_id", "n_windows", F.when(F.col("all"), F.col("ats")).otherwise(F.col("sure_ats")).alias("ats"), F.exists(F.when(F.col("all"), F.col("pairs")).otherwise(F.col("sure")), other).alias("changed")
     )
-    hits = found.join(items, ["h", "width"]).select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift"), "item_at", "n_windows", slots.alias("pairs"))
-    # an alignment has at most as many different rows as the item has windows
-    aligned = hits.groupBy("doc_id", "item_id", "shift", "n_windows").agg(F.collect_set("item_at").alias("ats"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"])))
-    changed = F.exists("pairs", lambda p: p["item"] != p["doc"])
     return (
-        aligned.where(consistent)
-        .groupBy("doc_id", "item_id", "n_windows")
-        .agg(F.size(F.array_distinct(F.flatten(F.collect_set("ats")))).cast("long").alias("n_covered"), F.bool_or(changed).alias("reparameterised"))
+        used.groupBy("doc_id", "item_id", "n_windows")
+        .agg(F.size(F.array_distinct(F.flatten(F.collect_set("ats")))).cast("long").alias("n_covered"), F.bool_or("changed").alias("reparameterised"))
         .where(F.col("n_covered") * COVER_DENOMINATOR >= F.col("n_windows") * COVER_NUMERATOR)
         .select("doc_id", "item_id", "n_covered", "n_windows", "reparameterised")
     )

@@ -135,6 +135,22 @@ def test_decontamination(spark):
     assert decontam.contaminated(frame(spark, []), none).count() == 0
 
 
+def test_decontamination_without_points_or_case(spark):
+    item = "Tom Reed lives in a small town. There he sells fresh bread to people.\nEvery morning Anna Bell walks by with 2 bags. She buys 7 loaves. How many loaves are left?"
+    swapped = item.replace("Tom Reed", "Max Ford").replace("Anna Bell", "Eve Long")
+    joined = lambda t: t.replace(".", "").replace("?", "").replace("\n", " ")
+    texts = [item, item.replace(".", ""), joined(item), item.lower(), item.upper(), item.title(), joined(swapped), swapped.replace("with", "\nwith"), item.replace("There", "Here")]
+    texts += [item.replace("Every morning Anna Bell walks by with", "Each evening Eve Long comes home with").replace("She buys", "They sell")]
+    docs = [(k, f"Some words before. {t} And behind.") for k, t in enumerate(texts)]
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontam.contaminated(frame(spark, docs), items).collect()}
+    assert sorted(got) == list(range(9))
+    assert all(got[k].n_covered == got[k].n_windows and not got[k].reparameterised for k in range(6))
+    assert got[6].reparameterised
+    back = decontam.contaminated(frame(spark, [(1, f"x {item} y")]), spark.createDataFrame([(k, f(item)) for k, f in enumerate((joined, str.lower, str.title))], "item_id long, text string"))
+    assert sorted(r.item_id for r in back.collect()) == [0, 1, 2]
+
+
 # -- language -------------------------------------------------------------------
 
 WORDS = {"en": "the of and that with this from have", "fr": "les des une que pour dans sur avec", "de": "der die und das nicht mit sich auf"}
