@@ -17,8 +17,12 @@ the trigger hash. For each pair that gives the first document:
 Suffix order. The dictionary is dealt out by what stands right or left of the
 trigger inside any window, and each share is put in suffix order to a depth of
 50: windows in one place of that order are equal, and the least document among
-them is the window's first. Combined with the parse that gives, for all
-windows of the corpus, whether a smaller document has them.
+them is the window's first. Where very many phrases have the same bytes around
+the trigger (a passage that each document continues in another way), windows
+are dealt instead: a bucket of documents sends each distinct window once with
+its least document, and gets the least of all buckets back. Combined with the
+parse that gives, for all windows of the corpus, whether a smaller document has
+them.
 
 Defined cases: null and empty texts have nothing removed, nor has anything
 shorter than 50 bytes; equal ids never remove each other's text, and rows with
@@ -33,6 +37,7 @@ from collections.abc import Iterator
 from hashlib import sha256
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -52,6 +57,7 @@ PIECE = (1 << POSITION_BITS) - 1
 LOAD = 3 << 20
 PART_BYTES = 48 << 20  # text whose phrases make one part
 SHARE_PHRASES = 20_000
+HOT_PHRASES = 1_000  # dictionary rows around one trigger from which on its windows are dealt out one by one
 PHRASE_BITS = 48
 
 
@@ -143,11 +149,16 @@ def _pack(part: int, doc: np.ndarray, trigger: np.ndarray, phrase: np.ndarray, k
     return part, doc[first].astype("<i8").tobytes(), counts.astype("<u4").tobytes(), trigger.astype("<u4").tobytes(), _packed_phrases(phrase), known
 
 
-def sent_phrases(texts: DataFrame, part_bits: int) -> DataFrame:
+def _bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
+    return (mixed(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def sent_phrases(texts: DataFrame, part_bits: int, buckets: int) -> DataFrame:
     """Packed distinct (trigger, phrase, least document) of each load of texts.
 
-    What a load itself shows to be repeated is sent as known. A trigger hash is
-    its part number and 32 lower bits.
+    What a load itself shows to be repeated is sent as known, to the buckets of
+    its documents (negative parts). A trigger hash is its part number and 32
+    lower bits.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,6 +181,8 @@ def sent_phrases(texts: DataFrame, part_bits: int) -> DataFrame:
             rows_out = []
             for chosen, flag in ((new, False), (known, True)):
                 where = np.flatnonzero(chosen)
+                if flag:
+                    part = -1 - _bucket(doc, buckets)
                 where = where[np.lexsort((doc[where], part[where]))]
                 cuts = np.flatnonzero(np.diff(part[where])) + 1
                 rows_out += [_pack(int(part[w[0]]), doc[w], short[w], phrase[w], flag) for w in np.split(where, cuts) if len(w)]
@@ -236,7 +249,7 @@ def judged(sent: DataFrame, buckets: int) -> DataFrame:
         none = (np.zeros(0, np.int64), np.zeros(0, np.uint64))
         wholes = (np.concatenate(whole_doc), np.concatenate(whole_phrase)) if whole_doc else none
         for is_whole, (d, p) in ((True, wholes), (False, none if dict_doc is None else (dict_doc, dict_phrase))):
-            bucket = (mixed(d.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            bucket = _bucket(d, buckets)
             order = np.lexsort((d, bucket))
             d, p, bucket = d[order], p[order], bucket[order]
             for w in np.split(np.arange(len(d)), np.flatnonzero(np.diff(bucket)) + 1):
@@ -339,43 +352,105 @@ def placed(texts: DataFrame, replies: DataFrame) -> DataFrame:
     return _some_texts(texts, replies.select("doc_id")).join(replies, "doc_id").dropDuplicates(["doc_id", "text"]).mapInArrow(run, PARSE)
 
 
+def _windows(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(windows as fixed bytes, row of each, its place in the row's bytes) of dictionary rows."""
+    data = group.column("bytes").to_pylist()
+    counts = group.column("last").to_numpy().astype(np.int64)
+    text = np.frombuffer(b"".join(data), dtype=np.uint8)
+    sizes = np.array([len(d) for d in data], dtype=np.int64)
+    owner = np.repeat(np.arange(len(data)), counts)
+    place = np.arange(len(owner)) - (np.cumsum(counts) - counts)[owner]
+    suffixes = np.lib.stride_tricks.sliding_window_view(text, LENGTH)[(np.cumsum(sizes) - sizes)[owner] + place]
+    return np.ascontiguousarray(suffixes).view(f"V{LENGTH}").reshape(-1), owner, place
+
+
+FOUND = "doc_id long, text_key binary, spans binary"
+
+
+def _found(group: pa.Table, gone: np.ndarray, owner: np.ndarray, place: np.ndarray) -> pa.Table:
+    """Spans of the windows ``gone`` of dictionary rows."""
+    docs, keys = group.column("doc_id").to_numpy(), group.column("text_key").to_pylist()
+    found: dict[tuple[int, bytes], list[np.ndarray]] = {}
+    places = group.column("place").to_pylist()
+    for w in np.split(gone, np.flatnonzero(np.diff(owner[gone])) + 1):
+        if not len(w):
+            continue
+        k = int(owner[w[0]])
+        runs = _spans(place[w], place[w] + LENGTH)
+        for at in np.frombuffer(places[k], dtype="<i8").tolist():
+            found.setdefault((int(docs[k]), keys[k]), []).append(runs + at)
+    joined = {key: np.concatenate(v) for key, v in found.items()}
+    return pa.table(
+        {
+            "doc_id": pa.array([d for d, _ in joined], pa.int64()),
+            "text_key": pa.array([t for _, t in joined], pa.binary()),
+            "spans": pa.array([_spans(v[:, 0], v[:, 1]).astype("<i8").tobytes() for v in joined.values()], pa.binary()),
+        }
+    )
+
+
+def _least(ranks: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    first = np.full(int(ranks.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(first, ranks, docs)
+    return first
+
+
 def suffix_order(dictionary: DataFrame) -> DataFrame:
     """(doc_id, text_key, spans): windows of dictionary phrases that a smaller document holds, as spans of the text."""
+    hot = dictionary.groupBy("share").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_PHRASES)
+    bits = id_filter(hot.select("share"))
+    if not bits.any():
+        return _by_share(dictionary)
+    shared = dictionary.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def is_hot(slots: pd.Series) -> pd.Series:
+        return pd.Series(in_filter(shared.value, slots.to_numpy()))
+
+    # a share goes one way as a whole, also one that the filter lets through besides
+    marked = dictionary.withColumn("hot", is_hot(id_slot(F.col("share"))))
+    return _by_share(marked.where(~F.col("hot")).drop("hot")).unionByName(_by_window(written(marked.where("hot").drop("hot", "share"), "hot-phrases")))
+
+
+def _by_share(dictionary: DataFrame) -> DataFrame:
     shares = max(1, -(-dictionary.count() // SHARE_PHRASES))
 
     def order(group: pa.Table) -> pa.Table:
-        docs, keys = group.column("doc_id").to_numpy(), group.column("text_key").to_pylist()
-        data = group.column("bytes").to_pylist()
-        counts = group.column("last").to_numpy().astype(np.int64)
-        text = np.frombuffer(b"".join(data), dtype=np.uint8)
-        sizes = np.array([len(d) for d in data], dtype=np.int64)
-        owner = np.repeat(np.arange(len(data)), counts)
-        place = np.arange(len(owner)) - (np.cumsum(counts) - counts)[owner]
-        suffixes = np.lib.stride_tricks.sliding_window_view(text, LENGTH)[(np.cumsum(sizes) - sizes)[owner] + place]
-        ranks = np.unique(np.ascontiguousarray(suffixes).view(f"V{LENGTH}").reshape(-1), return_inverse=True)[1]
-        first = np.full(ranks.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(first, ranks, docs[owner])
-        gone = np.flatnonzero(first[ranks] < docs[owner])
-        found: dict[tuple[int, bytes], list[np.ndarray]] = {}
-        places = group.column("place").to_pylist()
-        for w in np.split(gone, np.flatnonzero(np.diff(owner[gone])) + 1):
-            if not len(w):
-                continue
-            k = int(owner[w[0]])
-            runs = _spans(place[w], place[w] + LENGTH)
-            for at in np.frombuffer(places[k], dtype="<i8").tolist():
-                found.setdefault((int(docs[k]), keys[k]), []).append(runs + at)
-        joined = {key: np.concatenate(v) for key, v in found.items()}
-        return pa.table(
-            {
-                "doc_id": pa.array([d for d, _ in joined], pa.int64()),
-                "text_key": pa.array([t for _, t in joined], pa.binary()),
-                "spans": pa.array([_spans(v[:, 0], v[:, 1]).astype("<i8").tobytes() for v in joined.values()], pa.binary()),
-            }
-        )
+        windows, owner, place = _windows(group)
+        docs = group.column("doc_id").to_numpy()[owner]
+        ranks = np.unique(windows, return_inverse=True)[1]
+        return _found(group, np.flatnonzero(_least(ranks, docs)[ranks] < docs), owner, place)
 
     dealt = dictionary.withColumn("share", F.pmod(F.xxhash64("share"), F.lit(shares)))
-    return dealt.groupBy("share").applyInArrow(order, "doc_id long, text_key binary, spans binary")
+    return dealt.groupBy("share").applyInArrow(order, FOUND)
+
+
+def _by_window(dictionary: DataFrame) -> DataFrame:
+    """The same with rows dealt by document: only a bucket's distinct windows meet those of other buckets."""
+    buckets = max(1, -(-dictionary.count() // HOT_PHRASES))
+    dealt = dictionary.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(buckets)))
+
+    def distinct(group: pa.Table) -> pa.Table:
+        windows, owner, _ = _windows(group)
+        values, ranks = np.unique(windows, return_inverse=True)
+        first = _least(ranks, group.column("doc_id").to_numpy()[owner])
+        bucket = group.column("bucket")[0].as_py()
+        return pa.table({"bucket": pa.array([bucket] * len(values), pa.int64()), "window": pa.array([v.tobytes() for v in values], pa.binary()), "least": pa.array(first)})
+
+    def answer(rows: pa.Table, firsts: pa.Table) -> pa.Table:
+        windows, owner, place = _windows(rows)
+        docs = rows.column("doc_id").to_numpy()[owner]
+        values, ranks = np.unique(windows, return_inverse=True)
+        first = _least(ranks, docs)
+        smaller = dict(zip(firsts.column("window").to_pylist(), firsts.column("first").to_pylist(), strict=True))
+        if smaller:
+            first = np.array([smaller.get(v.tobytes(), f) for v, f in zip(values, first.tolist(), strict=True)], dtype=np.int64)
+        return _found(rows, np.flatnonzero(first[ranks] < docs), owner, place)
+
+    sent = written(dealt.groupBy("bucket").applyInArrow(distinct, "bucket long, window binary, least long"), "hot-windows")
+    least = sent.groupBy("window").agg(F.min("least").alias("first"))
+    answers = sent.join(least, "window").where("first < least").select("bucket", "window", "first")
+    return dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(answer, FOUND)
 
 
 def removed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -383,7 +458,8 @@ def removed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = _texts(docs).where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     part_bits = max(0, int(np.ceil(np.log2(max(1, size / PART_BYTES)))))
-    replies = written(judged(sent_phrases(texts, part_bits), 2 << part_bits), "replies")
+    buckets = 2 << part_bits
+    replies = written(judged(sent_phrases(texts, part_bits, buckets), buckets), "replies")
     parse = written(placed(texts, replies), "parse")
     whole = parse.where("share IS NULL").select("doc_id", "text_key", "spans")
     rest = suffix_order(parse.where("share IS NOT NULL").select("doc_id", "text_key", "share", "bytes", "last", "place"))

@@ -74,6 +74,20 @@ def test_repeats_match_brute_force(spark):
     assert pfp.report(frame(spark, [])).count() == 0
 
 
+def test_repeats_around_a_common_line(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line, tails = word(120), [word(90) for _ in range(20)]
+    rows = [(i, word(70) + line + rng.choice([word(60), *tails])) for i in range(150)]
+    shared, kept = [], pfp._by_share
+    monkeypatch.setattr(pfp, "HOT_PHRASES", 20)
+    monkeypatch.setattr(pfp, "_by_share", lambda d: shared.append(d.groupBy("share").count().agg({"count": "max"}).first()[0]) or kept(d))
+    want = repeats([(i, t.encode()) for i, t in rows])
+    got = pfp.report(frame(spark, rows)).collect()
+    assert len(got) == len(rows) and all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) in want[r.doc_id] for r in got)
+    assert (shared[0] or 0) <= 20
+
+
 def test_every_window_is_in_one_phrase():
     rng = random.Random(6)
     texts = [bytes(rng.choice(b"ab ") for _ in range(n)) for n in (0, 10, 49, 50, 51, 500, 3000)]
