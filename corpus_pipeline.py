@@ -41,15 +41,16 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies."""
-    judged = written(minhash.near_duplicates(docs), "near-duplicates")
+    judged = written(minhash.judged(docs), "near-duplicates")
     again = judged.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND doc_id IS NOT NULL")
     if again.isEmpty():
         return without_ids(docs, judged.where(~F.col("kept")).select("doc_id"))
     # rows with a repeated id: each by its own text, one of each text
-    gone = judged.where(~F.col("kept")).select("doc_id")
-    single = without_ids(docs, gone.unionByName(again.select("doc_id")))
+    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_text_key")).distinct()
+    single = without_ids(docs, gone.select("_gone").unionByName(again.select(F.col("doc_id").alias("_gone"))))
     repeated = docs.join(again.select(F.col("doc_id").alias("_again")), docs["doc_id"].cast("long") == F.col("_again"), "left_semi")
-    return single.unionByName(without_ids(repeated, gone).dropDuplicates(["doc_id", "text"]))
+    own = (F.col("doc_id").cast("long") == F.col("_gone")) & (minhash.text_key(F.col("text")) == F.col("_text_key"))
+    return single.unionByName(repeated.join(gone, own, "left_anti").dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 1. One pass over whole texts: set of word shingles (64-bit hashes), its size, a
    key of the whole set, and a MinHash signature. Texts with equal sets are one
-   class from here on, with the least doc_id as representative.
+   class from here on, with the least doc_id as representative. A class's node
+   is that id, or a number of its own when classes share one.
 2. Signatures are cut into bands; representatives that agree in a band share a
    bucket. With 32 bands of 4 a pair at the threshold is missed with 5e-6.
 3. Round one compares every member of a bucket with the bucket's hub, the member
@@ -22,7 +23,8 @@
 
 Defined cases: null and empty texts and texts without words have the empty set
 and are linked with nothing; fewer than five words are one shingle; rows with
-equal ids are rows of their own, each linked by its own text; a null id has
+equal ids are rows of their own, each linked by its own text (of a group's least
+id, the rows of one set are kept); a null id has
 component null, takes part in no link and is kept; an empty table gives an
 empty result; other columns are not looked at.
 """
@@ -35,9 +37,10 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import attach
 from ..session import written
 from .common import rows_at_a_time, texts_of, word_shingles
 from .components import components
@@ -79,8 +82,13 @@ def shingle_sets(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
             start, held = k + 1, 0
 
 
+def text_key(text: Column) -> Column:
+    """Tells the texts of one id apart."""
+    return F.xxhash64(text.cast("string"))
+
+
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key, signature of every row (key and signature null for the empty set)."""
+    """doc_id, text_key, n_shingles, set_key, signature of every row (set key and signature null for the empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in rows_at_a_time(batches, 1 << 20):
@@ -94,12 +102,12 @@ def signed(docs: DataFrame) -> DataFrame:
                     signature[row] = sig.astype("<u4").tobytes()
                     key[row] = blake2b(sets[row].tobytes(), digest_size=16).hexdigest()
             yield pa.RecordBatch.from_arrays(
-                [table.column("doc_id").combine_chunks(), pa.array(sizes), pa.array(key, pa.string()), pa.array(signature, pa.binary())],
-                ["doc_id", "n_shingles", "set_key", "signature"],
+                [table.column("doc_id").combine_chunks(), table.column("text_key").combine_chunks(), pa.array(sizes), pa.array(key, pa.string()), pa.array(signature, pa.binary())],
+                ["doc_id", "text_key", "n_shingles", "set_key", "signature"],
             )
 
-    raw = texts_of(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
-    return raw.mapInArrow(run, "doc_id long, n_shingles long, set_key string, signature binary")
+    raw = texts_of(docs).select("doc_id", text_key(F.col("text")).alias("text_key"), F.col("text").cast("binary").alias("text"))
+    return raw.mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_key string, signature binary")
 
 
 def fewest_matches(threshold: float = NUMERATOR / DENOMINATOR, miss: float = MISS) -> dict[int, int]:
@@ -134,13 +142,13 @@ def plausible(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
                 alive = alive[matches[alive] >= least]
             yield batch.select(["a", "b"]).take(pa.array(alive))
 
-    left = signatures.select(F.col("rep").alias("a"), F.col("signature").alias("sig_a"))
-    right = signatures.select(F.col("rep").alias("b"), F.col("signature").alias("sig_b"))
+    left = signatures.select(F.col("node").alias("a"), F.col("signature").alias("sig_a"))
+    right = signatures.select(F.col("node").alias("b"), F.col("signature").alias("sig_b"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, shingles) of the given ids. What the filter lets through besides goes in the join."""
+    """(rep, set_key, shingles) of the given ids. What the filter lets through besides goes in the join."""
     shared = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,10 +159,11 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 continue
             for table in rows_at_a_time([batch.take(pa.array(keep))], 1 << 20):
                 sets = [s.tobytes() for _, s in shingle_sets([t or b"" for t in table.column("text").to_pylist()])]
-                yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), pa.array(sets, pa.binary())], ["id", "shingles"])
+                keys = [blake2b(s, digest_size=16).hexdigest() for s in sets]
+                yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), pa.array(keys, pa.string()), pa.array(sets, pa.binary())], ["rep", "set_key", "shingles"])
 
     raw = texts_of(docs).where(F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("binary").alias("text"), id_slot(F.col("doc_id")).alias("slot"))
-    return raw.mapInArrow(run, "id long, shingles binary")
+    return raw.mapInArrow(run, "rep long, set_key string, shingles binary")
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -171,15 +180,14 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
     The partners of each a are dealt into blocks of about BLOCK_SHINGLES
     shingles in total; a task holds one block and a's own set.
     """
-    sizes = classes.select(F.col("rep").alias("b"), F.col("n_shingles").alias("size_b"))
+    sizes = classes.select(F.col("node").alias("b"), F.col("n_shingles").alias("size_b"))
     sized = written(pairs.join(sizes, "b"), "sized-pairs")
     blocks = sized.groupBy("a").agg(F.ceil(F.sum("size_b") / BLOCK_SHINGLES).alias("blocks"))
     dealt = sized.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), "b")
-    roles = written(dealt.select("a", "block", F.col("b").alias("id")).unionByName(dealt.select("a", "block", F.col("a").alias("id")).distinct()), "roles")
-    found = sets_of(docs, roles.select("id"))
+    roles = dealt.select("a", "block", F.col("b").alias("id")).unionByName(dealt.select("a", "block", F.col("a").alias("id")).distinct())
+    roles = written(roles.join(classes.select(F.col("node").alias("id"), "rep", "set_key"), "id"), "roles")
     # an id may have rows with other texts: the class's own set is the one that counts
-    keys = classes.select(F.col("rep").alias("id"), "n_shingles")
-    own = roles.join(found, "id").join(keys, "id").where(F.octet_length("shingles") == F.col("n_shingles") * 8).drop("n_shingles")
+    own = roles.join(sets_of(docs, roles.select("rep")), ["rep", "set_key"])
 
     def check(group: pa.Table) -> pa.Table:
         a = group.column("a")[0].as_py()
@@ -202,7 +210,7 @@ def _with_component(df: DataFrame, labels: DataFrame, column: str, out: str) ->
 def links(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Confirmed links between representatives, and the components they form."""
     bands = classes.select(
-        F.col("rep").alias("id"),
+        F.col("node").alias("id"),
         F.explode(F.array(*[F.xxhash64(F.lit(k), F.substring("signature", 4 * ROWS * k + 1, 4 * ROWS)) for k in range(BANDS)])).alias("bucket"),
     )
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -229,14 +237,14 @@ def between_components(members: DataFrame, labels: DataFrame, docs: DataFrame, c
     placed = _with_component(members.select("bucket", "id"), labels, "id", "c")
     counts = placed.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
     main = counts.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    facts = classes.select(F.col("rep").alias("id"), "n_shingles", "signature")
+    facts = classes.select(F.col("node").alias("id"), "rep", "set_key", "n_shingles", "signature")
     people = placed.join(main, "bucket").select("main", "id", "c").distinct().join(facts.drop("signature"), "id")
     people = written(people, "open-members")
     outside = F.col("c") != F.col("main")
     amount = lambda what: F.ceil(F.sum(what) / BLOCK_SHINGLES).cast("int")
     blocks = people.groupBy("main").agg(amount(F.when(outside, F.col("n_shingles"))).alias("x_blocks"), amount(F.col("n_shingles")).alias("y_blocks"))
-    found = written(sets_of(docs, people.select("id")), "sets")
-    full = people.join(found, "id").where(F.octet_length("shingles") == F.col("n_shingles") * 8).join(facts.drop("n_shingles"), "id").join(blocks, "main")
+    found = written(sets_of(docs, people.select("rep")), "sets")
+    full = people.join(found, ["rep", "set_key"]).join(facts.select("id", "signature"), "id").join(blocks, "main")
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = ["main", "x", "y", "id", "c", "signature", "shingles"]
@@ -267,13 +275,28 @@ def between_components(members: DataFrame, labels: DataFrame, docs: DataFrame, c
     return xs.groupBy(*[f"x_{n}" for n in key]).cogroup(ys.groupBy(*key)).applyInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of ``docs``."""
+def judged(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id, kept of every row of ``docs``."""
     rows = written(signed(docs), "signatures")
     alive = rows.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
-    classes = written(alive.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "classes")
+    classes = alive.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    classes = written(classes.withColumn("number", F.monotonically_increasing_id()), "classes")
+    shared = not classes.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    classes = classes.withColumn("node", F.col("number" if shared else "rep")).drop("number")
     _, labels = links(docs, classes)
-    groups = _with_component(classes.select("set_key", "rep"), labels, "rep", "component_id").select("set_key", "component_id")
-    out = rows.select("doc_id", "n_shingles", "set_key").join(groups, "set_key", "left")
+    groups = _with_component(classes.select("set_key", "rep", "node"), labels, "node", "component_id")
+    if shared:  # the least id of a component and, of its sets, one
+        groups = written(groups.withColumnRenamed("component_id", "c"), "groups")
+        heads = groups.groupBy("c").agg(F.min(F.struct("rep", "set_key")).alias("head"))
+        groups = attach(groups, heads, ["c"], ["set_key"]).select("set_key", F.col("head.rep").alias("component_id"), (F.col("set_key") == F.col("head.set_key")).alias("chosen"))
+    else:
+        groups = groups.select("set_key", "component_id", F.lit(True).alias("chosen"))
+    out = rows.select("doc_id", "text_key", "n_shingles", "set_key").join(groups, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    kept = F.coalesce((F.col("doc_id") == component) & F.coalesce("chosen", F.lit(True)), F.lit(True))
+    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of ``docs``."""
+    return judged(docs).drop("text_key")

@@ -50,6 +50,20 @@ def test_near_duplicates_odd_rows(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    import corpus_pipeline
+
+    a, b, c = ([f"{x}{k}" for k in range(60)] for x in "abc")
+    near = lambda words: " ".join([*words[:-1], "z"])
+    a, near_a, b, c, near_c = " ".join(a), near(a), " ".join(b), " ".join(c), near(c)
+    # 5 is near 3 by one text only, and the least id of two groups; 7 holds near copies of itself
+    docs = frame(spark, [(3, a), (5, near_a), (5, b), (9, b), (7, c), (7, near_c), (8, near_c), (5, b), (None, b)])
+    got = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(docs).collect()}
+    assert got == {(3, 3), (5, 3), (5, 5), (9, 5), (7, 7), (8, 7), (None, None)}
+    left = sorted((str(r.doc_id), r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert left in ([("3", a), ("5", b), ("7", x), ("None", b)] for x in (c, near_c))
+
+
 def test_sequential_bounds():
     fewest = minhash.fewest_matches(0.75, 1e-5)
     assert list(fewest) == [32, 64, 96, 128] and fewest[128] < 0.75 * 128 and fewest[32] < fewest[64] < fewest[96] < fewest[128]
