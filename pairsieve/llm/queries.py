@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontam, langid, mih, minhash, packing, pfp, pii, quality, token_files, warc
+from . import decontam, langid, mih, minhash, mixing, packing, pfp, pii, prefix_trie, quality, token_files, warc
 from .common import read
 from .registry import ORACLES, QUERIES, query
 
@@ -84,4 +84,14 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder)
 
 
+@query("op11_sainte_lague_mix", mixing.MIX_SQL)
+def op11_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
+@query("op12_prefix_trie", prefix_trie.TRIE_SQL)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
