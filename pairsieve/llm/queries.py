@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontam, langid, mih, minhash, mixing, packing, pfp, pii, prefix_trie, quality, token_files, warc
+from . import decontam, langid, lexical, mih, minhash, mixing, packing, pfp, pii, prefix_trie, quality, token_files, warc
 from .common import read
 from .registry import ORACLES, QUERIES, query
 
@@ -94,4 +94,9 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
 
 
+@query("op13_lexical_search", lexical.SEARCH_SQL)
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
