@@ -1,9 +1,24 @@
-"""Sum-product message passing over an edge table, many frames at once."""
+"""Sum-product message passing over an edge table, many frames at once.
+
+A code of up to ``MAX_EDGES`` edges, shared by all frames, travels to the tasks
+as two packed arrays. Frames are packed to one row each in a single shuffle and
+decoded with all their iterations and retries inside one task, a few hundred
+thousand edges at a time: a half-iteration is one segmented sum over the edges
+sorted by check or by variable. Frames that converge leave the batch.
+
+Larger codes are decoded edge by edge as tables (``decode_wide``).
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from .skew import attach
@@ -11,14 +26,205 @@ from .skew import attach
 c = F.col
 CLIP = 0.999999
 LLR_LIMIT = 30.0
+MAX_EDGES = 1 << 22
+BATCH_EDGES = 1 << 18
+ITERATIONS, RETRIES, DAMPING_STEP, ITERATION_SCALE = 50, 2, 0.15, 0.5
+
+
+@dataclass
+class Code:
+    """A bipartite graph as arrays; edges are sorted by check, ``by_var`` sorts them by variable."""
+
+    checks: np.ndarray  # ids in ascending order
+    variables: np.ndarray
+    check_at: np.ndarray  # place of each edge's check among ``checks``
+    var_at: np.ndarray
+
+    def __post_init__(self):
+        self.check_starts = np.searchsorted(self.check_at, np.arange(len(self.checks)))
+        self.by_var = np.argsort(self.var_at, kind="stable")
+        self.var_starts = np.searchsorted(self.var_at[self.by_var], np.arange(len(self.variables)))
+
+    @classmethod
+    def of(cls, edges: np.ndarray) -> Code:
+        """From (check_id, var_id) rows; repeated edges count once."""
+        edges = np.unique(edges.reshape(-1, 2), axis=0)
+        checks, check_at = np.unique(edges[:, 0], return_inverse=True)
+        variables, var_at = np.unique(edges[:, 1], return_inverse=True)
+        return cls(checks, variables, check_at, var_at)
+
+
+def sum_product(code: Code, llr: np.ndarray, target: np.ndarray, bound: np.ndarray, max_iterations: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bits, iterations and failing checks of each frame (row of ``llr``); checks that don't bind a frame send nothing."""
+    n = len(llr)
+    bits, used, failing = np.zeros(llr.shape, dtype=np.int8), np.full(n, max_iterations), np.zeros(n, dtype=np.int64)
+    open_ = np.arange(n)
+    llr = np.clip(llr, -LLR_LIMIT, LLR_LIMIT)
+    q = llr[:, code.var_at]
+    at = code.check_at
+    for iteration in range(1, max_iterations + 1):
+        t = np.tanh(q / 2)
+        zero, negative = t == 0, t < 0
+        logs = np.log(np.abs(t), out=np.zeros_like(t), where=~zero)
+        total, zeros, signs = (np.add.reduceat(x, code.check_starts, axis=1, dtype=d)[:, at] for x, d in ((logs, float), (zero, np.int32), (negative, np.int32)))
+        size = np.minimum(np.exp(total - logs), CLIP)
+        odd = (signs - negative + target[open_][:, at]) % 2
+        r = np.where((zeros - zero > 0) | ~bound[open_][:, at], 0.0, np.where(odd == 1, -1.0, 1.0) * np.log((1 + size) / (1 - size)))
+        belief = llr[open_] + np.add.reduceat(r[:, code.by_var], code.var_starts, axis=1)
+        bit = (belief < 0).astype(np.int8)
+        parity = np.bitwise_xor.reduceat(bit[:, code.var_at], code.check_starts, axis=1)
+        wrong = ((parity != target[open_]) & bound[open_]).sum(axis=1)
+        bits[open_], failing[open_] = bit, wrong
+        left = wrong > 0
+        used[open_[~left]] = iteration
+        if not left.any():
+            break
+        open_ = open_[left]
+        q = (belief[:, code.var_at] - r)[left]
+    return bits, used, failing
+
+
+def ladder(
+    code: Code, llr: np.ndarray, target: np.ndarray, bound: np.ndarray, max_iterations: int, retries: int, damping_step: float, iteration_scale: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``sum_product``, then again for unconverged frames, damped and with more iterations; the best result stays."""
+    bits, used, failing = sum_product(code, llr, target, bound, max_iterations)
+    attempts = np.zeros(len(llr), dtype=np.int64)
+    for attempt in range(1, retries + 1):
+        again = np.flatnonzero(failing > 0)
+        if not len(again):
+            break
+        limit = int(max_iterations * (1 + iteration_scale * attempt))
+        b, u, f = sum_product(code, llr[again] * (1 - damping_step * attempt), target[again], bound[again], limit)
+        better = f < failing[again]
+        to = again[better]
+        bits[to], used[to], failing[to], attempts[to] = b[better], u[better], f[better], attempt
+    return bits, used, failing, attempts
+
+
+def packed_code(edges: DataFrame) -> Code | None:
+    """The graph as arrays, or None where it has more than ``MAX_EDGES`` edges."""
+    distinct = cut_lineage(edges.select(c("check_id").cast("long"), c("var_id").cast("long")).distinct())
+    if distinct.count() > MAX_EDGES:
+        return None
+    rows = distinct.toArrow()
+    return Code.of(np.column_stack([rows.column(n).to_numpy() for n in ("check_id", "var_id")]))
+
+
+def packed_frames(llr: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per frame: its values by variable and its targets by check."""
+    item = F.struct(c("id").cast("long").alias("id"), c("value").cast("double").alias("value"))
+    values = llr.select(*keys, F.lit(0).alias("kind"), c("var_id").alias("id"), c("llr").alias("value"))
+    targets = target.select(*keys, F.lit(1).alias("kind"), c("check_id").alias("id"), c("target").alias("value"))
+    return values.unionByName(targets).groupBy(*keys).agg(
+        F.collect_list(F.when(c("kind") == 0, item)).alias("llr"), F.collect_list(F.when(c("kind") == 1, item)).alias("target")
+    )
+
+
+def decode_frames(
+    edges: DataFrame, llr: DataFrame, target: DataFrame, max_iterations: int = ITERATIONS, retries: int = RETRIES, damping_step: float = DAMPING_STEP,
+    iteration_scale: float = ITERATION_SCALE, keys: list[str] | None = None, missing: float = 0.0,
+) -> DataFrame:
+    """One row per frame of ``llr``: ``bits`` by ascending var_id, converged, iterations, attempt, n_failing.
+
+    A variable without value in a frame has ``missing`` (0: punctured; a large
+    value: known to be 0); a check without target doesn't bind that frame.
+    Null ids and values count as absent. The code must be within ``MAX_EDGES``.
+    """
+    keys = keys or ["frame_id"]
+    code = packed_code(edges)
+    if code is None:
+        raise ValueError(f"the code has more than {MAX_EDGES} edges; use decode_wide")
+    if not len(code.checks):
+        raise ValueError("the code has no edges")
+    shared = llr.sparkSession.sparkContext.broadcast(code)
+    frames = packed_frames(llr, target, keys)
+    schema = T.StructType([frames.schema[k] for k in keys])
+    for name, kind in (("bits", T.ArrayType(T.ByteType())), ("converged", T.BooleanType()), ("iterations", T.LongType()), ("attempt", T.LongType()), ("n_failing", T.LongType())):
+        schema.add(name, kind)
+
+    def dense(lists: pa.ListArray, ids: np.ndarray, fill: float) -> np.ndarray:
+        out = np.full((len(lists), len(ids)), fill)
+        items = lists.flatten()
+        row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        name, value = items.field("id"), items.field("value")
+        good = name.is_valid().to_numpy(zero_copy_only=False) & value.is_valid().to_numpy(zero_copy_only=False)
+        name, value, row = name.fill_null(0).to_numpy()[good], value.fill_null(0).to_numpy()[good], row[good]
+        at = np.minimum(np.searchsorted(ids, name), len(ids) - 1)
+        known = ids[at] == name
+        out[row[known], at[known]] = value[known]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph = shared.value
+        step = max(1, BATCH_EDGES // len(graph.check_at))
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                rows = batch.slice(start, step)
+                values = dense(rows.column("llr"), graph.variables, missing)
+                goal = dense(rows.column("target"), graph.checks, -1)
+                bound = goal >= 0
+                bits, used, failing, attempts = ladder(graph, values, np.where(bound, goal, 0).astype(np.int8), bound, max_iterations, retries, damping_step, iteration_scale)
+                offsets = pa.array(np.arange(len(bits) + 1) * bits.shape[1], pa.int32())
+                columns = [pa.ListArray.from_arrays(offsets, pa.array(bits.ravel(), pa.int8())), pa.array(failing == 0), *[pa.array(x, pa.int64()) for x in (used, attempts, failing)]]
+                yield pa.RecordBatch.from_arrays([*[rows.column(k) for k in keys], *columns], [*keys, "bits", "converged", "iterations", "attempt", "n_failing"])
+
+    return frames.where(F.size("llr") > 0).mapInArrow(run, schema)
+
+
+def bit_rows(decoded: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row per frame and variable of the code instead of the packed bits."""
+    ids = decoded.sparkSession.sparkContext.broadcast(packed_code(edges).variables)
+    kept = [f for f in decoded.schema if f.name != "bits"]
+    names = [f.name for f in kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(ids.value)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                again = row.select(names).take(pa.array(np.zeros(n, dtype=np.int64)))
+                yield pa.RecordBatch.from_arrays([*again.columns, pa.array(ids.value, pa.int64()), row.column("bits").flatten().cast(pa.int32())], [*names, "var_id", "bit"])
+
+    return decoded.mapInArrow(run, T.StructType([*kept, T.StructField("var_id", T.LongType()), T.StructField("bit", T.IntegerType())]))
+
+
+def decode(edges: DataFrame, llr: DataFrame, target: DataFrame, max_iterations: int = ITERATIONS) -> DataFrame:
+    """Bits per (frame_id, var_id) with convergence flag, iterations and failing checks, in one attempt."""
+    return decode_with_retries(edges, llr, target, max_iterations, retries=0).drop("attempt")
+
+
+def decode_with_retries(
+    edges: DataFrame, llr: DataFrame, target: DataFrame, max_iterations: int = ITERATIONS, retries: int = RETRIES, damping_step: float = DAMPING_STEP,
+    iteration_scale: float = ITERATION_SCALE,
+) -> DataFrame:
+    """Bits per (frame_id, var_id); later attempts run on unconverged frames only, damped and with more iterations; the best result stays."""
+    if edges.limit(MAX_EDGES + 1).count() > MAX_EDGES:
+        return wide_with_retries(edges, llr, target, max_iterations, retries, damping_step, iteration_scale)
+    return bit_rows(decode_frames(edges, llr, target, max_iterations, retries, damping_step, iteration_scale), edges)
+
+
+def regular_code(spark, n: int, var_degree: int = 3, check_degree: int = 6) -> DataFrame:
+    """Edges of a regular code of ``n`` variables: in each of ``var_degree`` layers the variables are dealt to checks in the order of a digest."""
+    rows = spark.range(n).select(c("id").alias("var_id"), F.explode(F.sequence(F.lit(0), F.lit(var_degree - 1))).alias("layer"))
+    name = F.md5(F.concat_ws(":", F.lit("code"), c("layer").cast("string"), c("var_id").cast("string")))
+    place = F.row_number().over(Window.partitionBy("layer").orderBy(name)) - 1  # n rows, the length of a frame
+    per_layer = -(-n // check_degree)
+    return rows.select("var_id", (c("layer") * per_layer + F.floor(place / check_degree)).cast("bigint").alias("check_id")).select("check_id", "var_id")
+
+
+def frame_syndromes(edges: DataFrame, bits: DataFrame, keys: list[str]) -> DataFrame:
+    """Parity (``target``) of every check that has bits in a frame; ``bits`` has keys, var_id, bit."""
+    met = bits.select(*keys, "var_id", "bit").join(edges.select("check_id", "var_id"), "var_id")
+    return met.groupBy(*keys, "check_id").agg(F.bit_xor(c("bit").cast("int")).alias("target"))
 
 
 def _atanh(x):
     return 0.5 * F.log((1 + x) / (1 - x))
 
 
-def decode(edges: DataFrame, llr: DataFrame, target: DataFrame, max_iterations: int) -> DataFrame:
-    """Bits per (frame_id, var_id) with convergence flag, iterations and failing checks.
+def decode_wide(edges: DataFrame, llr: DataFrame, target: DataFrame, max_iterations: int) -> DataFrame:
+    """Bits per (frame_id, var_id) with convergence flag, iterations and failing checks, for codes of any size.
 
     ``edges`` (check_id, var_id) is shared by all frames; ``llr`` has
     frame_id, var_id, llr; ``target`` has frame_id, check_id, target. The
@@ -71,17 +277,17 @@ def decode(edges: DataFrame, llr: DataFrame, target: DataFrame, max_iterations:
     return done
 
 
-def decode_with_retries(
-    edges: DataFrame, llr: DataFrame, target: DataFrame, max_iterations: int, retries: int = 2, damping_step: float = 0.15, iteration_scale: float = 0.5
+def wide_with_retries(
+    edges: DataFrame, llr: DataFrame, target: DataFrame, max_iterations: int, retries: int, damping_step: float, iteration_scale: float
 ) -> DataFrame:
-    """Later attempts run on unconverged frames only, damped and with more iterations; the best result stays."""
-    best = decode(edges, llr, target, max_iterations).withColumn("attempt", F.lit(0))
+    """The ladder of retries over ``decode_wide``."""
+    best = decode_wide(edges, llr, target, max_iterations).withColumn("attempt", F.lit(0))
     for attempt in range(1, retries + 1):
         failed = cut_lineage(best.where("NOT converged").select("frame_id", c("n_failing").alias("old")).distinct())
         if failed.isEmpty():
             break
         damped = llr.join(failed.select("frame_id"), "frame_id").withColumn("llr", c("llr") * (1 - damping_step * attempt))
-        again = decode(edges, damped, target.join(failed.select("frame_id"), "frame_id"), int(max_iterations * (1 + iteration_scale * attempt)))
+        again = decode_wide(edges, damped, target.join(failed.select("frame_id"), "frame_id"), int(max_iterations * (1 + iteration_scale * attempt)))
         better = again.join(failed, "frame_id").where("n_failing < old").drop("old").withColumn("attempt", F.lit(attempt))
         kept = best.join(better.select("frame_id").distinct(), "frame_id", "left_anti")
         best = cut_lineage(kept.unionByName(better))

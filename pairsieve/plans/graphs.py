@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import bits, distributions
+from ..functions import bits, distributions, rates
 from ..operators import decode, graph, quality, sifting
 from ..operators.ordered import positions, running
 from ..session import written
@@ -13,6 +13,7 @@ from ..sources import views
 from . import oracle as o
 from .common import tidy
 from .registry import query, view
+from .sessions import key_blocks, large_key_blocks
 
 c = F.col
 
@@ -160,33 +161,84 @@ def i10(spark, sf):
     return graph.nested_patterns(ordered.select("var_id", "place"), n, RATES).select("var_id", "place", "first_rate")
 
 
-def decode_input(spark, sf, frames: int = 2):
-    """Parts are checks, orders are variables; a frame flips about 1 % of the bits."""
-    e = views.edges(spark, sf).select(c("var_id").alias("check_id"), c("check_id").alias("var_id"))
-    v = e.select("var_id").distinct().withColumn("frame_id", F.explode(F.array(*[F.lit(i) for i in range(frames)])))
-    v = v.withColumn("bit", views.coin("fb", c("frame_id"), c("var_id")))
-    v = v.withColumn("got", F.when(views.byte_of("fn", c("frame_id"), c("var_id")) < 2, 1 - c("bit")).otherwise(c("bit")))
-    target = e.join(v, "var_id").groupBy("frame_id", "check_id").agg(F.bit_xor("bit").alias("target"))
-    llr = v.select("frame_id", "var_id", bits.channel_llr(c("got"), F.lit(2 / 256), F.lit(False)).alias("llr"))
-    return e, v, llr, target
+view("v_frames", """
+SELECT session_id, pos // 4096 AS block_id, pos % 4096 AS offs, a_bit, b_bit FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY round_id) - 1 AS pos FROM (
+ SELECT session_id, round_id, a_bit, b_bit FROM v_key UNION ALL SELECT CAST(-1 AS BIGINT), round_id, a_bit, b_bit FROM v_large_key))""")
 
 
-@query("i11_message_passing")
-def i11(spark, sf):
-    e, v, llr, target = decode_input(spark, sf)
-    got = decode.decode(e, llr, target, 8)
-    return got.groupBy("frame_id").agg(
-        F.max("converged").alias("converged"), F.max("iterations").alias("iterations"), F.max("n_failing").alias("n_failing"), F.sum("bit").alias("ones")
+def _code_sql(check_degree: int) -> str:
+    return f"""SELECT v AS offs, layer * {-(-rates.FRAME // check_degree)} + (row_number() OVER (PARTITION BY layer ORDER BY md5('code:' || layer || ':' || v)) - 1) // {check_degree} AS check_id
+ FROM (SELECT unnest(range({rates.FRAME})) AS v), (SELECT unnest(range(3)) AS layer)"""
+
+
+view("v_code", _code_sql(6))
+FRAME_KEYS = ["session_id", "block_id"]
+
+
+def frames_of(spark, sf) -> DataFrame:
+    """Key bits of all sessions in frames of 4,096, the large session under id -1; a session's last frame is shorter."""
+    cols = ("session_id", "block_id", "offset", "a_bit", "b_bit")
+    large = large_key_blocks(spark, sf).withColumn("session_id", F.lit(-1).cast("bigint"))
+    both = key_blocks(spark, sf, rates.FRAME).select(*cols).unionByName(large.select(*cols))
+    return written(both.withColumnRenamed("offset", "var_id"), "frames")
+
+
+def decoded_frames(spark, sf, check_degree: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Frames, code, and the bits one party gets from its own ones and the other's parities.
+
+    A frame's missing end is known to be 0 on both sides.
+    """
+    frames = frames_of(spark, sf)
+    edges = written(decode.regular_code(spark, rates.FRAME, 3, check_degree), "code")
+    target = decode.frame_syndromes(edges, frames.select(*FRAME_KEYS, "var_id", c("a_bit").alias("bit")), FRAME_KEYS)
+    llr = frames.select(*FRAME_KEYS, "var_id", bits.channel_llr(c("b_bit"), F.lit(views.NOISE_OF_256 / 256), F.lit(False)).alias("llr"))
+    found = decode.decode_frames(edges, llr, target, keys=FRAME_KEYS, missing=decode.LLR_LIMIT)
+    return frames, edges, written(found, "decoded")
+
+
+def frame_errors(frames: DataFrame, edges: DataFrame, found: DataFrame) -> DataFrame:
+    """Per frame: errors before and after decoding, ones, and the checks whose parity is off, recounted from the rows."""
+    # the code's variables are the places in a frame
+    both = frames.join(found.select(*FRAME_KEYS, "bits"), FRAME_KEYS).withColumn("bit", F.element_at("bits", (c("var_id") + 1).cast("int")).cast("int")).drop("bits")
+    per = both.groupBy(*FRAME_KEYS).agg(
+        F.count(F.lit(1)).alias("n_bits"), F.sum("bit").alias("ones"), F.count_if(c("a_bit") != c("b_bit")).alias("errors_before"), F.count_if(c("a_bit") != c("bit")).alias("errors_after")
+    )
+    parities = both.join(edges, "var_id").groupBy(*FRAME_KEYS, "check_id").agg(
+        F.bit_xor("a_bit").alias("a"), F.bit_xor("b_bit").alias("b"), F.bit_xor("bit").alias("x")
     )
+    off = parities.groupBy(*FRAME_KEYS).agg(F.count(F.lit(1)).alias("n_checks"), F.count_if(c("a") != c("b")).alias("off_before"), F.count_if(c("a") != c("x")).alias("off_after"))
+    return per.join(off, FRAME_KEYS).join(found.drop("bits"), FRAME_KEYS)
 
 
-@query("i12_retry_ladder")
+# at the error rate of these tables a code of rate 1/2 corrects every frame, so the corrected bits are those of the other party
+@query("i11_message_passing", """
+SELECT session_id, block_id, n_bits, errors_before, ones, 0::BIGINT AS errors_after, n_checks, off_before, 0::BIGINT AS n_failing, true AS converged FROM (
+ SELECT session_id, block_id, count(*) AS n_bits, count(*) FILTER (a_bit <> b_bit) AS errors_before, sum(a_bit)::BIGINT AS ones FROM v_frames GROUP BY 1, 2)
+ JOIN (SELECT session_id, block_id, count(*) AS n_checks, count(*) FILTER (a <> b) AS off_before FROM (
+  SELECT session_id, block_id, check_id, bit_xor(a_bit) AS a, bit_xor(b_bit) AS b FROM v_frames JOIN v_code USING (offs) GROUP BY 1, 2, 3) GROUP BY 1, 2) USING (session_id, block_id)""")
+def i11(spark, sf):
+    got = frame_errors(*decoded_frames(spark, sf, 6))
+    return tidy(got.select(*FRAME_KEYS, "n_bits", "errors_before", "ones", "errors_after", "n_checks", "off_before", "n_failing", "converged"))
+
+
+view("v_code_dense", _code_sql(8))
+
+
+# rate 5/8 is near what this error rate allows: some frames need retries, and how many is for the decoder to find;
+# the parities of what it returns are recounted here for every frame
+@query("i12_retry_ladder", """
+SELECT session_id, block_id, n_bits, n_checks, true AS parities_agree, true AS corrected_if_converged, true AS within_ladder FROM (
+ SELECT session_id, block_id, count(*) AS n_bits FROM v_frames GROUP BY 1, 2)
+ JOIN (SELECT session_id, block_id, count(DISTINCT check_id) AS n_checks FROM v_frames JOIN v_code_dense USING (offs) GROUP BY 1, 2) USING (session_id, block_id)""")
 def i12(spark, sf):
-    e, v, llr, target = decode_input(spark, sf, 1)
-    got = decode.decode_with_retries(e, llr, target, 2, retries=1, iteration_scale=1.0)
-    return got.groupBy("frame_id").agg(
-        F.max("converged").alias("converged"), F.max("attempt").alias("attempt"), F.max("n_failing").alias("n_failing"), F.sum("bit").alias("ones")
-    )
+    got = frame_errors(*decoded_frames(spark, sf, 8))
+    limit = decode.ITERATIONS * (1 + decode.ITERATION_SCALE * c("attempt"))
+    return tidy(got.select(
+        *FRAME_KEYS, "n_bits", "n_checks",
+        ((c("off_after") == c("n_failing")) & (c("converged") == (c("n_failing") == 0))).alias("parities_agree"),
+        (~c("converged") | (c("errors_after") == 0)).alias("corrected_if_converged"),
+        ((c("attempt") <= decode.RETRIES) & (c("iterations") <= limit)).alias("within_ladder"),
+    ))
 
 
 # --- randomness -----------------------------------------------------------------
