@@ -8,8 +8,8 @@
 3. Quotas: the mix is a number of blocks of equal size. Sources get them by
    highest quotients target / (2k - 1); so do the sections of a source and
    the shards of a section from the quota above them, by their words.
-4. Selection: a shard's documents stand in seeded order and are cut in blocks.
-   Whole passes over the shard first, then the rest of the quota from a seeded
+4. Selection: a shard's documents stand in seeded order and are cut in blocks
+   that are equal but for one word, as many as its words hold. Whole passes over the shard first, then the rest of the quota from a seeded
    block on, cyclically: only documents at the ends of that run are cut.
 
 A source with a third of all rows is many shards of about ``SHARD_WORDS``
@@ -19,7 +19,7 @@ Defined cases: a null text has no words and takes none; rows without source are
 the last source; rows without id are dealt by their size and count; repeated
 rows are rows of their own; an empty table gives no rows; a text of any length is
 one row; other columns are not looked at. A source's words differ from its
-target by rounding to blocks, and by less than a block for each of its shards.
+target by rounding to blocks: by at most two blocks for each of its shards.
 """
 
 from __future__ import annotations
@@ -90,19 +90,19 @@ def with_targets(sources: DataFrame, percent: int = 100, most: int = MOST) -> Da
 
 
 def _candidates(parties: DataFrame, seats: Column, votes_sum: Column, n_parties: Column) -> DataFrame:
-    """Each party's sure seats ``low`` and, one row each, the further seats ``k`` it may get, with their quotients.
+    """Each party's sure seats ``_low`` and, one row each, the further seats ``_k`` it may get, with their quotients.
 
     With the divisor V/(T+m) all parties together get at least T seats, with
     V/(T-m) at most T; so the seats in between, at most about five for each
-    party, are the only open ones. ``low`` and ``high`` allow for rounding.
+    party, are the only open ones. ``_low`` and ``_high`` allow for rounding.
     """
     votes = F.col("votes")
 
     def at(house: Column) -> Column:
         return F.when(votes_sum > 0, F.floor(votes * F.greatest(house, F.lit(0)) / F.when(votes_sum > 0, votes_sum) + 0.5)).otherwise(0).cast("long")
 
-    bounded = parties.withColumn("low", F.greatest(at(seats - n_parties) - 1, F.lit(0).cast("long"))).withColumn("high", at(seats + n_parties) + 1)
-    return bounded.withColumn("k", F.explode(F.expr("sequence(low + 1, high)"))).withColumn("quotient", votes / (2 * F.col("k") - 1))
+    bounded = parties.withColumn("_low", F.greatest(at(seats - n_parties) - 1, F.lit(0).cast("long"))).withColumn("_high", at(seats + n_parties) + 1)
+    return bounded.withColumn("_k", F.explode(F.expr("sequence(_low + 1, _high)"))).withColumn("_quotient", votes / (2 * F.col("_k") - 1))
 
 
 def apportion_sources(sources: DataFrame, blocks: int) -> DataFrame:
@@ -110,10 +110,10 @@ def apportion_sources(sources: DataFrame, blocks: int) -> DataFrame:
     votes_sum, n = sources.agg(F.sum("target"), F.count(F.lit(1))).first()
     parties = sources.select("sid", F.col("target").alias("votes"))
     open_seats = _candidates(parties, F.lit(blocks).cast("long"), F.lit(float(votes_sum or 0)), F.lit(int(n)).cast("long"))
-    ranked = written(_numbered(open_seats, "place", F.col("quotient").desc(), F.col("sid"), F.col("k")), "seats")
-    sure = int(ranked.where("k = low + 1").agg(F.sum("low")).first()[0] or 0)
-    got = F.count_if(F.col("place") <= blocks - sure)
-    return ranked.groupBy("sid").agg((F.first("low") + got).alias("quota"))
+    ranked = written(_numbered(open_seats, "_place", F.col("_quotient").desc(), F.col("sid"), F.col("_k")), "seats")
+    sure = int(ranked.where("_k = _low + 1").agg(F.sum("_low")).first()[0] or 0)
+    got = F.count_if(F.col("_place") <= blocks - sure)
+    return ranked.groupBy("sid").agg((F.first("_low") + got).alias("quota"))
 
 
 def apportion_within(parties: DataFrame, group: list[str], order: str) -> DataFrame:
@@ -122,9 +122,9 @@ def apportion_within(parties: DataFrame, group: list[str], order: str) -> DataFr
     known = parties.withColumn("_sum", F.sum("votes").over(whole)).withColumn("_n", F.count(F.lit(1)).over(whole))
     known = known.withColumn("votes", F.col("votes").cast("double"))
     open_seats = _candidates(known, F.col("seats"), F.col("_sum").cast("double"), F.col("_n"))
-    ranked = open_seats.withColumn("_place", F.row_number().over(whole.orderBy(F.col("quotient").desc(), order, "k")))
-    ranked = ranked.withColumn("_left", F.col("seats") - F.sum(F.when(F.col("k") == F.col("low") + 1, F.col("low")).otherwise(0)).over(whole))
-    return ranked.groupBy(*group, order).agg((F.first("low") + F.count_if(F.col("_place") <= F.col("_left"))).cast("long").alias("quota"))
+    ranked = open_seats.withColumn("_place", F.row_number().over(whole.orderBy(F.col("_quotient").desc(), order, "_k")))
+    ranked = ranked.withColumn("_left", F.col("seats") - F.sum(F.when(F.col("_k") == F.col("_low") + 1, F.col("_low")).otherwise(0)).over(whole))
+    return ranked.groupBy(*group, order).agg((F.first("_low") + F.count_if(F.col("_place") <= F.col("_left"))).cast("long").alias("quota"))
 
 
 def shard_quotas(placed: DataFrame, quotas: DataFrame) -> DataFrame:
@@ -155,7 +155,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = 100,
     n_shards = F.expr(f"(source_size + {SHARD_WORDS - 1}) div {SHARD_WORDS}")
     full = placed.where("size > 0").withColumn("order", F.md5(name)).withColumn("shard", F.conv(F.substring("order", 1, 8), 16, 10).cast("long") % n_shards)
 
-    shards = shard_quotas(full, quotas).withColumn("blocks", F.expr(f"(words + {block - 1}) div {block}"))
+    shards = shard_quotas(full, quotas).withColumn("blocks", F.expr(f"greatest(1L, (2 * words + {block}) div {2 * block})"))
     shards = shards.withColumn("quota", F.least(F.col("quota"), F.col("blocks") * most))
     start = _hash32(F.concat_ws(":", F.lit(seed), F.col("sid"), F.col("shard"))) % F.col("blocks")
     shards = shards.select(
@@ -164,8 +164,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = 100,
     before = Window.partitionBy("sid", "shard").orderBy("order", "doc_id", "size", "chunk").rowsBetween(Window.unboundedPreceding, -1)
     lined = full.withColumn("line", F.coalesce(F.sum(F.col("size") * F.col("copies")).over(before), F.lit(0))).join(shards, ["sid", "shard"])
     copies = lined.withColumn("copy", F.explode(F.expr("sequence(0L, copies - 1)"))).withColumn("at", F.col("line") + F.col("copy") * F.col("size"))
-    end = F.col("start") + F.col("run")
-    run = _overlap(F.col("start") * block, F.least(end * block, F.col("words"))) + _overlap(F.lit(0).cast("long"), F.greatest(end - F.col("blocks"), F.lit(0)) * block)
+    run = _overlap(F.expr("start * words div blocks"), F.expr("least(start + run, blocks) * words div blocks")) + _overlap(
+        F.lit(0).cast("long"), F.expr("greatest(start + run - blocks, 0L) * words div blocks")
+    )
     out = ["doc_id", "size", "source_size", "target"]
     taken = copies.select(*out, (F.col("passes") * F.col("size") + run).cast("long").alias("taken"))
     empty = placed.where("size = 0").withColumn("copy", F.explode(F.expr("sequence(0L, copies - 1)"))).select(*out, F.lit(0).cast("long").alias("taken"))
@@ -196,7 +197,7 @@ f AS (SELECT *, ('0x' || substr("order", 1, 8))::BIGINT % ((source_size + {SHARD
   SELECT z.*, t.source_size, t.sid, t.target, md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || size || ':' || chunk) AS "order"
   FROM z JOIN t ON z.source IS NOT DISTINCT FROM t.source WHERE size > 0)),
 h AS (SELECT *, sum(words) OVER (PARTITION BY sid) AS votes, count(*) OVER (PARTITION BY sid) AS m FROM
-  (SELECT sid, shard, sum(size * copies)::BIGINT AS words, (sum(size * copies)::BIGINT + {BLOCK_WORDS - 1}) // {BLOCK_WORDS} AS blocks FROM f GROUP BY sid, shard) JOIN q USING (sid)),
+  (SELECT sid, shard, sum(size * copies)::BIGINT AS words, greatest(1, (2 * sum(size * copies)::BIGINT + {BLOCK_WORDS}) // {2 * BLOCK_WORDS}) AS blocks FROM f GROUP BY sid, shard) JOIN q USING (sid)),
 hk AS (SELECT *, unnest(range(low + 1, high + 1)) AS k FROM (SELECT *,
   greatest(floor(words::DOUBLE * greatest(seats - m, 0) / votes::DOUBLE + 0.5)::BIGINT - 1, 0) AS low, floor(words::DOUBLE * (seats + m) / votes::DOUBLE + 0.5)::BIGINT + 1 AS high FROM h)),
 hr AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY words / (2 * k - 1) DESC, shard, k) AS place,
@@ -206,8 +207,8 @@ hs AS (SELECT *, quota // blocks AS passes, quota % blocks AS run, ('0x' || subs
 l AS (SELECT *, coalesce(sum(size * copies) OVER (PARTITION BY sid, shard ORDER BY "order", doc_id NULLS FIRST, size, chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM f),
 a AS (SELECT l.*, hs.words, hs.blocks, passes, run, start, line + unnest(range(copies)) * size AS spot FROM l JOIN hs USING (sid, shard))
 SELECT doc_id, size, source_size, target, (passes * size
-  + greatest(0, least(spot + size, (start + run) * {BLOCK_WORDS}, words) - greatest(spot, start * {BLOCK_WORDS}))
-  + greatest(0, least(spot + size, greatest(start + run - blocks, 0) * {BLOCK_WORDS}) - spot))::BIGINT AS taken FROM a
+  + greatest(0, least(spot + size, least(start + run, blocks) * words // blocks) - greatest(spot, start * words // blocks))
+  + greatest(0, least(spot + size, greatest(start + run - blocks, 0) * words // blocks) - spot))::BIGINT AS taken FROM a
 UNION ALL
 SELECT doc_id, size, source_size, target, 0 AS taken FROM (SELECT z.*, unnest(range(copies)) AS i, t.source_size, t.target FROM z JOIN t ON z.source IS NOT DISTINCT FROM t.source WHERE size = 0)
 """
