@@ -34,9 +34,9 @@ ORACLE_SQL = None
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose quality score reaches the threshold."""
-    features = written(quality.with_statistics(docs), "statistics")
-    model = quality.learn(features, read(spark, sf_dir, "labels"))
-    return docs.where(quality.score_text(model) >= quality.THRESHOLD)
+    labels = read(spark, sf_dir, "labels")
+    model = quality.learn(quality.sample_statistics(docs, labels), labels)
+    return quality.good_rows(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

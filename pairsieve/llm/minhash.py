@@ -23,8 +23,8 @@
 
 Defined cases: null and empty texts and texts without words have the empty set
 and are linked with nothing; fewer than five words are one shingle; rows with
-equal ids are rows of their own, each linked by its own text (of a group's least
-id, the rows of one set are kept); a null id has
+equal ids are rows of their own, each linked by its own text (``near_duplicates``
+marks all rows of a group's least id as kept, ``judged`` those of one set); a null id has
 component null, takes part in no link and is kept; an empty table gives an
 empty result; other columns are not looked at.
 """
@@ -298,5 +298,6 @@ def judged(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of ``docs``."""
-    return judged(docs).drop("text_key")
+    """doc_id, n_shingles, component_id, kept (doc_id is the component's; so all rows of that id) of every row of ``docs``."""
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return judged(docs).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))

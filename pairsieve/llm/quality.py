@@ -26,7 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
@@ -286,16 +286,24 @@ def scored(features: DataFrame, model: Additive) -> DataFrame:
     return features.select("doc_id", *FEATURES).mapInArrow(run, "doc_id long, score double")
 
 
-def score_text(model: Additive) -> Column:
-    """Score of the column ``text``, for filters that keep whole rows."""
+def sample_statistics(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``with_statistics`` of those rows only that ``learn`` may take: ids up to the hash at which its sample is full."""
+    target = labels.select(labels["doc_id"].cast("long").alias("doc_id")).where(labels["quality"].cast("int").isin(0, 1) & (bucket_of_id(labels["doc_id"].cast("long"), modulus) != held))
+    known = docs.select(docs["doc_id"].cast("long").alias("doc_id")).join(target, "doc_id").select(F.xxhash64("doc_id").alias("h"))
+    last = known.orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
+    return with_statistics(docs.where(F.xxhash64(docs["doc_id"].cast("long")) <= F.lit(last)) if last is not None else docs.where("false"))
 
-    @F.pandas_udf("double")
-    def of(text):
-        import pandas as pd
 
-        return pd.Series(model.score(statistics([b"" if t is None else bytes(t) for t in text])))
+def good_rows(docs: DataFrame, model: Additive, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose score reaches ``threshold``, with all their columns."""
 
-    return of(F.col("text").cast("string").cast("binary"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in rows_at_a_time(batches):
+            texts = rows.column("text").cast(pa.string()).cast(pa.binary()).to_pylist()
+            keep = model.score(statistics([t or b"" for t in texts])) >= threshold
+            yield from rows.filter(pa.array(keep)).to_batches()
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def score_held_out(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0) -> DataFrame:

@@ -7,13 +7,22 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark.sql import SparkSession
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme under which Spark itself reads and writes it; asked on the driver, for the tasks."""
+    plain = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return plain.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(plain).toString()
 
 
 def place(path: str) -> tuple[fs.FileSystem, str]:
-    """File system and path of a folder named as a URI or as a plain path."""
+    """File system and path of a qualified folder; an unknown scheme fails."""
     if path.startswith("file:"):
-        path = "/" + path[len("file:") :].lstrip("/")
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        return fs.LocalFileSystem(), "/" + path[len("file:") :].lstrip("/")
+    if "://" not in path:
+        raise ValueError(f"{path} has no scheme; a task can't tell on which file system it lies")
+    return fs.FileSystem.from_uri(path)
 
 
 class NewFile:

@@ -1,6 +1,6 @@
 """Token ids as flat unsigned integer files with 64-bit document offsets.
 
-Documents are dealt out by ranges of ``doc_id`` and sorted; each task encodes
+Documents are dealt out by ranges of ``doc_id`` (and of text hashes where ids are equal) and sorted; each task encodes
 its range and streams the ids into one file (16-bit ids where the vocabulary
 fits, else 32-bit), beside an index file with document ids and offsets. The
 manifest, a table with one row per file that Spark commits, says which files
@@ -8,7 +8,7 @@ count: what a lost or repeated attempt wrote has other names and is ignored.
 Where a file starts in the whole stream is the prefix sum over the manifest.
 
 Defined cases: a null text is empty and still gets the end id; null ids come
-first; rows with equal ids stand in the order of their texts, each with its
+first; rows with equal ids stand in the order of a hash of their texts, each with its
 own entry; an empty table has no files and reads back as an empty table; very
 long texts are encoded whole; other columns are not looked at.
 """
@@ -25,10 +25,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import rows_at_a_time, texts_of
-from .shared_files import NewFile, mapped
+from .shared_files import NewFile, mapped, qualified
 from .tokens import encoder
 
 END_ID = 2
+COPY_RANGES = 1 << 12  # parts into which equal rows may be cut
 NO_ID = np.iinfo(np.int64).min  # stands for a null doc_id in an index file
 
 MANIFEST = "part int, tokens_file string, index_file string, n_docs long, n_tokens long, id_bytes int"
@@ -37,6 +38,7 @@ FOUND = "doc_id long, start long, n_tokens long, ids_crc32 long, part int"
 
 def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID) -> DataFrame:
     """Write the ids of all documents under ``folder``; returns the manifest, read back from there."""
+    folder = qualified(docs.sparkSession, folder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, out, index, at, n_docs = encoder(vocabulary), None, None, 0, 0
@@ -56,8 +58,10 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
             kinds = [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], ["part", "tokens_file", "index_file", "n_docs", "n_tokens", "id_bytes"])
 
-    ordered = texts_of(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(write, MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
+    # equal ids, and equal rows as well, may be dealt to several ranges
+    keyed = texts_of(docs).withColumn("_text_key", F.xxhash64("text")).withColumn("_copy", F.monotonically_increasing_id() % COPY_RANGES)
+    ordered = keyed.repartitionByRange("doc_id", "_text_key", "_copy").sortWithinPartitions("doc_id", "_text_key", "_copy")
+    ordered.select("doc_id", "text").mapInArrow(write, MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
@@ -69,6 +73,7 @@ def with_bases(manifest: DataFrame) -> DataFrame:
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """One row per document from the files: its place in the stream, its number of ids, and their crc32."""
+    folder = qualified(spark, folder)
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
