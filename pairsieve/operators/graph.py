@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 from . import skew
+from .ordered import equi_depth, positions, running
 
 c = F.col
 SALTS = 4  # per-node tables are about as large as the edges, so they are repeated less often
@@ -67,22 +68,41 @@ HEAVY = 128
 WIDE = 8
 
 
-def _class_reach(counted: DataFrame) -> DataFrame:
-    """Members of all classes that share a check with each class, from (cls, n): (cls, big_count)."""
-    narrow = counted.where(F.size("cls") <= WIDE)
-    wide = counted.where(F.size("cls") > WIDE)
+def _narrow_reach(counted: DataFrame) -> DataFrame:
+    """Members of the narrow classes that share a check with each narrow class, by inclusion and exclusion over its checks."""
     masks = F.explode(F.expr("sequence(1, cast(pow(2, size(cls)) as int) - 1)"))
-    subsets = narrow.withColumn("m", masks).select(
+    subsets = counted.where(F.size("cls") <= WIDE).withColumn("m", masks).select(
         "cls", "n", F.expr("filter(cls, (x, i) -> (shiftright(m, i) & 1) = 1)").alias("part"), F.expr("if(bit_count(m) % 2 = 1, 1, -1)").alias("sign")
     )
     held = subsets.groupBy("part").agg(F.sum("n").alias("held"))
-    among_narrow = attach(subsets, held, ["part"], ["cls"]).groupBy("cls").agg(F.sum(c("sign") * c("held")).alias("k"))
-    by_check = lambda df: df.select("cls", "n", F.explode("cls").alias("check_id"))
-    one, other = by_check(wide), by_check(counted).select(c("cls").alias("cls2"), c("n").alias("n2"), "check_id")
-    met = one.join(other, "check_id").select("cls", "n", "cls2", "n2").distinct()
-    of_wide = met.groupBy("cls").agg(F.sum("n2").alias("k"))
-    towards_wide = met.where(F.size("cls2") <= WIDE).groupBy(c("cls2").alias("cls")).agg(F.sum("n").alias("k"))
-    return among_narrow.unionByName(of_wide).unionByName(towards_wide).groupBy("cls").agg(F.sum("k").alias("big_count"))
+    return attach(subsets, held, ["part"], ["cls"]).groupBy("cls").agg(F.sum(c("sign") * c("held")).alias("k"))
+
+
+def _wide_reach(classes: DataFrame, counted: DataFrame) -> DataFrame:
+    """What wide classes add: all members they reach, and for narrow classes the wide classes' members they reach.
+
+    The members of each large check are bitmaps over numbered variables (32,768
+    to a row), and a class reaches the union of its checks' bitmaps. There is
+    one row for a class, a check of it and a piece of the numbers, whatever the
+    number of classes at a check.
+    """
+    numbered = written(positions(classes.withColumn("wide", F.size("cls") > WIDE), ["wide"], "var_id", out="number"), "numbered")
+    member = numbered.select("wide", "number", F.explode("cls").alias("check_id"))
+    maps = member.groupBy("check_id", "wide", F.bitmap_bucket_number("number").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"))
+    maps = written(maps, "bitmaps")
+    at = counted.select("cls", (F.size("cls") > WIDE).alias("is_wide"), F.explode("cls").alias("check_id"))
+    met = at.join(maps, "check_id").where(c("wide") | c("is_wide"))
+    pieces = met.groupBy("cls", "wide", "piece").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("k"))
+    return pieces.groupBy("cls").agg(F.sum("k").alias("k"))
+
+
+def _class_reach(classes: DataFrame) -> DataFrame:
+    """Members of all classes that share a check with each class, from (var_id, cls): (cls, big_count)."""
+    counted = written(classes.groupBy("cls").agg(F.count(F.lit(1)).alias("n")), "classes")
+    among_narrow = _narrow_reach(counted)
+    if counted.where(F.size("cls") > WIDE).isEmpty():
+        return among_narrow.withColumnRenamed("k", "big_count")
+    return among_narrow.unionByName(_wide_reach(classes, counted)).groupBy("cls").agg(F.sum("k").alias("big_count"))
 
 
 def two_hop_sizes(edges: DataFrame, heavy: int = HEAVY) -> DataFrame:
@@ -93,21 +113,21 @@ def two_hop_sizes(edges: DataFrame, heavy: int = HEAVY) -> DataFrame:
     paired. Variables that lie in the same set of large checks form one
     class; how many variables a class reaches is counted by inclusion and
     exclusion over the subsets of its checks, so classes that share a check
-    don't meet. Only classes of more than ``WIDE`` large checks are met
-    with others. Light pairs already reached through a large check are left
+    don't meet. Classes of more than ``WIDE`` large checks reach the union of
+    their checks' bitmaps. Light pairs already reached through a large check are left
     out, so the two counts add up exactly.
     """
-    sized = attach(edges, degrees(edges, "check_id"), ["check_id"], ["var_id"])
+    sized = written(attach(edges, degrees(edges, "check_id"), ["check_id"], ["var_id"]), "sized-edges")
     light = sized.where(c("degree") <= heavy).select("check_id", "var_id")
     big = sized.where(c("degree") > heavy)
     classes = big.groupBy("var_id").agg(F.array_sort(F.collect_set("check_id")).alias("cls"))
-    counted = classes.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
-    through_big = _class_reach(counted)
+    classes = written(classes, "var-classes")
+    through_big = _class_reach(classes)
     pairs = light.join(light.select("check_id", c("var_id").alias("other")), "check_id").select("var_id", "other").distinct()
     tagged = pairs.join(classes, "var_id", "left").join(classes.select(c("var_id").alias("other"), c("cls").alias("cls2")), "other", "left")
     fresh = tagged.where(~F.coalesce(F.arrays_overlap("cls", "cls2"), F.lit(False)))
     light_count = fresh.groupBy("var_id").agg(F.count(F.lit(1)).alias("light_count"))
-    every = degrees(edges, "var_id").select("var_id")
+    every = sized.select("var_id").distinct()
     joined = every.join(light_count, "var_id", "left").join(classes.join(through_big, "cls").select("var_id", "big_count"), "var_id", "left")
     zero = F.lit(0)
     return joined.select("var_id", (F.coalesce("light_count", zero) + F.coalesce("big_count", zero)).alias("n2_size"))
@@ -149,29 +169,48 @@ def dead_checks(edges: DataFrame, punctured: DataFrame) -> DataFrame:
     return rows.groupBy("var_id").agg(F.count_if(last).alias("n_dead"))
 
 
+def first_by(df: DataFrame, rank: str, tie: str, target: int) -> DataFrame:
+    """The ``target`` rows of least (rank, tie), without a sort in one task: whole ranks from a histogram, places within the rank at the edge."""
+    hist = written(df.groupBy(rank).agg(F.count(F.lit(1)).alias("_k")), "ranks")
+    before = running(equi_depth(hist, rank)(hist), [], rank, {"_before": ("sum", c("_k"))}, bucket=c("_b"), inclusive=False)
+    edge = before.where(c("_before") < target).select(c(rank).alias("_rank"), "_before", "_k")
+    near = df.join(edge, c(rank) == c("_rank")).drop("_rank")
+    whole = near.where(c("_before") + c("_k") <= target)
+    cut = positions(near.where(c("_before") + c("_k") > target), [rank], tie, out="_place").where(c("_before") + c("_place") <= target)
+    return whole.select(*df.columns).unionByName(cut.select(*df.columns))
+
+
 def untainted_selection(edges: DataFrame, priority: DataFrame, rank: str, target: int) -> DataFrame:
     """Greedy choice by (rank, var_id), each pick removing its two-hop set, up to ``target`` picks.
 
     The order is fixed beforehand, so all variables that come first in each
     of their checks can be picked in the same round: the result is the same
     as picking one at a time. A round is linear in the edges; no pairs are
-    formed. The remaining edges are written out each round.
+    formed. The remaining edges are written out each round. It ends as soon as
+    ``target`` picks come before all variables that are left.
     """
     place = F.struct(c(rank).alias("rank"), c("var_id").alias("id"))
     left = cut_lineage(attach(edges, priority.select("var_id", rank), ["var_id"], ["check_id"]).withColumn("place", place).drop(rank))
     picks = None
-    while not left.isEmpty():
+    while True:
+        least = left.agg(F.min("place").alias("least")).first()["least"]
+        if least is None:
+            break
+        if picks is not None:
+            ahead = (c("rank") < F.lit(least["rank"])) | ((c("rank") == F.lit(least["rank"])) & (c("var_id") < F.lit(least["id"])))
+            if picks.where(ahead).count() >= target:
+                break
         first = left.groupBy("check_id").agg(F.min("place").alias("first"))
         judged = attach(left, first, ["check_id"], ["var_id"]).groupBy("var_id").agg(
             F.min(c("place") == c("first")).alias("is_first"), F.first("place").alias("place")
         )
-        chosen = cut_lineage(judged.where("is_first").select("var_id", "place"))
+        chosen = cut_lineage(judged.where("is_first").select("var_id", c("place.rank").alias("rank")))
         picks = chosen if picks is None else picks.unionByName(chosen)
         gone = reach_two_hops(left.select("check_id", "var_id"), chosen).withColumn("gone", F.lit(True))
         left = cut_lineage(attach(left, gone, ["var_id"], ["check_id"], "left").where("gone IS NULL").drop("gone"))
     if picks is None:
         return priority.where("false").select("var_id", c(rank).alias("rank"))
-    return picks.orderBy("place").limit(target).select("var_id", c("place.rank").alias("rank"))
+    return first_by(picks, "rank", "var_id", target)
 
 
 def reachable_checks(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:

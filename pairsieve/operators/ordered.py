@@ -10,13 +10,16 @@ compute is read by both branches; write it first where that matters.
 
 For an integer order column that is unique within the key, a bucket holds
 at most ``width`` rows. For md5 text the bucket is a digit prefix, as long
-as the size of the table asks for.
+as the size of the table asks for. Numbers of any spread are cut at quantiles
+(``equi_depth``).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +43,33 @@ def prefix_of(order: str, digits: int = LEAST_DIGITS) -> Column:
     return F.substring(F.col(order), 1, digits)
 
 
+SPLITTER_SLACK = 8  # places a splitter may be off, in parts of a bucket
+
+
+def equi_depth(df: DataFrame, value: str, width: int = WIDTH) -> Callable[[DataFrame], DataFrame]:
+    """Cuts a numeric order into buckets of about ``width`` rows, whatever the spread of its values.
+
+    Splitters come from a mergeable quantile summary of ``value`` (one
+    aggregate; its size is bounded by the number of buckets). Returns a
+    function that adds ``_b``, the bucket, to a table; rows of equal values
+    share one, nulls have one of their own.
+    """
+    rows = df.agg(F.count(value)).first()[0]
+    buckets = -(-rows // width)
+    if buckets <= 1:
+        return lambda t: t.withColumn("_b", F.when(F.col(value).isNull(), F.lit(-1)).otherwise(F.lit(0)))
+    shares = F.array(*[F.lit(k / buckets) for k in range(1, buckets)]) if buckets <= 64 else F.expr(f"transform(sequence(1, {buckets - 1}), k -> cast(k / {buckets}D AS DOUBLE))")
+    cuts = df.agg(F.percentile_approx(F.col(value).cast("double"), shares, min(SPLITTER_SLACK * buckets, (1 << 31) - 1)).alias("cuts")).first()["cuts"]
+    splits = [-math.inf, *sorted({x for x in cuts if math.isfinite(x)}), math.inf]
+    model = Bucketizer(splits=splits, inputCol="_as_double", outputCol="_bucket", handleInvalid="keep")  # binary search in the JVM
+
+    def cut(t: DataFrame) -> DataFrame:
+        placed = model.transform(t.withColumn("_as_double", F.col(value).cast("double")))
+        return placed.withColumn("_b", F.when(F.col(value).isNull(), F.lit(-1)).otherwise(F.col("_bucket").cast("int"))).drop("_as_double", "_bucket")
+
+    return cut
+
+
 def running(
     df: DataFrame,
     keys: list[str],
@@ -99,6 +129,25 @@ def positions(
     return joined.select(*df.columns, (F.col("_c") + F.col("_r") + (start - 1)).cast("bigint").alias(out))
 
 
+def positions_in(df: DataFrame, keys: list[str], order: str, subsets: dict[str, Column], start: int = 0, bucket: Column | None = None) -> DataFrame:
+    """Dense positions along ``order`` in several subsets of each key at once, NULL outside a subset.
+
+    ``subsets`` maps an output name to a flag. One summary counts all flags per
+    bucket, and one window counts them within it; so nested subsets cost one
+    scan for the summary and one for the rows, however many they are.
+    """
+    base = df.withColumn("_b", bucket if bucket is not None else bucket_of(order))
+    base = base.select("*", *[F.coalesce(flag, F.lit(False)).cast("int").alias(f"_f_{name}") for name, flag in subsets.items()])
+    counts = base.groupBy(*keys, "_b").agg(*[F.sum(f"_f_{name}").alias(f"_n_{name}") for name in subsets])
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = counts.select(*keys, "_b", *[F.coalesce(F.sum(f"_n_{name}").over(before), F.lit(0)).alias(f"_c_{name}") for name in subsets])
+    upto = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = base.select("*", *[F.sum(f"_f_{name}").over(upto).alias(f"_r_{name}") for name in subsets])
+    joined = placed.join(carried, [*keys, "_b"])
+    place = lambda name: F.when(F.col(f"_f_{name}") == 1, F.col(f"_c_{name}") + F.col(f"_r_{name}") + (start - 1)).cast("bigint")
+    return joined.select(*[F.col(n) for n in df.columns if n not in subsets], *[place(name).alias(name) for name in subsets])
+
+
 def previous(
     df: DataFrame, keys: list[str], order: str, values: dict[str, Column], bucket: Column | None = None
 ) -> DataFrame:

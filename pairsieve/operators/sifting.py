@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits, finite
 from ..functions.channel import QBER_HARD_LIMIT, QBER_WARN_LIMIT
-from .ordered import mark_smallest, positions
-from .skew import attach
+from ..session import written
+from .ordered import mark_smallest, positions, positions_in
 
 ROUND_KEY = ["session_id", "round_id"]
 
@@ -85,8 +85,9 @@ def error_estimate(roles: DataFrame, epsilon: float = finite.EPS_SEC) -> DataFra
 
 def partition_positions(sifted: DataFrame) -> DataFrame:
     """Position of each round in the matching list and inside its own partition."""
-    placed = positions(sifted, ["session_id"], "round_id", out="pos", start=0)
-    return positions(placed, ["session_id", "basis"], "round_id", out="partition_pos", start=0)
+    basis = F.col("basis")
+    placed = positions_in(sifted, ["session_id"], "round_id", {"pos": F.lit(True), "_p0": basis == 0, "_p1": basis == 1})
+    return placed.withColumn("partition_pos", F.coalesce("_p0", "_p1")).drop("_p0", "_p1")
 
 
 def blocks_of(rows: DataFrame, frame: int) -> DataFrame:
@@ -114,11 +115,12 @@ def packed_words(rows: DataFrame, keys: list[str], pos: str, *bit_columns: str)
     )
 
 
-def keep_verified(blocked: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of verified blocks only, renumbered without gaps."""
-    good = verdicts.where("verified").select("session_id", "block_id")
-    kept = attach(blocked.drop("pos"), good, ["session_id", "block_id"], ["round_id"], salts=4)
-    return positions(kept, ["session_id"], "round_id", out="pos", start=0)
+def keep_verified(blocked: DataFrame) -> DataFrame:
+    """Rows of blocks without errors, renumbered without gaps; a block is at most one frame, so its window is bounded."""
+    block = Window.partitionBy("session_id", "block_id")
+    wrong = F.sum((F.col("a_bit") != F.col("b_bit")).cast("int")).over(block)
+    judged = written(blocked.drop("pos").withColumn("_verified", wrong == 0), "judged-blocks")
+    return positions_in(judged, ["session_id"], "round_id", {"pos": F.col("_verified")}).where("pos IS NOT NULL").drop("_verified")
 
 
 def detection_report(pairs: DataFrame, expected: float, tolerance: float = 0.05, confidence: float = 0.999) -> DataFrame:

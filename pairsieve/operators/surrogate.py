@@ -5,6 +5,11 @@ Matern-5/2 kernel. Fitting is one pass: every partition sends its sums of
 outer products (a fixed D x D block per group), Spark adds them up, and
 only the D x D system is solved on the driver. Prediction is a batch map
 with the fixed-size weights. The rows never leave the executors.
+
+The kernel's length is the one of ``LENGTHS`` with the largest evidence over
+``KERNEL_SAMPLE`` rows (those of least hash); the noise of each model maximises
+the evidence of its own sums over all rows. Both need one eigen-decomposition
+for a set of sums.
 """
 
 from __future__ import annotations
@@ -17,11 +22,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from .sweep import FEATURES
 
 c = F.col
 INPUTS = FEATURES[:8]
 DIMENSION = 64
+LENGTHS = (0.5, 1.0, 2.0, 4.0, 8.0)
+NOISES = np.geomspace(1e-10, 10.0, 45)
+KERNEL_SAMPLE = 20_000
 
 
 @dataclass
@@ -32,7 +41,9 @@ class Landscape:
     std: np.ndarray
     omega: np.ndarray
     phase: np.ndarray
-    noise: float
+    length: float
+    noise: dict = field(default_factory=dict)
+    evidence: dict = field(default_factory=dict)
     weights: dict = field(default_factory=dict)
     cover: dict = field(default_factory=dict)
     offset: dict = field(default_factory=dict)
@@ -49,7 +60,7 @@ def standardisation(df: DataFrame, inputs=INPUTS) -> DataFrame:
     return df.agg(F.array(*aggs).alias("a")).select(F.inline("a"))
 
 
-def _draw(df: DataFrame, inputs, dimension: int, length: float, noise: float, seed: int) -> Landscape:
+def _draw(df: DataFrame, inputs, dimension: int, length: float, seed: int) -> Landscape:
     scale = {r["feature"]: (r["mean"], r["std"]) for r in standardisation(df, inputs).collect()}  # one row per feature
     mean = np.array([scale[n][0] for n in inputs])
     std = np.array([scale[n][1] or 1.0 for n in inputs])
@@ -57,7 +68,7 @@ def _draw(df: DataFrame, inputs, dimension: int, length: float, noise: float, se
     dof = 5.0  # spectral density of Matern 5/2: multivariate t with 5 degrees of freedom
     normal = rng.standard_normal((len(inputs), dimension)) / length
     omega = normal * np.sqrt(dof / rng.chisquare(dof, dimension))
-    return Landscape(mean, std, omega, rng.uniform(0, 2 * np.pi, dimension), noise, inputs=tuple(inputs))
+    return Landscape(mean, std, omega, rng.uniform(0, 2 * np.pi, dimension), length, inputs=tuple(inputs))
 
 
 def moments(df: DataFrame, model: Landscape, group: list[str], y: str) -> DataFrame:
@@ -82,38 +93,92 @@ def moments(df: DataFrame, model: Landscape, group: list[str], y: str) -> DataFr
     return rows.groupBy(*group, "i", "j").agg(F.sum("value").alias("value"))
 
 
-def _solve(model: Landscape, key, m: np.ndarray) -> None:
-    d = len(model.phase)
+def centred(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float, float]:
+    """Gram matrix, cross sums and square sum of the centred target, its mean, and the number of rows, from summed outer products."""
+    d = len(m) - 2
     n, sum_y = m[d + 1, d + 1], m[d, d + 1]
     mean_y = sum_y / n if n else 0.0
-    gram, cross, phi_sum = m[:d, :d], m[:d, d], m[:d, d + 1]
-    precision = gram / model.noise + np.eye(d)
-    cover = np.linalg.inv(precision)
-    model.cover[key] = cover
-    model.weights[key] = cover @ (cross - phi_sum * mean_y) / model.noise
+    return m[:d, :d], m[:d, d] - m[:d, d + 1] * mean_y, max(0.0, m[d, d] - sum_y * mean_y), mean_y, n
+
+
+class Evidence:
+    """Logarithm of the evidence of sums as a function of the noise, from one eigen-decomposition."""
+
+    def __init__(self, m: np.ndarray):
+        gram, cross, self.square, _, self.n = centred(m)
+        values, vectors = np.linalg.eigh(gram)
+        self.values, self.along = np.maximum(values, 0.0), (vectors.T @ cross) ** 2
+
+    def __call__(self, noise: float) -> float:
+        fit_ = (self.square - np.sum(self.along / (self.values + noise))) / noise
+        return float(-0.5 * (self.n * np.log(2 * np.pi * noise) + np.sum(np.log1p(self.values / noise)) + fit_))
+
+    def best(self) -> tuple[float, float]:
+        """(noise, evidence): the best of a grid, then narrowed down by thirds of its neighbourhood on a logarithmic scale."""
+        grid = [self(x) for x in NOISES]
+        k = int(np.argmax(grid))
+        lo, hi = np.log(NOISES[max(0, k - 1)]), np.log(NOISES[min(len(NOISES) - 1, k + 1)])
+        for _ in range(60):
+            a, b = lo + (hi - lo) / 3, hi - (hi - lo) / 3
+            if self(np.exp(a)) < self(np.exp(b)):
+                lo = a
+            else:
+                hi = b
+        noise = float(np.exp((lo + hi) / 2))
+        return (noise, self(noise)) if self(noise) >= grid[k] else (float(NOISES[k]), grid[k])
+
+
+def _solve(model: Landscape, key, m: np.ndarray, noise: float | None) -> None:
+    evidence = Evidence(m)
+    noise, value = evidence.best() if noise is None else (noise, evidence(noise))
+    gram, cross, _, mean_y, _ = centred(m)
+    model.noise[key], model.evidence[key] = noise, value
+    model.cover[key] = np.linalg.inv(gram / noise + np.eye(len(gram)))
+    model.weights[key] = model.cover[key] @ cross / noise
     model.offset[key] = mean_y
 
 
-def fit(df: DataFrame, y: str = "net_efficiency", group: str = "strategy", inputs=INPUTS, dimension: int = DIMENSION, length: float = 2.0, noise: float = 1e-2, seed: int = 7, folds: str | None = None) -> Landscape:
+def summed(df: DataFrame, model: Landscape, keys: list[str], y: str) -> dict[tuple, np.ndarray]:
+    """The sums of outer products of each group as a matrix."""
+    size = len(model.phase) + 2
+    sums: dict = {}
+    for r in moments(df, model, keys, y).toLocalIterator():  # fixed (D+2)^2 / 2 rows per group
+        m = sums.setdefault(tuple(r[k] for k in keys), np.zeros((size, size)))
+        m[r["i"], r["j"]] = m[r["j"], r["i"]] = r["value"]
+    return sums
+
+
+def chosen_length(df: DataFrame, y: str, group: str, inputs, dimension: int, seed: int, lengths=LENGTHS, sample_rows: int = KERNEL_SAMPLE) -> float:
+    """The kernel length of largest evidence, added up over the groups, on a sample of bounded size."""
+    mark = F.xxhash64(*inputs, y, group)
+    sample = written(df.select(group, *inputs, y).orderBy(mark, *inputs, y, group).limit(sample_rows), "kernel-sample")
+    total = {}
+    for length in lengths:
+        sums = summed(sample, _draw(sample, inputs, dimension, length, seed), [group], y)
+        total[length] = sum(Evidence(m).best()[1] for m in sums.values())
+    return max(total, key=lambda x: (total[x], -abs(np.log(x / 2.0))))
+
+
+def fit(
+    df: DataFrame, y: str = "net_efficiency", group: str = "strategy", inputs=INPUTS, dimension: int = DIMENSION, length: float | None = None,
+    noise: float | None = None, seed: int = 7, folds: str | None = None,
+) -> Landscape:
     """One model per group, or with ``folds`` one per (group, fold) trained on the other folds.
 
+    ``length`` and ``noise`` are chosen by evidence where they aren't given.
     Cross-validation costs no extra pass: the sums of a training set are the
     total less the sums of its held-out fold.
     """
-    model = _draw(df, inputs, dimension, length, noise, seed)
-    keys = [group] + ([folds] if folds else [])
-    size = dimension + 2
-    sums: dict = {}
-    for r in moments(df, model, keys, y).toLocalIterator():  # fixed (D+2)^2 / 2 rows per group
-        key = tuple(r[k] for k in keys)
-        m = sums.setdefault(key, np.zeros((size, size)))
-        m[r["i"], r["j"]] = m[r["j"], r["i"]] = r["value"]
+    if length is None:
+        length = chosen_length(df, y, group, inputs, dimension, seed)
+    model = _draw(df, inputs, dimension, length, seed)
+    sums = summed(df, model, [group] + ([folds] if folds else []), y)
     for key, m in sums.items():
         if folds:
             total = sum(v for k, v in sums.items() if k[0] == key[0])
-            _solve(model, key, total - m)
+            _solve(model, key, total - m, noise)
         else:
-            _solve(model, key[0], m)
+            _solve(model, key[0], m, noise)
     return model
 
 
@@ -133,7 +198,7 @@ def predict(df: DataFrame, model: Landscape, keys, out: tuple[str, str]) -> Data
             return np.full(len(x), float(np.mean(known)) if known else 0.0), np.ones(len(x))
         phi = model.features(x)
         mu = phi @ model.weights[key] + model.offset[key]
-        var = model.noise + np.einsum("ij,jk,ik->i", phi, model.cover[key], phi)
+        var = model.noise[key] + np.einsum("ij,jk,ik->i", phi, model.cover[key], phi)
         return mu, np.sqrt(var)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

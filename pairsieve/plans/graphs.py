@@ -13,7 +13,7 @@ from ..sources import views
 from . import oracle as o
 from .common import tidy
 from .registry import query, view
-from .sessions import key_blocks, large_key_blocks
+from .sessions import FRAME_KEYS, frames_of
 
 c = F.col
 
@@ -103,11 +103,29 @@ def i5(spark, sf):
     return graph.dead_checks(views.edges(spark, sf), views.variables(spark, sf))
 
 
-@query("i6_untainted_selection")
+view("v_order_size", """
+SELECT a.var_id, count(DISTINCT b.var_id) AS rank FROM (SELECT var_id AS check_id, check_id AS var_id FROM v_edges) a
+ JOIN (SELECT var_id AS check_id, check_id AS var_id FROM v_edges) b USING (check_id) GROUP BY 1""")
+
+
+# a tenth of the orders at most; the SQL goes on in rounds of what is left, with all that comes first in each of its checks
+@query("i6_untainted_selection", """
+WITH RECURSIVE r(turn, check_id, var_id, rank, picked) AS (
+ SELECT 0, e.var_id, e.check_id, s.rank, false FROM v_edges e JOIN v_order_size s ON s.var_id = e.check_id
+ UNION ALL
+ SELECT * FROM (
+  WITH l AS (SELECT * FROM r WHERE NOT picked),
+  f AS (SELECT check_id, min({'a': rank, 'b': var_id}) AS first FROM l GROUP BY check_id),
+  p AS (SELECT l.var_id, any_value(l.rank) AS rank, any_value(l.turn) AS turn FROM l JOIN f USING (check_id) GROUP BY l.var_id HAVING bool_and({'a': l.rank, 'b': l.var_id} = f.first)),
+  g AS (SELECT DISTINCT y.var_id FROM l x JOIN p ON p.var_id = x.var_id JOIN l y ON y.check_id = x.check_id)
+  SELECT l.turn + 1, l.check_id, l.var_id, l.rank, false FROM l ANTI JOIN g ON g.var_id = l.var_id
+  UNION ALL SELECT p.turn + 1, NULL, p.var_id, p.rank, true FROM p))
+SELECT var_id, rank FROM r WHERE picked ORDER BY rank, var_id LIMIT (SELECT count(DISTINCT check_id) // 10 FROM v_edges)""")
 def i6(spark, sf):
     # orders play the variables here: they have few edges, so many of them do not touch
     e = views.edges(spark, sf).select(c("var_id").alias("check_id"), c("check_id").alias("var_id"))
-    return graph.untainted_selection(e, graph.two_hop_sizes(e), "n2_size", 1_000_000)
+    sizes = written(graph.two_hop_sizes(e), "two-hop")
+    return graph.untainted_selection(e, sizes, "n2_size", sizes.count() // 10)
 
 
 @query("i7_reachable_checks", """
@@ -161,26 +179,12 @@ def i10(spark, sf):
     return graph.nested_patterns(ordered.select("var_id", "place"), n, RATES).select("var_id", "place", "first_rate")
 
 
-view("v_frames", """
-SELECT session_id, pos // 4096 AS block_id, pos % 4096 AS offs, a_bit, b_bit FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY round_id) - 1 AS pos FROM (
- SELECT session_id, round_id, a_bit, b_bit FROM v_key UNION ALL SELECT CAST(-1 AS BIGINT), round_id, a_bit, b_bit FROM v_large_key))""")
-
-
 def _code_sql(check_degree: int) -> str:
     return f"""SELECT v AS offs, layer * {-(-rates.FRAME // check_degree)} + (row_number() OVER (PARTITION BY layer ORDER BY md5('code:' || layer || ':' || v)) - 1) // {check_degree} AS check_id
  FROM (SELECT unnest(range({rates.FRAME})) AS v), (SELECT unnest(range(3)) AS layer)"""
 
 
 view("v_code", _code_sql(6))
-FRAME_KEYS = ["session_id", "block_id"]
-
-
-def frames_of(spark, sf) -> DataFrame:
-    """Key bits of all sessions in frames of 4,096, the large session under id -1; a session's last frame is shorter."""
-    cols = ("session_id", "block_id", "offset", "a_bit", "b_bit")
-    large = large_key_blocks(spark, sf).withColumn("session_id", F.lit(-1).cast("bigint"))
-    both = key_blocks(spark, sf, rates.FRAME).select(*cols).unionByName(large.select(*cols))
-    return written(both.withColumnRenamed("offset", "var_id"), "frames")
 
 
 def decoded_frames(spark, sf, check_degree: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -188,7 +192,7 @@ def decoded_frames(spark, sf, check_degree: int) -> tuple[DataFrame, DataFrame,
 
     A frame's missing end is known to be 0 on both sides.
     """
-    frames = frames_of(spark, sf)
+    frames = frames_of(spark, sf).withColumnRenamed("offset", "var_id")
     edges = written(decode.regular_code(spark, rates.FRAME, 3, check_degree), "code")
     target = decode.frame_syndromes(edges, frames.select(*FRAME_KEYS, "var_id", c("a_bit").alias("bit")), FRAME_KEYS)
     llr = frames.select(*FRAME_KEYS, "var_id", bits.channel_llr(c("b_bit"), F.lit(views.NOISE_OF_256 / 256), F.lit(False)).alias("llr"))

@@ -15,7 +15,7 @@ from ..sources import views
 from . import oracle as o
 from .common import k, tidy
 from .registry import query, view
-from .sessions import FRACTION_LARGE, FRACTION_SMALL, key_blocks
+from .sessions import FRACTION_LARGE, FRACTION_SMALL, frames_of, key_blocks, roles_of
 
 c = F.col
 
@@ -55,11 +55,11 @@ def h41(spark, sf):
     return _words(spark, sf).select("session_id", "word", "n_bits", _hex16(c("a_bit")).alias("packed"))
 
 
-view("v_text", "SELECT session_id, block_id, string_agg(a_bit::VARCHAR, '' ORDER BY offs) AS a_text, string_agg(b_bit::VARCHAR, '' ORDER BY offs) AS b_text FROM v_blocked GROUP BY 1, 2")
+view("v_text", "SELECT session_id, block_id, string_agg(a_bit::VARCHAR, '' ORDER BY offs) AS a_text, string_agg(b_bit::VARCHAR, '' ORDER BY offs) AS b_text FROM v_frames GROUP BY 1, 2")
 
 
 def _texts(spark, sf) -> DataFrame:
-    b = key_blocks(spark, sf)
+    b = frames_of(spark, sf)
     ordered = F.array_sort(F.collect_list(F.struct("offset", c("a_bit").cast("string").alias("a"), c("b_bit").cast("string").alias("b"))))
     # at most one frame of rows per group
     got = b.groupBy("session_id", "block_id").agg(ordered.alias("l"))
@@ -68,14 +68,14 @@ def _texts(spark, sf) -> DataFrame:
 
 
 _LE = "lower(concat(substr({h}, 15, 2), substr({h}, 13, 2), substr({h}, 11, 2), substr({h}, 9, 2), substr({h}, 7, 2), substr({h}, 5, 2), substr({h}, 3, 2), substr({h}, 1, 2)))"
-_SEED = _LE.format(h="printf('%016x', session_id * 1000 + block_id)")
+_SEED = _LE.format(h="printf('%016x', (session_id + 1) * 1000 + block_id)")
 _BLOCK_HASH = "substr(sha256(unhex(regexp_replace({t}, '([01])', '0\\1', 'g') || {s})), 1, 16)"
 
 
 @query("h43_block_hash", f"SELECT session_id, block_id, {_BLOCK_HASH.format(t='a_text', s=_SEED)} AS tag FROM v_text")
 def h43(spark, sf):
     t = _texts(spark, sf)
-    seed = c("session_id") * 1000 + c("block_id")
+    seed = (c("session_id") + 1) * 1000 + c("block_id")
     return t.select("session_id", "block_id", bits.block_hash_hex(bits.bit_hex(c("a_text")), seed).alias("tag"))
 
 
@@ -83,7 +83,7 @@ def h43(spark, sf):
 SELECT session_id, block_id, {_BLOCK_HASH.format(t='a_text', s=_SEED)} = {_BLOCK_HASH.format(t='b_text', s=_SEED)} AS verified FROM v_text""")
 def i13(spark, sf):
     t = _texts(spark, sf)
-    seed = c("session_id") * 1000 + c("block_id")
+    seed = (c("session_id") + 1) * 1000 + c("block_id")
     tag = lambda x: bits.block_hash_hex(bits.bit_hex(c(x)), seed)
     return t.select("session_id", "block_id", (tag("a_text") == tag("b_text")).alias("verified"))
 
@@ -165,10 +165,9 @@ SELECT session_id, round_id, round(CASE WHEN pun THEN 0.0 ELSE (1 - 2 * b_bit) *
 FROM (SELECT b.*, q, least(0.5::DOUBLE - 1e-6::DOUBLE, greatest(1e-6::DOUBLE, q)) AS qc, round_id % 8 = 0 AS pun, round_id % 8 = 1 AS sho
  FROM v_blocked b JOIN (SELECT session_id, avg((a_bit <> b_bit)::INT) AS q FROM v_tested GROUP BY 1) USING (session_id))""")
 def h47(spark, sf):
-    s = sifting.sift(views.pairs(spark, sf))
-    t = sifting.test_part(sifting.assign_roles(s, FRACTION_SMALL))
-    q = t.groupBy("session_id").agg(F.avg((c("a_bit") != c("b_bit")).cast("int")).alias("q"))
-    rows = attach(key_blocks(spark, sf), q, ["session_id"], ["round_id"])
+    roles = roles_of(sifting.sift(views.pairs(spark, sf)), FRACTION_SMALL)
+    q = sifting.test_part(roles).groupBy("session_id").agg(F.avg((c("a_bit") != c("b_bit")).cast("int")).alias("q"))
+    rows = attach(key_blocks(spark, sf, roles=roles), q, ["session_id"], ["round_id"])
     pun, sho = c("round_id") % 8 == 0, c("round_id") % 8 == 1
     return tidy(
         rows.select(
@@ -180,13 +179,12 @@ def h47(spark, sf):
 
 
 @query("h48_frame_place", """
-SELECT b.session_id, b.block_id, f.slot, b.round_id FROM (SELECT slot, row_number() OVER (ORDER BY slot) - 1 AS rk FROM range(0, 20) t(slot) WHERE slot % 5 <> 2) f JOIN v_blocked b ON b.offs = f.rk""")
+SELECT b.session_id, b.block_id, f.slot, b.round_id FROM (SELECT slot, row_number() OVER (ORDER BY slot) - 1 AS rk FROM range(0, 5120) t(slot) WHERE slot % 5 <> 2) f JOIN v_frames b ON b.offs = f.rk""")
 def h48(spark, sf):
-    # frame of 20 slots, every fifth punctured: payload offset -> slot by rank among the open slots
-    frame = F.filter(F.sequence(F.lit(0), F.lit(19)), lambda s: s % 5 != 2)
-    rows = key_blocks(spark, sf)
+    # frame of 5,120 slots, every fifth punctured: payload offset -> slot by rank among the open slots
+    frame = F.filter(F.sequence(F.lit(0), F.lit(rates.FRAME * 5 // 4 - 1)), lambda s: s % 5 != 2)
     slot = F.element_at(frame, (c("offset") + 1).cast("int")).cast("bigint")
-    return rows.select("session_id", "block_id", slot.alias("slot"), "round_id")
+    return frames_of(spark, sf).select("session_id", "block_id", slot.alias("slot"), "round_id")
 
 
 # --- extraction -----------------------------------------------------------

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import acquire, guardrail, surrogate, sweep
-from ..operators.ordered import WIDTH, positions, prefix_digits, prefix_of, running
-from ..session import written
+from ..operators import acquire, guardrail, quota, surrogate, sweep
+from ..operators.ordered import equi_depth, positions, prefix_digits, prefix_of, running
+from ..session import scratch_path, written
 from ..sources import store, views
 from . import oracle as o
 from .common import k, out, tidy
 from .registry import query, view
 
 c = F.col
+FIXED_LENGTH, FIXED_NOISE = 2.0, 1e-2
 
 # Given means and deviations: simple formulas of the sample columns, so that
 # what is built on them can be checked exactly.
@@ -59,6 +60,26 @@ def j2(spark, sf):
     return tidy(surrogate.fit_quality(got, ["strategy"], "net_efficiency", "mu"), 3)
 
 
+# what any fit by evidence must give: at least the evidence of the fixed kernel, a solution of its equations, no larger error on rows it hasn't seen
+@query("j2_kernel_choice", "SELECT strategy, true AS evidence_not_below_fixed, true AS solves_its_equations, true AS held_out_error_not_above_fixed FROM v_results WHERE outcome <> 'skipped_infeasible' GROUP BY 1")
+def j2_kernel(spark, sf):
+    df = written(training(spark, sf).withColumn("held_out", views.byte_of("hold", k.sample_key) < 51), "training")
+    seen, unseen = df.where("NOT held_out"), df.where("held_out")
+    model = surrogate.fit(seen)
+    fixed = surrogate.fit(seen, length=FIXED_LENGTH, noise=FIXED_NOISE)
+    sums = surrogate.summed(seen, model, ["strategy"], "net_efficiency")
+    error = lambda m, name: surrogate.fit_quality(surrogate.predict(unseen, m, ["strategy"], ("mu", "sd")), ["strategy"], "net_efficiency", "mu").select("strategy", c("rmse").alias(name))
+    facts = []
+    for (group,), m in sums.items():
+        gram, cross, *_ = surrogate.centred(m)
+        rest = gram @ model.weights[group] + model.noise[group] * model.weights[group] - cross
+        good = bool(abs(rest).max() <= 1e-6 * max(1.0, abs(cross).max()))
+        facts.append((group, bool(model.evidence[group] >= fixed.evidence[group] - 1e-6 * abs(fixed.evidence[group])), good))
+    table = spark.createDataFrame(facts, "strategy string, evidence_not_below_fixed boolean, solves_its_equations boolean")
+    both = error(model, "rmse").join(error(fixed, "fixed_rmse"), "strategy").join(table, "strategy")
+    return both.select("strategy", "evidence_not_below_fixed", "solves_its_equations", (c("rmse") <= c("fixed_rmse") * 1.001 + 1e-9).alias("held_out_error_not_above_fixed"))
+
+
 @query("j3_divergence", """
 SELECT sample_key, round(d, 9) AS divergence, round(s, 9) AS sd_combined, d - 2 * s > 0.1 AS is_cliff FROM (
  SELECT sample_key, abs(mu_baseline - mu_blind) AS d, sqrt(sd_baseline * sd_baseline + sd_blind * sd_blind) AS s FROM v_given)""")
@@ -193,6 +214,27 @@ def f8(spark, sf):
     return tidy(positions(ok, [], "sample_key", bucket=prefix_of("sample_key", prefix_digits(ok))).where("pos <= 5000").select("sample_key", "margin"))
 
 
+_CAND = ", ".join(f"{lo!r}::DOUBLE + {_unit(f'cand1-{n}', 'candidate_id')} * ({hi!r}::DOUBLE - {lo!r}::DOUBLE) AS {n}" for n, (lo, hi) in acquire.BOUNDS.items())
+_DECODED = "storage_noise_r AS r, channel_fidelity AS f, detector_error AS e, pow(10, log_detection_efficiency) AS eta, pow(10, log_dark_count_prob) AS d"
+
+
+# a quota of one feasible sample for each order, generated until it is full; the SQL generates far more than are needed
+@query("f8_generated_quota", f"""
+SELECT candidate_id, round(margin, 9) AS margin FROM (
+ SELECT candidate_id, (1 - r) / 2 - q AS margin, q FROM (SELECT *, CASE WHEN click > 1e-12 THEN least(0.5, greatest(0.0, err / (2 * click))) ELSE 0.5 END AS q FROM (
+  SELECT *, eta * (1 - d) + 2 * d * (1 - eta) AS click, e + (1 - e) * (1 - f) + d * (1 - eta) AS err FROM (SELECT candidate_id, {_DECODED} FROM (
+   SELECT candidate_id, {_CAND} FROM (SELECT unnest(range((SELECT 40 * count(*) FROM orders))) AS candidate_id))))))
+WHERE margin > 1e-6 AND q <= 0.22 QUALIFY row_number() OVER (ORDER BY candidate_id) <= (SELECT count(*) FROM orders)""")
+def f8_quota(spark, sf):
+    def keep(cand: DataFrame) -> DataFrame:
+        linear = sweep.decode(cand.select("candidate_id", *sweep.FEATURES))
+        return views.with_feasibility(linear).where("is_feasible").select("candidate_id", "margin")
+
+    wanted = views.read_table(spark, sf, "orders").count()
+    path = scratch_path(spark, "quota")
+    return tidy(quota.fill_quota(spark, lambda ids: acquire.random_candidates(ids, "candidate_id", seed=1), keep, wanted, path))
+
+
 @query("j9_fit_quality", f"""
 SELECT strategy, holdout, count(*) AS n, round(sqrt(avg((net_efficiency - mu) * (net_efficiency - mu))), 9) AS rmse,
   round(CASE WHEN var_pop(net_efficiency) > 0 THEN 1 - sum((net_efficiency - mu) * (net_efficiency - mu)) / (var_pop(net_efficiency) * count(*)) ELSE 0 END, 6) AS r2
@@ -220,10 +262,11 @@ def roc_points(scored: DataFrame, score: str, positive: str) -> DataFrame:
     """Cumulative shares over the distinct scores, highest first."""
     per = scored.groupBy(c(score).alias("score")).agg(F.count_if(c(positive)).alias("p"), F.count_if(~c(positive)).alias("n"))
     per = per.withColumn("down", -c("score"))
-    totals = per.agg(F.sum("p").alias("P"), F.sum("n").alias("N"), F.count(F.lit(1)).alias("k"), F.min("down").alias("lo"), F.max("down").alias("hi")).first()
-    span = float((totals["hi"] or 0) - (totals["lo"] or 0)) or 1.0
-    width = span / max(1, totals["k"] // WIDTH)
-    got = running(per, [], "down", {"tp": ("sum", c("p")), "fp": ("sum", c("n"))}, bucket=F.floor((c("down") - F.lit(totals["lo"] or 0)) / F.lit(width)))
+    per = written(per, "scores")
+    totals = per.agg(F.sum("p").alias("P"), F.sum("n").alias("N")).first()
+    # outliers don't matter to buckets cut at quantiles
+    cut = equi_depth(per, "down")(per)
+    got = running(cut, [], "down", {"tp": ("sum", c("p")), "fp": ("sum", c("n"))}, bucket=c("_b"))
     return got.select(
         "score", "down", "p", "n", (c("tp") / F.lit(totals["P"] or 1)).alias("tpr"), (c("fp") / F.lit(totals["N"] or 1)).alias("fpr"),
         (c("p") / F.lit(totals["P"] or 1)).alias("dt"), (c("n") / F.lit(totals["N"] or 1)).alias("df"),

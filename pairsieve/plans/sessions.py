@@ -10,7 +10,8 @@ from ..operators import contracts as rules
 from ..operators import ledger, sifting
 from ..operators.ordered import positions, prefix_digits, prefix_of, previous, running
 from ..operators.skew import attach
-from ..sources import views
+from ..session import written
+from ..sources import store, views
 from . import oracle as o
 from .common import k, tidy
 from .registry import query, view
@@ -58,6 +59,17 @@ def c1(spark, sf):
     )
 
 
+BUCKETS = 16  # of the stored tables; a deployment takes about one per 256 MB
+
+
+@query("c1_stored_alignment", "SELECT session_id, round_id, a_basis::BIGINT AS a_basis, a_bit::BIGINT AS a_bit, b_basis::BIGINT AS b_basis, b_bit::BIGINT AS b_bit FROM v_pairs WHERE detected")
+def c1_stored(spark, sf):
+    # both sides are stored in the same buckets; the join reads them bucket by bucket
+    a = store.write_bucketed(views.alice(spark, sf), "alice", sifting.ROUND_KEY, BUCKETS)
+    b = store.write_bucketed(views.bob(spark, sf).where("detected"), "bob", sifting.ROUND_KEY, BUCKETS)
+    return tidy(sifting.align(spark.table(a).hint("merge"), spark.table(b)))
+
+
 @query("c2_sift", "SELECT session_id, round_id, CAST(basis AS BIGINT) AS basis, CAST(a_bit AS BIGINT) AS a_bit, CAST(b_bit AS BIGINT) AS b_bit FROM v_sifted")
 def c2(spark, sf):
     return tidy(sifting.sift(sifting.align(views.alice(spark, sf), views.bob(spark, sf))))
@@ -183,14 +195,32 @@ view("v_block", "SELECT session_id, block_id, count(*) AS n_bits, count(*) FILTE
 view("v_large_blocked", "SELECT *, pos // 4096 AS block_id, pos % 4096 AS offs FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY round_id) - 1 AS pos FROM v_large_key)")
 
 
-def key_blocks(spark, sf, frame: int = FRAME) -> DataFrame:
-    s = sifted(spark, sf)
-    return sifting.blocks_of(sifting.key_part(sifting.assign_roles(s, FRACTION_SMALL)), frame)
+def roles_of(sifted_rows: DataFrame, fraction: float) -> DataFrame:
+    """Sifted rows with their roles, written: the rows are read once for the histogram and once for the ranks, and not again."""
+    return written(sifting.assign_roles(sifted_rows, fraction), "roles")
+
+
+def key_blocks(spark, sf, frame: int = FRAME, roles: DataFrame | None = None) -> DataFrame:
+    roles = roles if roles is not None else roles_of(sifted(spark, sf), FRACTION_SMALL)
+    return sifting.blocks_of(sifting.key_part(roles), frame)
 
 
 def large_key_blocks(spark, sf, frame: int = rates.FRAME) -> DataFrame:
-    s = large_sifted(spark, sf)
-    return sifting.blocks_of(sifting.key_part(sifting.assign_roles(s, FRACTION_LARGE)), frame)
+    return sifting.blocks_of(sifting.key_part(roles_of(large_sifted(spark, sf), FRACTION_LARGE)), frame)
+
+
+view("v_frames", """
+SELECT session_id, round_id, pos // 4096 AS block_id, pos % 4096 AS offs, a_bit, b_bit FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY round_id) - 1 AS pos FROM (
+ SELECT session_id, round_id, a_bit, b_bit FROM v_key UNION ALL SELECT CAST(-1 AS BIGINT), round_id, a_bit, b_bit FROM v_large_key))""")
+FRAME_KEYS = ["session_id", "block_id"]
+
+
+def frames_of(spark, sf) -> DataFrame:
+    """Key bits of all sessions in frames of 4,096, the large session under id -1; a session's last frame is shorter."""
+    cols = ("session_id", "round_id", "block_id", "offset", "a_bit", "b_bit")
+    large = large_key_blocks(spark, sf).withColumn("session_id", F.lit(-1).cast("bigint"))
+    both = key_blocks(spark, sf, rates.FRAME).select(*cols).unionByName(large.select(*cols))
+    return written(both, "frames")
 
 
 @query("d7_block_partition", "SELECT session_id, round_id, block_id, offs AS \"offset\" FROM v_blocked")
@@ -211,9 +241,7 @@ def d8_large(spark, sf):
 @query("c6_verified_gather", """
 SELECT session_id, round_id, row_number() OVER (PARTITION BY session_id ORDER BY round_id) - 1 AS pos FROM v_blocked SEMI JOIN (SELECT * FROM v_block WHERE n_errors = 0) USING (session_id, block_id)""")
 def c6(spark, sf):
-    blocked = key_blocks(spark, sf)
-    verdicts = sifting.block_errors(blocked).withColumn("verified", c("n_errors") == 0)
-    return sifting.keep_verified(blocked, verdicts).select("session_id", "round_id", "pos")
+    return sifting.keep_verified(key_blocks(spark, sf)).select("session_id", "round_id", "pos")
 
 
 @query("d14_block_rollup", """
@@ -280,10 +308,9 @@ SELECT session_id, iteration, count(*) AS disclosed, sum(count(*)) OVER (PARTITI
 def e8(spark, sf):
     from pyspark.sql import Window
 
-    s = sifted(spark, sf)
-    t = sifting.test_part(sifting.assign_roles(s, FRACTION_SMALL))
-    q = t.groupBy("session_id").agg(F.avg((c("a_bit") != c("b_bit")).cast("int")).alias("q"))
-    rows = attach(key_blocks(spark, sf), q, ["session_id"], ["round_id"])
+    roles = roles_of(sifted(spark, sf), FRACTION_SMALL)
+    q = sifting.test_part(roles).groupBy("session_id").agg(F.avg((c("a_bit") != c("b_bit")).cast("int")).alias("q"))
+    rows = attach(key_blocks(spark, sf, roles=roles), q, ["session_id"], ["round_id"])
     sched = ledger.disclosure_schedule(rows, "pos", c("q"), d=20, rounds=3).where("iteration IS NOT NULL")
     # at most rounds + 1 rows per session reach the window
     per = sched.groupBy("session_id", "iteration").agg(F.count(F.lit(1)).alias("disclosed"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import sweep
 from ..session import scratch_path, written
 from ..sources import config, messages, sinks, store, views
-from ..streaming import base
+from ..streaming import buffered
 from .common import k, tidy
 from .registry import query
 from .reports import _DV, report_input
@@ -41,13 +41,30 @@ def a3(spark, sf):
     return got.groupBy("phase", "outcome").agg(F.count(F.lit(1)).alias("n"), F.sum("final_key_length").alias("total_length"))
 
 
-@query("a4_buffered_append", "SELECT outcome, count(*) AS n FROM v_results GROUP BY 1")
-def a4(spark, sf):
+def arrivals(spark, sf) -> DataFrame:
+    """Results as a stream of four epochs."""
     r = store.conform(views.results(spark, sf))
     path = scratch_path(spark, "buffer")
-    r.write.parquet(path)
-    stream = spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 4).parquet(path)
-    return base.drain(stream, "buffered", ["phase"]).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    cut = written(r.withColumn("_part", F.pmod(F.xxhash64("sample_key"), F.lit(4))), "arrivals")
+    for k in range(4):
+        cut.where(c("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+FILE_ROWS = 700
+
+
+@query("a4_buffered_append", "SELECT outcome, count(*) AS n FROM v_results GROUP BY 1")
+def a4(spark, sf):
+    got = buffered.append_buffered(arrivals(spark, sf), "buffered", "sample_key", FILE_ROWS)
+    return got.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("a4_file_sizes", "SELECT n_rows, count(*) AS n_files FROM (SELECT CASE WHEN f < n // 700 THEN 700 ELSE n % 700 END AS n_rows FROM (SELECT count(*) AS n, unnest(range((count(*) + 699) // 700)) AS f FROM v_results)) GROUP BY 1")
+def a4_files(spark, sf):
+    got = buffered.append_buffered(arrivals(spark, sf), "buffered", "sample_key", FILE_ROWS)
+    per = got.groupBy("file").agg(F.count(F.lit(1)).alias("n_rows"))
+    return per.groupBy("n_rows").agg(F.count(F.lit(1)).alias("n_files"))
 
 
 @query("a5_wide_rows", """
@@ -99,6 +116,7 @@ def a10(spark, sf):
     return spark.read.schema(table.schema).option("header", "true").csv(path)
 
 
+
 _TEXT = """CASE WHEN event_id % 50 = 0 THEN '{"seq": ' ELSE '{"msg_type":"' || msg_type || '","payload":' || replace(payload, ' ', '') || ',"seq":' || seq || ',"session_id":"' || session_id || '"}' END"""
 
 
@@ -107,6 +125,16 @@ def h51(spark, sf):
     return views.messages(spark, sf).select("event_id", messages.to_text().alias("text"))
 
 
+@query("a10_report_markdown", """
+WITH t AS (SELECT phase, count(*) AS processed, count(*) FILTER (outcome = 'skipped_infeasible') AS skipped FROM v_results GROUP BY 1)
+SELECT '# Campaign' AS line UNION ALL SELECT '' UNION ALL SELECT '| phase | processed | skipped |' UNION ALL SELECT '| --- | --- | --- |'
+UNION ALL SELECT '| ' || phase || ' | ' || processed || ' | ' || skipped || ' |' FROM t""")
+def a10_markdown(spark, sf):
+    path = scratch_path(spark, "report")
+    sinks.write_markdown(report.campaign_metrics(views.results(spark, sf), "phase").select("phase", "processed", "skipped"), "Campaign", path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
 @query("a11_parse_messages", """
 SELECT event_id, event_id % 50 <> 0 AS is_valid, CASE WHEN event_id % 50 <> 0 THEN seq END AS seq, CASE WHEN event_id % 50 <> 0 THEN msg_type END AS msg_type, CASE WHEN event_id % 50 <> 0 THEN CAST(json_extract(payload, '$.k') AS BIGINT) END AS k FROM v_messages""")
 def a11(spark, sf):

@@ -15,3 +15,9 @@ def markdown(table: DataFrame, title: str) -> str:
     for row in table.toLocalIterator():
         lines.append("| " + " | ".join("" if v is None else str(v) for v in row) + " |")
     return "\n".join(lines) + "\n"
+
+
+def write_markdown(table: DataFrame, title: str, path: str) -> None:
+    """The Markdown text as one file under ``path``."""
+    lines = [(line,) for line in markdown(table, title).splitlines()]
+    table.sparkSession.createDataFrame(lines, "line string").coalesce(1).write.mode("overwrite").text(path)

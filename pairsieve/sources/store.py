@@ -67,6 +67,11 @@ def remaining(samples: DataFrame, done: DataFrame) -> DataFrame:
     return samples.join(done.select("sample_key"), "sample_key", "left_anti")
 
 
-def write_bucketed(df: DataFrame, table: str, keys: list[str], buckets: int) -> None:
-    """Managed table bucketed and sorted by ``keys``: later joins on them need no shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).format("parquet").saveAsTable(table)
+def write_bucketed(df: DataFrame, label: str, keys: list[str], buckets: int) -> str:
+    """A table bucketed and sorted by ``keys`` under the shared folder: joins on them need no shuffle. Returns its name."""
+    path = scratch_path(df.sparkSession, label)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    # rows of a bucket meet in one task before they are written, so a bucket is one file
+    rows = df.repartition(buckets, *keys)
+    rows.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).format("parquet").option("path", path).saveAsTable(table)
+    return table

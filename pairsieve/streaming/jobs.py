@@ -7,12 +7,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.automaton import states_along, transition
 from ..operators.ledger import entry_bits, whole_bits
 from ..operators.ordered import previous, running
 from ..operators.skew import attach
 from ..session import cut_lineage
 from ..sources import store
 from .base import drain_with_carry
+from .held import drain_released, held
 
 c = F.col
 DELAY = "10 minutes"
@@ -134,48 +136,124 @@ def _merge(carried: DataFrame, fresh: DataFrame, value: str, choose) -> DataFram
     return both.select("session_id", choose(c("_old"), c("_new")).alias(value))
 
 
-def barrier_check(events: DataFrame, wait_us: int) -> DataFrame:
-    """Reveals before the waiting time has passed since the first barrier mark of the session."""
+def _changed(carried: DataFrame, fresh: DataFrame, value: str, choose) -> DataFrame:
+    """The carried rows of the keys in ``fresh``, brought up to date."""
+    both = fresh.withColumnRenamed(value, "_new").join(carried.withColumnRenamed(value, "_old"), "session_id", "left")
+    return both.select("session_id", choose(c("_old"), c("_new")).alias(value))
+
+
+def _drain(rows: DataFrame, label: str, state_schema: str, out_schema: str, step, value: str, choose, wait: str | None, order: str) -> DataFrame:
+    """Rows as they come, or with ``wait`` only once the watermark has passed them."""
+    if wait is not None:
+        def changes(batch: DataFrame, carried: DataFrame) -> tuple[DataFrame, DataFrame]:
+            out, fresh = step(batch, carried)
+            return out, _changed(carried, fresh, value, choose)
+
+        return drain_released(held(rows, ["session_id", order], wait), label, ["session_id"], state_schema, out_schema, changes)
+
+    def whole(batch: DataFrame, carried: DataFrame) -> tuple[DataFrame, DataFrame]:
+        out, fresh = step(batch, carried)
+        return out, _merge(carried, fresh, value, choose)
+
+    return drain_with_carry(rows, label, state_schema, out_schema, whole)
+
+
+def barrier_check(events: DataFrame, wait_us: int, wait: str | None = None) -> DataFrame:
+    """Reveals before the waiting time has passed since the first barrier mark of the session.
+
+    With ``wait`` rows are judged when the watermark (latest ts less ``wait``)
+    has passed them, so a mark that comes epochs after its reveal still counts.
+    """
 
     def step(batch: DataFrame, carried: DataFrame) -> tuple[DataFrame, DataFrame]:
-        after = _merge(carried, batch.where("is_mark").groupBy("session_id").agg(F.min("ts").alias("t0")), "t0", F.least)
-        both = attach(batch.where("is_reveal"), after, ["session_id"], ["event_id"], "left")
+        fresh = batch.where("is_mark").groupBy("session_id").agg(F.min("ts").alias("t0"))
+        both = attach(batch.where("is_reveal"), _merge(carried, fresh, "t0", F.least), ["session_id"], ["event_id"], "left")
         waited = F.unix_micros("ts") - F.unix_micros("t0")
         state = F.when(c("t0").isNull() | (c("ts") < c("t0")), "no_barrier").when(waited < wait_us, "too_early").otherwise("ok")
-        return both.select("session_id", "event_id", state.alias("state")), after
+        return both.select("session_id", "event_id", state.alias("state")), fresh
+
+    schema = "session_id bigint, event_id bigint, state string"
+    return _drain(events, "barrier", "session_id bigint, t0 timestamp", schema, step, "t0", F.least, wait, "event_id")
 
-    return drain_with_carry(events, "barrier", "session_id bigint, t0 timestamp", "session_id bigint, event_id bigint, state string", step)
 
+def budget_check(ledger: DataFrame, cap: int, wait: str | None = None) -> DataFrame:
+    """Running disclosure per session; entries beyond the cap are refused.
 
-def budget_check(ledger: DataFrame, cap: int) -> DataFrame:
-    """Running disclosure per session; entries beyond the cap are refused."""
+    With ``wait`` entries are booked when the watermark has passed their ts,
+    those released together in the order of entry_id.
+    """
 
     def step(batch: DataFrame, carried: DataFrame) -> tuple[DataFrame, DataFrame]:
         own = running(batch, ["session_id"], "entry_id", {"own": ("sum", entry_bits())})
         both = attach(own, carried, ["session_id"], ["entry_id"], "left")
         total = c("own") + F.coalesce(c("spent"), F.lit(0.0))
         rows = both.select("session_id", "entry_id", total.alias("total"), (whole_bits(total) <= cap).alias("accepted"))
-        fresh = batch.groupBy("session_id").agg(F.sum(entry_bits()).alias("spent"))
-        add = lambda a, b: F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0))
-        return rows, _merge(carried, fresh, "spent", add)
+        return rows, batch.groupBy("session_id").agg(F.sum(entry_bits()).alias("spent"))
 
-    return drain_with_carry(ledger, "budget", "session_id bigint, spent double", "session_id bigint, entry_id bigint, total double, accepted boolean", step)
+    add = lambda a, b: F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0))
+    schema = "session_id bigint, entry_id bigint, total double, accepted boolean"
+    return _drain(ledger, "budget", "session_id bigint, spent double", schema, step, "spent", add, wait, "entry_id")
 
 
 TERMINAL = ("DONE", "FAILED", "VERIFIED")
 
 
-def phase_check(phases: DataFrame) -> DataFrame:
-    """Once a session is in a terminal phase only DONE may follow."""
+def phase_check(phases: DataFrame, wait: str | None = None) -> DataFrame:
+    """Once a session is in a terminal phase only DONE may follow; with ``wait`` judged when the watermark has passed a row's ts."""
 
     def step(batch: DataFrame, carried: DataFrame) -> tuple[DataFrame, DataFrame]:
-        ends = batch.where(c("phase").isin(*TERMINAL)).groupBy("session_id").agg(F.min("event_id").alias("ended"))
-        after = _merge(carried, ends, "ended", F.least)
-        both = attach(batch, after, ["session_id"], ["event_id"], "left")
+        fresh = batch.where(c("phase").isin(*TERMINAL)).groupBy("session_id").agg(F.min("event_id").alias("ended"))
+        both = attach(batch, _merge(carried, fresh, "ended", F.least), ["session_id"], ["event_id"], "left")
         bad = both.where((c("event_id") > c("ended")) & (c("phase") != "DONE"))
-        return bad.select("session_id", "event_id", "phase"), after
+        return bad.select("session_id", "event_id", "phase"), fresh
+
+    schema = "session_id bigint, event_id bigint, phase string"
+    return _drain(phases, "phases", "session_id bigint, ended bigint", schema, step, "ended", F.least, wait, "event_id")
+
+
+IDLE, WAITING = 0, 1
+LINK_STATE = "link_id bigint, n bigint, seq bigint, msg_type string, state int"
+
+
+def link_violations(rows: DataFrame, carried: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(link_id, n, violation) of complete rows in the order ``n``, and what the links carry on.
+
+    Rows have link_id, n, session_id, link_session, is_ack, seq, msg_type,
+    allowed, ack_seq, ack_type. A row of another session is reported and
+    changes nothing. A message must have the number after the last one, be of
+    an allowed type, and not be sent before the last one is acknowledged; an
+    acknowledgement must name the last message, once.
+
+    Whether a message waits is a state with two values: a message sets it, the
+    right acknowledgement clears it, all else leaves it.
+    """
+    rows = rows.withColumn("own", c("session_id").eqNullSafe(c("link_session")))
+    sent = c("own") & ~c("is_ack")
+    last = F.when(sent, F.struct("n", "seq", "msg_type"))
+    seen = running(rows, ["link_id"], "n", {"last": ("max", last)}, inclusive=False)
+    before = carried.select("link_id", F.struct("n", "seq", "msg_type").alias("_before"))
+    seen = attach(seen, before, ["link_id"], ["n"], "left").withColumn("last", F.coalesce("last", "_before")).drop("_before")
+    right = c("own") & c("is_ack") & F.coalesce((c("ack_seq") == c("last.seq")) & (c("ack_type") == c("last.msg_type")), F.lit(False))
+    seen = cut_lineage(seen.withColumn("right", right))
+    table = F.when(sent, transition(WAITING, WAITING)).when(c("right"), transition(IDLE, IDLE)).otherwise(transition(IDLE, WAITING))
+    judged, ends = states_along(seen, ["link_id"], "n", table, carried.select("link_id", "state"))
+    kind = (
+        F.when(~c("own"), "session_mismatch")
+        .when(c("is_ack"), F.when(~c("right") | (c("state") == IDLE), "ack_mismatch"))
+        .when(c("seq") != F.coalesce(c("last.seq"), F.lit(-1)) + 1, "out_of_order")
+        .when(~c("allowed"), "wrong_type")
+        .when(c("state") == WAITING, "not_acknowledged")
+    )
+    out = judged.select("link_id", "n", kind.alias("violation")).where("violation IS NOT NULL")
+    newest = rows.where(sent).groupBy("link_id").agg(F.max(F.struct("n", "seq", "msg_type")).alias("new"))
+    after = ends.join(newest, "link_id", "left").join(before, "link_id", "left").withColumn("r", F.coalesce("new", "_before"))
+    return out, after.select("link_id", "r.n", "r.seq", "r.msg_type", "state")
+
 
-    return drain_with_carry(phases, "phases", "session_id bigint, ended bigint", "session_id bigint, event_id bigint, phase string", step)
+def link_check(rows: DataFrame, wait: str) -> DataFrame:
+    """``link_violations`` of a stream; rows are judged when the watermark (latest ts less ``wait``) has passed them."""
+    released = held(rows, ["link_id", "n"], wait)
+    return drain_released(released, "links", ["link_id"], LINK_STATE, "link_id bigint, n bigint, violation string", link_violations)
 
 
 def ingest_results(stream: DataFrame, path: str, key: str = "sample_key") -> None:
