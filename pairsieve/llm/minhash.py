@@ -44,7 +44,7 @@ from ..operators.skew import attach
 from ..session import written
 from .common import rows_at_a_time, texts_of, word_shingles
 from .components import components
-from .idfilter import id_filter, id_slot, in_filter
+from .idfilter import id_filter, id_slot, in_filter, possibly_in
 
 WIDTH = 5
 BANDS, ROWS = 32, 4
@@ -142,14 +142,17 @@ def plausible(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
                 alive = alive[matches[alive] >= least]
             yield batch.select(["a", "b"]).take(pa.array(alive))
 
-    left = signatures.select(F.col("node").alias("a"), F.col("signature").alias("sig_a"))
-    right = signatures.select(F.col("node").alias("b"), F.col("signature").alias("sig_b"))
+    # only the signatures of nodes in some pair are moved
+    met = possibly_in(signatures.select("node", "signature"), "node", pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    left = met.select(F.col("node").alias("a"), F.col("signature").alias("sig_a"))
+    right = met.select(F.col("node").alias("b"), F.col("signature").alias("sig_b"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(rep, set_key, shingles) of the given ids. What the filter lets through besides goes in the join."""
-    shared = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
+    lets_in = id_filter(ids)
+    shared = docs.sparkSession.sparkContext.broadcast(lets_in)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -162,7 +165,7 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 keys = [blake2b(s, digest_size=16).hexdigest() for s in sets]
                 yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), pa.array(keys, pa.string()), pa.array(sets, pa.binary())], ["rep", "set_key", "shingles"])
 
-    raw = texts_of(docs).where(F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("binary").alias("text"), id_slot(F.col("doc_id")).alias("slot"))
+    raw = texts_of(docs).where(F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("binary").alias("text"), id_slot(F.col("doc_id"), lets_in).alias("slot"))
     return raw.mapInArrow(run, "rep long, set_key string, shingles binary")
 
 
@@ -244,7 +247,8 @@ def between_components(members: DataFrame, labels: DataFrame, docs: DataFrame, c
     amount = lambda what: F.ceil(F.sum(what) / BLOCK_SHINGLES).cast("int")
     blocks = people.groupBy("main").agg(amount(F.when(outside, F.col("n_shingles"))).alias("x_blocks"), amount(F.col("n_shingles")).alias("y_blocks"))
     found = written(sets_of(docs, people.select("rep")), "sets")
-    full = people.join(found, ["rep", "set_key"]).join(facts.select("id", "signature"), "id").join(blocks, "main")
+    signs = possibly_in(facts.select("id", "signature"), "id", people.select("id").distinct())
+    full = people.join(found, ["rep", "set_key"]).join(signs, "id").join(blocks, "main")
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = ["main", "x", "y", "id", "c", "signature", "shingles"]

@@ -59,6 +59,7 @@ PART_BYTES = 48 << 20  # text whose phrases make one part
 SHARE_PHRASES = 20_000
 HOT_PHRASES = 1_000  # dictionary rows around one trigger from which on its windows are dealt out one by one
 PHRASE_BITS = 48
+FILTER_BITS = 1 << 23
 
 
 class Phrases:
@@ -279,7 +280,8 @@ def judged(sent: DataFrame, buckets: int) -> DataFrame:
 
 def _some_texts(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """Texts whose id may be among ``ids``: the others aren't moved."""
-    shared = texts.sparkSession.sparkContext.broadcast(id_filter(ids))
+    bits = id_filter(ids, FILTER_BITS)
+    shared = texts.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -287,7 +289,7 @@ def _some_texts(texts: DataFrame, ids: DataFrame) -> DataFrame:
             if len(keep):
                 yield b.select(["doc_id", "text"]).take(pa.array(keep))
 
-    return texts.withColumn("slot", id_slot(F.col("doc_id"))).mapInArrow(run, "doc_id long, text binary")
+    return texts.withColumn("slot", id_slot(F.col("doc_id"), bits)).mapInArrow(run, "doc_id long, text binary")
 
 
 def _spans(starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
@@ -398,7 +400,7 @@ def _least(ranks: np.ndarray, docs: np.ndarray) -> np.ndarray:
 def suffix_order(dictionary: DataFrame) -> DataFrame:
     """(doc_id, text_key, spans): windows of dictionary phrases that a smaller document holds, as spans of the text."""
     hot = dictionary.groupBy("share").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_PHRASES)
-    bits = id_filter(hot.select("share"))
+    bits = id_filter(hot.select("share"), FILTER_BITS)
     if not bits.any():
         return _by_share(dictionary)
     shared = dictionary.sparkSession.sparkContext.broadcast(bits)
@@ -408,7 +410,7 @@ def suffix_order(dictionary: DataFrame) -> DataFrame:
         return pd.Series(in_filter(shared.value, slots.to_numpy()))
 
     # a share goes one way as a whole, also one that the filter lets through besides
-    marked = dictionary.withColumn("hot", is_hot(id_slot(F.col("share"))))
+    marked = dictionary.withColumn("hot", is_hot(id_slot(F.col("share"), bits)))
     return _by_share(marked.where(~F.col("hot")).drop("hot")).unionByName(_by_window(written(marked.where("hot").drop("hot", "share"), "hot-phrases")))
 
 
