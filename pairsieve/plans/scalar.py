@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import bounds, channel, finite, rates, security
+from ..functions import bounds, channel, finite, rates, security, sqlfuncs
+from ..session import written
 from ..sources import views
 from . import oracle as o
 from .common import k, out, tidy
@@ -567,13 +568,53 @@ def h39(spark, sf):
 SELECT sample_key, {r9(o.h('q_channel'))} AS entropy, {r9('q_channel')} AS q, {r9(o.hbs('storage_noise_r', 'storage_rate_nu'))} AS h_min,
   {r9(o.hbs('storage_noise_r', 'storage_rate_nu') + ' - 1.16::DOUBLE * ' + o.h('q_channel'))} AS key_rate FROM v_feasible""")
 def l_sql_functions(spark, sf):
-    from ..functions import sqlfuncs
-
     sqlfuncs.register(spark)
     df = views.samples(spark, sf).selectExpr(
         "sample_key", "storage_noise_r AS r", "storage_rate_nu AS nu",
         "q_channel(channel_fidelity, detector_error, detection_efficiency, dark_count_prob) AS q",
     )
     return tidy(
-        df.selectExpr("sample_key", "binary_entropy(q) AS entropy", "q", "bounded_storage_entropy(r, nu) AS h_min", "extractable_key_rate(r, nu, q, 1.16D) AS key_rate")
+        df.selectExpr("sample_key", "binary_entropy(q) AS entropy", "q", "bounded_storage_entropy(r, nu) AS h_min", "extractable_key_rate(r, nu, q) AS key_rate")
     )
+
+
+def _arguments() -> dict[str, Column]:
+    """Values for the formulas' parameters, from the columns of the samples."""
+    return {
+        "fidelity": k.channel_fidelity, "e_det": k.detector_error, "eta": k.detection_efficiency, "p_dark": k.dark_count_prob, "r": k.storage_noise_r, "nu": k.storage_rate_nu,
+        "p": k.q, "q": k.q, "qber": k.q, "measured": k.q, "expected": k.q + 0.01 * k.storage_noise_r, "mu": 0.1 + k.storage_noise_r, "n": k.num_pairs, "k": F.ceil(k.num_pairs * 0.05),
+        "block": k.num_pairs, "km": k.detector_error * 1000, "length_km": k.detector_error * 1000, "rate": 0.3 + 0.5 * k.storage_noise_r, "x": k.storage_noise_r - 0.3,
+        "tolerance": 0.01 + k.detector_error, "leak": F.floor(k.num_pairs * 0.2), "target": 0.5 + 0.4 * k.storage_noise_r, "h_min": k.storage_noise_r, "cap": F.floor(k.num_pairs * 0.6),
+        "blocks": F.ceil(k.num_pairs / 4096), "final": F.floor(k.num_pairs / 4), "i0": F.floor(k.num_pairs / 3), "i1": F.floor(k.num_pairs / 5), "d": F.lit(400.0), "shortened": F.floor(k.q * 300),
+        "payload": 4000 - F.floor(k.q * 1000), "actual_ns": k.wait_time_ns * (0.98 + 0.04 * k.storage_noise_r), "required_ns": k.wait_time_ns, "n_shortened": F.floor(k.q * 300), "frame": F.lit(4096.0),
+        "bits": k.num_pairs, "bit": (k.num_pairs % 2).cast("int"), "basis": (k.num_pairs % 2).cast("int"), "punctured": k.num_pairs % 8 == 0, "gamma": k.storage_noise_r,
+    }
+
+
+# every formula once as a column and once as the SQL function made from it
+@query("l_all_formulas", "SELECT unnest([" + ", ".join(f"'{f.__name__}'" for f in sqlfuncs.SCALAR) + "]) AS formula, n AS n_rows, n AS n_equal FROM (SELECT count(*) AS n FROM v_samples)")
+def l_all(spark, sf):
+    sqlfuncs.register(spark)
+    df = views.samples(spark, sf)
+    df = df.withColumn("q", channel.q_channel(k.channel_fidelity, k.detector_error, k.detection_efficiency, k.dark_count_prob))
+    needed = {n: t for f in sqlfuncs.SCALAR for n, t in sqlfuncs.parameters(f).items()}
+    values = _arguments()
+    rows = written(df.select(*[values[n].cast(t).alias(f"a_{n}") for n, t in needed.items()]), "arguments")
+    same = []
+    for f in sqlfuncs.SCALAR:
+        names = [f"a_{n}" for n in sqlfuncs.parameters(f)]
+        as_column = sqlfuncs.as_one(f(*[c(n) for n in names]))
+        same.append(F.count_if(as_column.eqNullSafe(F.expr(f"{f.__name__}({', '.join(names)})"))).alias(f.__name__))
+    counts = rows.agg(F.count(F.lit(1)).alias("n_rows"), *same)
+    return counts.unpivot(["n_rows"], [f.__name__ for f in sqlfuncs.SCALAR], "formula", "n_equal")
+
+
+@query("l_table_functions", """
+SELECT session_id, n AS total, b AS batch_id, b * 16 AS start, least(16, n - b * 16) AS length, (CASE WHEN n > 20 THEN 4 ELSE 3 END)::BIGINT AS slices FROM (
+  SELECT session_id, n, unnest(range(0, (n + 15) // 16)) AS b FROM (SELECT session_id, count(*) AS n FROM v_pairs GROUP BY 1))""")
+def l_tables(spark, sf):
+    sqlfuncs.register(spark)
+    views.pairs(spark, sf).groupBy("session_id").agg(F.count(F.lit(1)).alias("total")).createOrReplaceTempView("session_sizes")
+    return spark.sql("""
+        SELECT s.session_id, s.total, b.batch_id, b.start, b.length, i.slices FROM session_sizes s, LATERAL generation_batches(s.total, 16L) b,
+          LATERAL (SELECT count(*) AS slices FROM disclosure_slices(20L, 3L, IF(s.total > 20, 0.06D, 0.04D))) i""")

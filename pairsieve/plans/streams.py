@@ -114,7 +114,7 @@ def k5(spark, sf):
 view("v_link", """
 SELECT *, user_id AS link_id, user_id AS link_session, 4 * event_id AS n, CASE WHEN event_id % 101 = 5 THEN user_id + 1 ELSE user_id END AS session_id, false AS is_ack,
  CAST(NULL AS BIGINT) AS ack_seq, CAST(NULL AS VARCHAR) AS ack_type FROM v_numbered
-UNION ALL SELECT *, user_id, user_id, 4 * event_id + 1 + r, CASE WHEN event_id % 103 = 7 THEN user_id + 1 ELSE user_id END, true,
+UNION ALL SELECT v_numbered.*, user_id, user_id, 4 * event_id + 1 + r, CASE WHEN event_id % 103 = 7 THEN user_id + 1 ELSE user_id END, true,
  CASE WHEN event_id % 17 = 3 THEN seq + 1 ELSE seq END, CASE WHEN event_id % 23 = 6 THEN 'other' ELSE event_type END
 FROM v_numbered, (SELECT unnest(range(2)) AS r) WHERE event_id % 13 <> 0 AND (r = 0 OR event_id % 19 = 4)""")
 view("v_numbered", "SELECT user_id, event_id, event_type, ts, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq FROM events QUALIFY event_id % 97 <> 0")
