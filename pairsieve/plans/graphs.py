@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import bits, distributions, rates
 from ..operators import decode, graph, quality, sifting
 from ..operators.ordered import positions, running
-from ..session import written
-from ..sources import views
+from ..session import scratch_path, written
+from ..sources import config, views
 from . import oracle as o
 from .common import tidy
 from .registry import query, view
@@ -156,8 +156,10 @@ SELECT rate, CAST(degree AS BIGINT) AS degree, CAST(base + CASE WHEN rk <= n - s
    FROM (VALUES {_DIST}) t(rate, degree, p), (SELECT count(DISTINCT var_id) AS n FROM v_edges))))""")
 def i9(spark, sf):
     n = views.edges(spark, sf).select("var_id").distinct().count()
-    dist = spark.createDataFrame([(f"{r}:{s}", d, p) for r, s, d, p in distributions.rows()], "rate string, degree int, probability double")
-    return tidy(graph.degree_targets(dist, n))
+    # any table of this form will do; this one holds the nine rates that are built in
+    path = scratch_path(spark, "distributions")
+    config.write_distributions(spark, path, [(f"{r}:{s}", d, p) for r, s, d, p in distributions.rows()])
+    return tidy(graph.degree_targets(config.read_distributions(spark, path), n))
 
 
 RATES = [round(0.51 + 0.01 * i, 2) for i in range(40)]

@@ -340,12 +340,23 @@ def active_loop(spark, sf, path: str, rounds: int, batch: int, retrain_every: in
     return store.read_results(spark, path)
 
 
+ROUNDS = 2
+
+
+def picks_of(pool: int) -> int:
+    """Picks of a round: one for 10,000 candidates, 3 to 256."""
+    return min(256, max(3, pool // 10_000))
+
+
+def loop_results(spark, sf) -> DataFrame:
+    path = store.new_store(spark, "active")
+    store.append_results(views.results(spark, sf).where("phase = 'lhs_warmup'"), path)
+    return active_loop(spark, sf, path, ROUNDS, picks_of(views.samples(spark, sf).count()))
+
+
 @query("j14_active_loop")
 def j14(spark, sf):
-    path = store.new_store(spark, "active")
-    warm = views.results(spark, sf).where("phase = 'lhs_warmup'")
-    store.append_results(warm, path)
-    got = active_loop(spark, sf, path, rounds=2, batch=3)
+    got = loop_results(spark, sf)
     return got.groupBy("phase", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -377,9 +388,18 @@ def j5_classes(spark, sf):
     return got.groupBy("failed").agg(F.count(F.lit(1)).alias("n"), F.count_if(c("p_fail").between(0, 1)).alias("n_scored"))
 
 
-@query("m4_active_phases", "SELECT 'lhs_warmup' AS phase, count(*) AS n, count(*) AS n_keys FROM v_results WHERE phase = 'lhs_warmup' UNION ALL SELECT 'active_learning', 6, 6")
+_PICKS = f"{ROUNDS} * least(256, greatest(3, (SELECT count(*) FROM v_samples) // 10000))"
+
+
+@query("m4_active_phases", f"""
+SELECT 'lhs_warmup' AS phase, count(*) AS n, count(DISTINCT sample_key) AS n_keys, count(*) AS n_of_pool, count(*) AS n_of_warmup FROM v_results WHERE phase = 'lhs_warmup'
+UNION ALL SELECT 'active_learning', {_PICKS}, {_PICKS}, {_PICKS}, 0""")
 def m4(spark, sf):
-    path = store.new_store(spark, "active")
-    store.append_results(views.results(spark, sf).where("phase = 'lhs_warmup'"), path)
-    got = active_loop(spark, sf, path, rounds=2, batch=3)
-    return got.groupBy("phase").agg(F.count(F.lit(1)).alias("n"), F.count(F.col("sample_key")).alias("n_keys"))
+    # appended keys: each once, from the pool, none evaluated before
+    got = written(loop_results(spark, sf).select("phase", "sample_key"), "loop")
+    pool = views.samples(spark, sf).select("sample_key").distinct().withColumn("in_pool", F.lit(True))
+    warm = views.results(spark, sf).where("phase = 'lhs_warmup'").select("sample_key").distinct().withColumn("in_warmup", F.lit(True))
+    known = got.join(pool, "sample_key", "left").join(warm, "sample_key", "left")
+    return known.groupBy("phase").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("sample_key").alias("n_keys"), F.count("in_pool").alias("n_of_pool"), F.count("in_warmup").alias("n_of_warmup")
+    )

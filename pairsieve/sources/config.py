@@ -16,6 +16,10 @@ def read_bounds(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BOUNDS_SCHEMA).json(path)
 
 
+def write_distributions(spark: SparkSession, path: str, rows: list[tuple[str, int, float]]) -> None:
+    spark.createDataFrame(rows, "rate string, degree int, probability double").coalesce(1).write.mode("overwrite").json(path)
+
+
 def read_distributions(spark: SparkSession, path: str) -> DataFrame:
     """Degree distributions as JSON lines (rate, degree, probability)."""
     return spark.read.schema("rate string, degree int, probability double").json(path)
