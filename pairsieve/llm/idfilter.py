@@ -1,9 +1,9 @@
 """A bit array over ids: lets all given ids through and few others.
 
 For joins in which only a part of the documents take part, so that the other
-texts aren't shuffled. The array has about eight bits for each id, and at most
-``MOST_BITS`` (16 MB) however many ids there are; with more than that it lets
-more through, and the join behind it decides.
+texts aren't shuffled. The array has 64 bits or more for each id (``LEAST_BITS``, 1 MB, for few), and at
+most ``MOST_BITS`` (16 MB) however many ids there are; with more than that it
+lets more through, and the join behind it decides.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
+LEAST_BITS, MOST_BITS = 1 << 23, 1 << 27
 
 
 def id_slot(id_: Column, bits: np.ndarray) -> Column:
@@ -24,7 +24,7 @@ def id_slot(id_: Column, bits: np.ndarray) -> Column:
 def id_filter(ids: DataFrame, size: int | None = None) -> np.ndarray:
     """Filter of the single column of ``ids``, of ``size`` bits or as many as their number asks for; at most MOST_BITS / 64 rows reach the driver."""
     if size is None:
-        wanted, size = 8 * ids.count(), LEAST_BITS
+        wanted, size = 64 * ids.count(), LEAST_BITS
         while size < min(wanted, MOST_BITS):
             size *= 2
     out = np.zeros(size // 64, dtype=np.uint64)
@@ -54,11 +54,6 @@ def _marked(df: DataFrame, id_: Column, ids: DataFrame) -> DataFrame:
     return df.withColumn("_maybe", F.when(id_.isNotNull(), may_be_in(F.coalesce(id_slot(id_, bits), F.lit(0).cast("long")))).otherwise(F.lit(False)))
 
 
-def possibly_in(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose ``column`` is in the single column of ``ids``, and few others: for the side of a join of which few rows are met."""
-    return _marked(df, F.col(column).cast("long"), ids).where("_maybe").drop("_maybe")
-
-
 def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id isn't in the single column of ``ids``; null ids stay.
 
