@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 SALTS = 16
 
 
+PACKED = 8  # how much larger a table may be in memory than in its files
+
+
+def understated(per_key: DataFrame, salts: int) -> bool:
+    """Whether the optimizer would broadcast ``per_key`` by its estimate, though its repeated rows may be larger than the limit."""
+    limit = int(per_key.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+    size = int(per_key._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size <= limit < size * salts * PACKED
+
+
 def attach(big: DataFrame, per_key: DataFrame, keys: list[str], spread: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
     """Join per-key values (unique on ``keys``) to a table in which a key may be hot.
 
@@ -17,4 +27,6 @@ def attach(big: DataFrame, per_key: DataFrame, keys: list[str], spread: list[str
     """
     left = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(salts)))
     right = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    if understated(per_key, salts):
+        right = right.hint("merge")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")

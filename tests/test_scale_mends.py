@@ -36,3 +36,42 @@ def test_batch_in_few_passes(spark, monkeypatch, head, part_head):
     got = acquire.diverse_batch(df, k, "score", "key", NAMES).orderBy("pick").collect()
     assert [(r.key, r.pick_score) for r in got] == [(a, pytest.approx(v, abs=2e-9)) for a, v in greedy(keys, x, score, k)]
     assert len(passes) < k or head == 1
+
+
+def test_repeated_side_is_not_broadcast_by_its_file_size(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from pairsieve.operators import skew
+
+    # numbers in order take few bytes in a file
+    spark.range(400_000).select(F.col("id").alias("k"), (F.col("id") % 2).alias("bit")).coalesce(1).write.parquet(str(tmp_path / "keys"))
+    keys = spark.read.parquet(str(tmp_path / "keys"))
+    assert keys._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 10 << 20
+    rows = spark.range(1_000).select((F.col("id") * 7).alias("k"), F.col("id").alias("row"))
+    got = skew.attach(rows, keys, ["k"], ["row"])
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.agg(F.count(F.lit(1)).alias("n"), F.sum("bit").alias("s")).first() == (1_000, 500)
+    few = skew.attach(rows, keys.limit(5), ["k"], ["row"])
+    assert few.count() == 1
+
+
+def test_epochs_of_many_files(spark):
+    from pyspark.sql import functions as F
+
+    from pairsieve.session import scratch_path
+    from pairsieve.streaming import base
+
+    # epoch 1 has fewer rows than the others have files, epoch 3 none
+    df = spark.range(1_002).select("id", F.when(F.col("id") >= 1_000, 1).otherwise(2 * F.pmod(F.xxhash64("id"), F.lit(2))).cast("int").alias("part"))
+    path = scratch_path(spark, "epochs")
+    stream = base.file_epochs(df, "part", 4, path, file_rows=50)
+    sizes = [r.n for r in spark.read.schema("id bigint").parquet(path).groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert max(sizes) < 100 and len(sizes) > 16
+    seen = {}
+
+    def note(batch, epoch):
+        seen[epoch] = {r.id for r in batch.collect()}
+
+    stream.writeStream.option("checkpointLocation", scratch_path(spark, "state")).trigger(availableNow=True).foreachBatch(note).start().awaitTermination()
+    want = [{r.id for r in df.where(F.col("part") == k).collect()} for k in range(4)]
+    assert [seen.get(k, set()) for k in range(4)] == want
