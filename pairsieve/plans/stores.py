@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import sweep
 from ..session import scratch_path, written
 from ..sources import config, messages, sinks, store, views
-from ..streaming import buffered
+from ..streaming import base, buffered
 from .common import k, tidy
 from .registry import query
 from .reports import _DV, report_input
@@ -46,9 +46,7 @@ def arrivals(spark, sf) -> DataFrame:
     r = store.conform(views.results(spark, sf))
     path = scratch_path(spark, "buffer")
     cut = written(r.withColumn("_part", F.pmod(F.xxhash64("sample_key"), F.lit(4))), "arrivals")
-    for k in range(4):
-        cut.where(c("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return base.file_epochs(cut, "_part", 4, path)
 
 
 FILE_ROWS = 700

@@ -34,9 +34,7 @@ def in_epochs(spark, df: DataFrame, label: str, late_minutes: int = LATE) -> Dat
     part = F.floor(at / step)
     late = ((part + 1) * step - at <= late_minutes * 60_000_000) & (F.pmod(F.xxhash64(*[c(n) for n in df.columns]), F.lit(2)) == 0)
     cut = written(df.withColumn("_part", F.least(part + late.cast("int"), F.lit(EPOCHS - 1))), "epochs")
-    for k in range(EPOCHS):  # one after another: the stream takes files in the order they were written
-        cut.where(c("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return base.file_epochs(cut, "_part", EPOCHS, path)
 
 
 def events_in_epochs(spark, sf, late_minutes: int = LATE) -> DataFrame:
@@ -204,8 +202,6 @@ def k11(spark, sf):
     r = store.conform(views.results(spark, sf)).withColumn("ts", F.timestamp_seconds(1_704_067_200 + c("num_pairs") % 1000))
     path, target = scratch_path(spark, "arrivals"), store.new_store(spark, "ingest")
     cut = written(r.withColumn("_part", F.pmod(F.xxhash64("sample_key"), F.lit(EPOCHS))), "arrivals")
-    for k in range(EPOCHS):
-        cut.where(c("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(path)
-    r.where("outcome = 'success'").coalesce(1).write.mode("append").parquet(path)  # some evaluations arrive twice
-    jobs.ingest_results(spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 1).parquet(path), target)
+    again = cut.where("outcome = 'success'").withColumn("_part", F.lit(EPOCHS))  # some evaluations arrive twice
+    jobs.ingest_results(base.file_epochs(cut.unionByName(again), "_part", EPOCHS + 1, path), target)
     return store.read_results(spark, target).groupBy("phase", "outcome").agg(F.count(F.lit(1)).alias("n"))
