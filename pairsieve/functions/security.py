@@ -28,14 +28,20 @@ def check_qber(q: Column) -> Column:
 
 
 def check_storage(r: Column, nu: Column) -> Column:
-    used = storage_capacity_mixed(r) * nu
+    return check_used(storage_capacity_mixed(r) * nu)
+
+
+def check_used(used: Column) -> Column:
     margin = 0.5 - used
     status = F.when(used >= 0.5, "failed").when(margin < 0.1, "warning").otherwise("passed")
     return _check("storage_capacity", status, used, F.lit(0.5), margin)
 
 
 def check_strictly_less(q: Column, r: Column) -> Column:
-    h, h_min = binary_entropy(q), max_bound_entropy(r)
+    return check_entropies(binary_entropy(q), max_bound_entropy(r))
+
+
+def check_entropies(h: Column, h_min: Column) -> Column:
     margin = h_min - h
     status = F.when(margin <= 0, "failed").when(margin < 0.05, "warning").otherwise("passed")
     return _check("strictly_less", status, h, h_min, margin)
@@ -43,14 +49,24 @@ def check_strictly_less(q: Column, r: Column) -> Column:
 
 def check_batch(n: Column, q: Column, r: Column, nu: Column, ec: float = 1.16, eps: float = 1e-10) -> Column:
     rate = extractable_key_rate(r, nu, q, ec)
-    expected = n * rate - 2 * math.log2(1 / eps)
+    return check_expected(expected_bits(n, rate, eps), rate)
+
+
+def expected_bits(n: Column, rate: Column, eps: float = 1e-10) -> Column:
+    return n * rate - 2 * math.log2(1 / eps)
+
+
+def check_expected(expected: Column, rate: Column) -> Column:
     status = F.when(expected <= 0, "failed").when(rate < 0.01, "warning").otherwise("passed")
     return _check("batch_size", status, expected, F.lit(0.0), expected)
 
 
 def min_batch_size(q: Column, r: Column, nu: Column, target: int = 128, ec: float = 1.16, eps: float = 1e-10) -> Column:
     """0 stands for 'no batch is large enough'."""
-    rate = extractable_key_rate(r, nu, q, ec)
+    return min_batch_of(extractable_key_rate(r, nu, q, ec), target, eps)
+
+
+def min_batch_of(rate: Column, target: int = 128, eps: float = 1e-10) -> Column:
     return F.when(rate <= 0, F.lit(0).cast("bigint")).otherwise(
         F.greatest(F.lit(1).cast("bigint"), F.ceil((target + 2 * math.log2(1 / eps)) / rate))
     )

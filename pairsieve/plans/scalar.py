@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bounds, channel, finite, rates, security, sqlfuncs
+from ..functions.stage import staged
 from ..session import written
 from ..sources import views
 from . import oracle as o
@@ -355,16 +356,24 @@ V_CHECK_ROWS = " UNION ALL ".join(
 
 
 def check_structs(df: DataFrame) -> DataFrame:
-    q = c("q")
-    return df.withColumn("q", channel.qber_expected(k.channel_fidelity, k.dark_count_prob, k.detector_error)).withColumn(
-        "checks",
-        F.array(
-            security.check_qber(q),
-            security.check_storage(k.storage_noise_r, k.storage_rate_nu),
-            security.check_strictly_less(q, k.storage_noise_r),
-            security.check_batch(k.num_pairs, q, k.storage_noise_r, k.storage_rate_nu),
-        ),
-    )
+    """Samples with q, h, h_min, used, key_rate and their four checks.
+
+    In stages: with every formula written out at each use the generated code
+    is too long to be compiled for the machine.
+    """
+    df = staged(df, {"q": channel.qber_expected(k.channel_fidelity, k.dark_count_prob, k.detector_error)})
+    df = staged(df, {
+        "h": channel.binary_entropy(c("q")), "h_min": bounds.max_bound_entropy(k.storage_noise_r),
+        "used": bounds.storage_capacity_mixed(k.storage_noise_r) * k.storage_rate_nu,
+    })
+    df = staged(df, {"key_rate": bounds.key_rate_of(c("h_min"), k.storage_rate_nu, c("h"))})
+    df = staged(df, {"expected": security.expected_bits(k.num_pairs, c("key_rate"))})
+    return staged(df, {"checks": F.array(
+        security.check_qber(c("q")),
+        security.check_used(c("used")),
+        security.check_entropies(c("h"), c("h_min")),
+        security.check_expected(c("expected"), c("key_rate")),
+    )})
 
 
 @query("h29_feasibility_checks", f"SELECT sample_key, check_name, status, round(value, nd) AS value, round(threshold, nd) AS threshold, round(margin, nd) AS margin FROM (SELECT *, CASE check_name WHEN 'batch_size' THEN 4 WHEN 'qber' THEN 13 ELSE 9 END AS nd FROM ({V_CHECK_ROWS}))")
@@ -400,8 +409,8 @@ def d23(spark, sf):
         is_feasible=count("failed") == 0,
         warnings=count("warning"),
         margin=F.round(F.array_min(F.transform("checks", lambda x: x["margin"])), 6),
-        key_rate=bounds.extractable_key_rate(k.storage_noise_r, k.storage_rate_nu, c("q")),
-        min_batch=security.min_batch_size(c("q"), k.storage_noise_r, k.storage_rate_nu),
+        key_rate=c("key_rate"),
+        min_batch=security.min_batch_of(c("key_rate")),
     )
 
 

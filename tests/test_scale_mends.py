@@ -84,3 +84,12 @@ def test_frame_slot_is_a_formula(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "lambda" not in plan and "sequence" not in plan  # the frame isn't listed for every row
     assert got.where("slot % 5 = 2 OR slot >= 5120").count() == 0
+
+
+def test_checks_are_computed_once(spark):
+    import __spark_entry__ as entry
+
+    for name in ("h29_feasibility_checks", "d23_preflight_report"):
+        plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        # two each in the entropies of the error rate and of the storage, one in the collision rate
+        assert plan.count("LOG2(") == 5, name
