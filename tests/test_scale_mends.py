@@ -93,3 +93,17 @@ def test_checks_are_computed_once(spark):
         plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         # two each in the entropies of the error rate and of the storage, one in the collision rate
         assert plan.count("LOG2(") == 5, name
+
+
+def test_entropy_is_not_in_the_loop(spark):
+    from pyspark.sql import functions as F
+
+    from pairsieve.functions import finite
+
+    c = F.col
+    df = spark.range(1).select((c("id") + 100_000).alias("n"), (c("id") + 0.02).alias("q"), (c("id") + 0.9).alias("noise"), (c("id") + 0.1).alias("nu"))
+    df = df.repartition(1)  # keeps the columns as names
+    for loop in (finite.optimal_test_fraction(c("n"), c("q"), c("noise"), c("nu")), finite.min_n_for_length(1000, c("q"), c("noise"), c("nu"))):
+        plan = df.select(loop.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        top = plan.splitlines()[0]
+        assert "noise" not in top[top.index("aggregate("):]
