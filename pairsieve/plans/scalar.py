@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import bounds, channel, finite, rates, security, sqlfuncs
+from ..functions import bounds, channel, clib, finite, rates, security, sqlfuncs
 from ..functions.stage import staged
 from ..session import written
 from ..sources import views
@@ -359,12 +359,14 @@ def check_structs(df: DataFrame) -> DataFrame:
     """Samples with q, h, h_min, used, key_rate and their four checks.
 
     In stages: with every formula written out at each use the generated code
-    is too long to be compiled for the machine.
+    is too long to be compiled for the machine. Expected bits are differences
+    of numbers up to 10^6, so logarithms are the C library's; samples should
+    have its powers too.
     """
     df = staged(df, {"q": channel.qber_expected(k.channel_fidelity, k.dark_count_prob, k.detector_error)})
     df = staged(df, {
-        "h": channel.binary_entropy(c("q")), "h_min": bounds.max_bound_entropy(k.storage_noise_r),
-        "used": bounds.storage_capacity_mixed(k.storage_noise_r) * k.storage_rate_nu,
+        "h": channel.binary_entropy(c("q"), clib.log2), "h_min": bounds.max_bound_entropy(k.storage_noise_r, clib.log2),
+        "used": bounds.storage_capacity_mixed(k.storage_noise_r, clib.log2) * k.storage_rate_nu,
     })
     df = staged(df, {"key_rate": bounds.key_rate_of(c("h_min"), k.storage_rate_nu, c("h"))})
     df = staged(df, {"expected": security.expected_bits(k.num_pairs, c("key_rate"))})
@@ -378,15 +380,15 @@ def check_structs(df: DataFrame) -> DataFrame:
 
 @query("h29_feasibility_checks", f"SELECT sample_key, check_name, status, round(value, nd) AS value, round(threshold, nd) AS threshold, round(margin, nd) AS margin FROM (SELECT *, CASE check_name WHEN 'batch_size' THEN 4 WHEN 'qber' THEN 13 ELSE 9 END AS nd FROM ({V_CHECK_ROWS}))")
 def h29(spark, sf):
-    df = check_structs(views.samples(spark, sf)).select("sample_key", F.explode("checks").alias("chk"))
+    df = check_structs(views.samples(spark, sf, clib.power)).select("sample_key", F.explode("checks").alias("chk"))
     return df.select(
         "sample_key",
         c("chk.check").alias("check_name"),
         c("chk.status").alias("status"),
         *[
-            F.when(c("chk.check") == "batch_size", F.round(c(f"chk.{x}"), 4))
-            .when(c("chk.check") == "qber", F.round(c(f"chk.{x}"), 13))
-            .otherwise(F.round(c(f"chk.{x}"), 9))
+            F.when(c("chk.check") == "batch_size", clib.round_half(c(f"chk.{x}"), 4))
+            .when(c("chk.check") == "qber", clib.round_half(c(f"chk.{x}"), 13))
+            .otherwise(clib.round_half(c(f"chk.{x}"), 9))
             .alias(x)
             for x in ("value", "threshold", "margin")
         ],
@@ -402,14 +404,14 @@ SELECT sample_key, NOT (
 FROM {V_CHECKS}""")
 def d23(spark, sf):
     # the four checks of a row fold inside the row: no shuffle
-    df = check_structs(views.samples(spark, sf))
+    df = check_structs(views.samples(spark, sf, clib.power))
     count = lambda s: F.size(F.filter("checks", lambda x: x["status"] == s))
     return out(
         df,
         is_feasible=count("failed") == 0,
         warnings=count("warning"),
-        margin=F.round(F.array_min(F.transform("checks", lambda x: x["margin"])), 6),
-        key_rate=c("key_rate"),
+        margin=clib.round_half(F.array_min(F.transform("checks", lambda x: x["margin"])), 6),
+        key_rate=clib.round_half(c("key_rate"), 9),
         min_batch=security.min_batch_of(c("key_rate")),
     )
 
