@@ -105,28 +105,80 @@ def _class_reach(classes: DataFrame) -> DataFrame:
     return among_narrow.unionByName(_wide_reach(classes, counted)).groupBy("cls").agg(F.sum("k").alias("big_count"))
 
 
+PART_ROWS = 1 << 18
+
+
+def _dealt(pairs: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``pairs`` by ``keys`` in parts of about ``PART_ROWS`` rows: what is grouped next takes the same memory in a task whatever the size of the table."""
+    return pairs.repartition(max(1, -(-rows // PART_ROWS)), *keys)
+
+
+def _fresh_pairs(light: DataFrame, others: DataFrame, classes: DataFrame, rows: int) -> DataFrame:
+    """Variables that share a light check and no large one with each variable of ``light``, itself included, from the pairs."""
+    pairs = light.select("check_id", "var_id").join(others.select("check_id", c("var_id").alias("other")), "check_id").select("var_id", "other")
+    pairs = _dealt(pairs, rows, "var_id", "other").distinct()
+    tagged = pairs.join(classes, "var_id", "left").join(classes.select(c("var_id").alias("other"), c("cls").alias("cls2")), "other", "left")
+    fresh = tagged.where(~F.coalesce(F.arrays_overlap("cls", "cls2"), F.lit(False)))
+    return fresh.groupBy("var_id").agg(F.count(F.lit(1)).alias("light_count"))
+
+
+def _repeats(light: DataFrame, rows: int) -> DataFrame:
+    """For each variable, how often its light checks hold a variable again that another of them holds already.
+
+    Two variables with k common checks repeat k - 1 times, and they are the
+    ends of k * (k - 1) / 2 pairs of checks. So pairs are formed of the checks of
+    a variable, and of variables only where two checks share several.
+    """
+    checks = light.select("check_id", "var_id").join(light.select(c("check_id").alias("other"), "var_id"), "var_id").where(c("check_id") < c("other"))
+    shared = _dealt(checks, rows, "check_id", "other").groupBy("check_id", "other").agg(
+        F.count(F.lit(1)).alias("n"), F.min("var_id").alias("low"), F.max("var_id").alias("high")
+    )
+    shared = written(shared.where("n > 1"), "shared")
+    met = shared.where("n = 2").select("low", "high")
+    more = shared.where("n > 2").select("check_id", "other")
+    if not more.isEmpty():
+        held = written(checks.join(more, ["check_id", "other"]).select("check_id", "other", c("var_id").alias("low")), "shared-members")
+        again = held.select("check_id", "other", c("low").alias("high"))
+        met = met.unionByName(held.join(again, ["check_id", "other"]).where(c("low") < c("high")).select("low", "high"))
+    per = met.groupBy("low", "high").agg(F.count(F.lit(1)).alias("m")).withColumn("again", F.round((F.sqrt(1 + 8 * c("m")) - 1) / 2).cast("bigint"))
+    ends = per.select(c("low").alias("var_id"), "again").unionByName(per.select(c("high").alias("var_id"), "again"))
+    return ends.groupBy("var_id").agg(F.sum("again").alias("again"))
+
+
+def _light_counts(light: DataFrame, classes: DataFrame) -> DataFrame:
+    """Variables met through light checks only, itself included, by whichever side forms fewer pairs."""
+    reach = written(light.groupBy("var_id").agg(F.count(F.lit(1)).alias("n"), F.sum("degree").alias("members")), "light-reach")
+    of_members, of_checks = (x or 0 for x in reach.agg(F.sum("members"), F.sum(c("n") * (c("n") - 1) / 2).cast("bigint")).first())
+    if 2 * of_checks >= of_members:
+        return _fresh_pairs(light, light, classes, of_members)
+    free = reach.join(classes.select("var_id"), "var_id", "left_anti").join(_repeats(light, of_checks), "var_id", "left")
+    counts = free.select("var_id", (c("members") - c("n") + 1 - F.coalesce("again", F.lit(0))).alias("light_count"))
+    if classes.isEmpty():
+        return counts
+    return counts.unionByName(_fresh_pairs(light.join(classes.select("var_id"), "var_id"), light, classes, of_members))
+
+
 def two_hop_sizes(edges: DataFrame, heavy: int = HEAVY) -> DataFrame:
-    """Number of distinct variables within two hops of each variable, itself included.
-
-    Checks of at most ``heavy`` members meet pairwise: that multiplies an
-    edge by at most ``heavy``. The members of larger checks are never
-    paired. Variables that lie in the same set of large checks form one
-    class; how many variables a class reaches is counted by inclusion and
-    exclusion over the subsets of its checks, so classes that share a check
-    don't meet. Classes of more than ``WIDE`` large checks reach the union of
-    their checks' bitmaps. Light pairs already reached through a large check are left
-    out, so the two counts add up exactly.
+    """Number of distinct variables within two hops of each variable, itself included, from distinct edges.
+
+    Checks of more than ``heavy`` members are never paired. Variables that
+    lie in the same set of large checks form one class; how many variables a
+    class reaches is counted by inclusion and exclusion over the subsets of its
+    checks, so classes that share a check don't meet. Classes of more than
+    ``WIDE`` large checks reach the union of their checks' bitmaps.
+
+    Through light checks a variable meets all their members, less those it
+    meets again: these follow from pairs of its checks. Where variables have many
+    checks, members of light checks meet pairwise instead; that multiplies an
+    edge by at most ``heavy``. Light pairs already reached through a large
+    check are left out, so the two counts add up exactly.
     """
     sized = written(attach(edges, degrees(edges, "check_id"), ["check_id"], ["var_id"]), "sized-edges")
-    light = sized.where(c("degree") <= heavy).select("check_id", "var_id")
     big = sized.where(c("degree") > heavy)
     classes = big.groupBy("var_id").agg(F.array_sort(F.collect_set("check_id")).alias("cls"))
     classes = written(classes, "var-classes")
     through_big = _class_reach(classes)
-    pairs = light.join(light.select("check_id", c("var_id").alias("other")), "check_id").select("var_id", "other").distinct()
-    tagged = pairs.join(classes, "var_id", "left").join(classes.select(c("var_id").alias("other"), c("cls").alias("cls2")), "other", "left")
-    fresh = tagged.where(~F.coalesce(F.arrays_overlap("cls", "cls2"), F.lit(False)))
-    light_count = fresh.groupBy("var_id").agg(F.count(F.lit(1)).alias("light_count"))
+    light_count = _light_counts(sized.where(c("degree") <= heavy), classes)
     every = sized.select("var_id").distinct()
     joined = every.join(light_count, "var_id", "left").join(classes.join(through_big, "cls").select("var_id", "big_count"), "var_id", "left")
     zero = F.lit(0)
@@ -180,37 +232,46 @@ def first_by(df: DataFrame, rank: str, tie: str, target: int) -> DataFrame:
     return whole.select(*df.columns).unionByName(cut.select(*df.columns))
 
 
+def _placed(priority: DataFrame, rank: str) -> DataFrame:
+    """(var_id, rank, place): the place of each variable in the order of (rank, var_id), from the histogram of ranks."""
+    hist = written(priority.groupBy(rank).agg(F.count(F.lit(1)).alias("_k")), "ranks")
+    before = running(equi_depth(hist, rank)(hist), [], rank, {"_before": ("sum", c("_k"))}, bucket=c("_b"), inclusive=False).select(rank, "_before")
+    inside = positions(priority.select("var_id", rank), [rank], "var_id", out="_inner")
+    return attach(inside, before, [rank], ["var_id"]).select("var_id", c(rank).alias("rank"), (c("_before") + c("_inner")).alias("place"))
+
+
 def untainted_selection(edges: DataFrame, priority: DataFrame, rank: str, target: int) -> DataFrame:
     """Greedy choice by (rank, var_id), each pick removing its two-hop set, up to ``target`` picks.
 
     The order is fixed beforehand, so all variables that come first in each
     of their checks can be picked in the same round: the result is the same
-    as picking one at a time. A round is linear in the edges; no pairs are
-    formed. The remaining edges are written out each round. It ends as soon as
-    ``target`` picks come before all variables that are left.
+    as picking one at a time. A variable leaves with all its edges, so it is
+    first in each of its checks when it is first in as many as it ever had, and
+    the checks it takes along are those. A round is linear in the edges; no pairs
+    are formed, and variables are told by their place in the order. The
+    remaining edges are written out each round. It ends as soon as ``target``
+    picks come before all variables that are left.
     """
-    place = F.struct(c(rank).alias("rank"), c("var_id").alias("id"))
-    left = cut_lineage(attach(edges, priority.select("var_id", rank), ["var_id"], ["check_id"]).withColumn("place", place).drop(rank))
+    places = written(_placed(priority, rank), "places")
+    left = cut_lineage(attach(edges, places.select("var_id", "place"), ["var_id"], ["check_id"]).select("check_id", "place").distinct())
+    variables = written(left.groupBy("place").agg(F.count(F.lit(1)).alias("degree")), "degrees")
     picks = None
     while True:
         least = left.agg(F.min("place").alias("least")).first()["least"]
         if least is None:
             break
-        if picks is not None:
-            ahead = (c("rank") < F.lit(least["rank"])) | ((c("rank") == F.lit(least["rank"])) & (c("var_id") < F.lit(least["id"])))
-            if picks.where(ahead).count() >= target:
-                break
-        first = left.groupBy("check_id").agg(F.min("place").alias("first"))
-        judged = attach(left, first, ["check_id"], ["var_id"]).groupBy("var_id").agg(
-            F.min(c("place") == c("first")).alias("is_first"), F.first("place").alias("place")
-        )
-        chosen = cut_lineage(judged.where("is_first").select("var_id", c("place.rank").alias("rank")))
+        if picks is not None and picks.where(c("place") < least).count() >= target:
+            break
+        first = written(left.groupBy("check_id").agg(F.min("place").alias("place")), "first")
+        times = first.groupBy("place").agg(F.count(F.lit(1)).alias("degree"))
+        chosen = cut_lineage(times.join(variables, ["place", "degree"]).select("place"))
         picks = chosen if picks is None else picks.unionByName(chosen)
-        gone = reach_two_hops(left.select("check_id", "var_id"), chosen).withColumn("gone", F.lit(True))
-        left = cut_lineage(attach(left, gone, ["var_id"], ["check_id"], "left").where("gone IS NULL").drop("gone"))
+        taken = first.join(chosen, "place").select("check_id")
+        gone = attach(left, taken, ["check_id"], ["place"]).select("place").distinct().withColumn("gone", F.lit(True))
+        left = cut_lineage(attach(left, gone, ["place"], ["check_id"], "left").where("gone IS NULL").drop("gone"))
     if picks is None:
         return priority.where("false").select("var_id", c(rank).alias("rank"))
-    return first_by(picks, "rank", "var_id", target)
+    return first_by(places.join(picks, "place").select("var_id", "rank"), "rank", "var_id", target)
 
 
 def reachable_checks(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:

@@ -69,7 +69,7 @@ view("v_n2", "SELECT a.var_id, count(DISTINCT b.var_id) AS n2_size FROM v_edges
 
 @query("i1_two_hop_size", "SELECT var_id, n2_size FROM v_n2")
 def i1(spark, sf):
-    return graph.two_hop_sizes(views.edges(spark, sf))
+    return graph.two_hop_sizes(written(views.edges(spark, sf), "edges"))
 
 
 view("v_checks", "SELECT e.check_id, e.var_id, v.punctured, count(*) OVER w AS degree, count(*) FILTER (v.punctured) OVER w AS n_punctured FROM v_edges e JOIN v_variables v USING (var_id) WINDOW w AS (PARTITION BY e.check_id)")
@@ -123,7 +123,7 @@ WITH RECURSIVE r(turn, check_id, var_id, rank, picked) AS (
 SELECT var_id, rank FROM r WHERE picked ORDER BY rank, var_id LIMIT (SELECT count(DISTINCT check_id) // 10 FROM v_edges)""")
 def i6(spark, sf):
     # orders play the variables here: they have few edges, so many of them do not touch
-    e = views.edges(spark, sf).select(c("var_id").alias("check_id"), c("check_id").alias("var_id"))
+    e = written(views.edges(spark, sf).select(c("var_id").alias("check_id"), c("check_id").alias("var_id")), "edges")
     sizes = written(graph.two_hop_sizes(e), "two-hop")
     return graph.untainted_selection(e, sizes, "n2_size", sizes.count() // 10)
 

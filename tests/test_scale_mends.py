@@ -107,3 +107,67 @@ def test_entropy_is_not_in_the_loop(spark):
         plan = df.select(loop.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
         top = plan.splitlines()[0]
         assert "noise" not in top[top.index("aggregate("):]
+
+
+def brute_two_hops(edges):
+    by_check, by_var = {}, {}
+    for a, v in edges:
+        by_check.setdefault(a, set()).add(v)
+        by_var.setdefault(v, set()).add(a)
+    return {v: set().union(*(by_check[a] for a in cs)) for v, cs in by_var.items()}
+
+
+@pytest.mark.parametrize("heavy", [3, 9, 128])
+def test_two_hops_from_pairs_of_checks(spark, monkeypatch, heavy):
+    import random
+
+    from pairsieve.operators import graph
+
+    rng = random.Random(heavy)
+    # few checks a variable, many variables a check; some variables share two, three and four checks
+    edges = {(rng.randint(0, 30), v) for v in range(150) for _ in range(rng.randint(1, 3))}
+    edges |= {(a, v) for v in (200, 201, 202) for a in (31, 32, 33)} | {(a, v) for v in (203, 204) for a in (34, 35, 36, 37)} | {(38, 205)}
+    df = spark.createDataFrame(sorted(edges), "check_id bigint, var_id bigint")
+    paired, plain = [], graph._fresh_pairs
+    monkeypatch.setattr(graph, "_fresh_pairs", lambda light, others, classes, rows: paired.append(light) or plain(light, others, classes, rows))
+    near = brute_two_hops(edges)
+    assert {r.var_id: r.n2_size for r in graph.two_hop_sizes(df, heavy).collect()} == {v: len(x) for v, x in near.items()}
+    in_large = {v for a, v in edges if sum(x == a for x, _ in edges) > heavy}
+    if heavy > 3:  # members of light checks are paired for those only that lie in a large check as well
+        assert all({r.var_id for r in light.select("var_id").distinct().collect()} <= in_large for light in paired)
+        assert bool(paired) == bool(in_large)
+
+
+def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    from pairsieve.operators import graph
+
+    monkeypatch.setattr(graph, "PART_ROWS", 100)
+    # two checks of 40 variables: 3,200 pairs
+    df = spark.createDataFrame([(a, v) for a in (1, 2) for v in range(40)], "check_id bigint, var_id bigint")
+    seen, plain = [], graph._dealt
+    monkeypatch.setattr(graph, "_dealt", lambda pairs, rows, *keys: seen.append(plain(pairs, rows, *keys)) or seen[-1])
+    assert {r.n2_size for r in graph.two_hop_sizes(df).collect()} == {40}
+    assert {r.n2_size for r in graph.two_hop_sizes(df.select(df.check_id.alias("var_id"), df.var_id.alias("check_id"))).collect()} == {2}
+    for pairs in seen:
+        # pairs of variables, and of checks in the other graph
+        assert pairs.rdd.getNumPartitions() >= pairs.count() // 100
+
+
+def test_greedy_choice_in_rounds(spark):
+    import random
+
+    from pairsieve.operators import graph
+
+    rng = random.Random(5)
+    edges = {(rng.randint(0, 60), v) for v in range(200) for _ in range(rng.randint(1, 3))}
+    df = spark.createDataFrame(sorted(edges) + sorted(edges)[:20], "check_id bigint, var_id bigint")  # a repeated edge counts once
+    near = brute_two_hops(edges)
+    ranks = {v: rng.randint(0, 4) for v in near}
+    left, want = set(near), []
+    while left:
+        want.append(min(left, key=lambda v: (ranks[v], v)))
+        left -= near[want[-1]]
+    table = spark.createDataFrame(list(ranks.items()), "var_id bigint, score bigint")
+    for target in (0, 1, 7, 1_000):
+        got = graph.untainted_selection(df, table, "score", target).collect()
+        assert sorted((r.rank, r.var_id) for r in got) == [(ranks[v], v) for v in want[:target]]
