@@ -105,17 +105,22 @@ def _class_reach(classes: DataFrame) -> DataFrame:
     return among_narrow.unionByName(_wide_reach(classes, counted)).groupBy("cls").agg(F.sum("k").alias("big_count"))
 
 
-PART_ROWS = 1 << 18
+PART_ROWS = 1 << 20
 
 
 def _dealt(pairs: DataFrame, rows: int, *keys: str) -> DataFrame:
-    """``pairs`` by ``keys`` in parts of about ``PART_ROWS`` rows: what is grouped next takes the same memory in a task whatever the size of the table."""
+    """Rows by ``keys`` in as many parts as ``rows`` pairs fill with about ``PART_ROWS`` each.
+
+    Rows that will be joined to pairs are dealt so too: then what a task joins,
+    sends on or groups takes the same memory whatever the size of the table.
+    """
     return pairs.repartition(max(1, -(-rows // PART_ROWS)), *keys)
 
 
 def _fresh_pairs(light: DataFrame, others: DataFrame, classes: DataFrame, rows: int) -> DataFrame:
     """Variables that share a light check and no large one with each variable of ``light``, itself included, from the pairs."""
-    pairs = light.select("check_id", "var_id").join(others.select("check_id", c("var_id").alias("other")), "check_id").select("var_id", "other")
+    own, other = light.select("check_id", "var_id"), others.select("check_id", c("var_id").alias("other"))
+    pairs = _dealt(own, rows, "check_id").join(_dealt(other, rows, "check_id"), "check_id").select("var_id", "other")
     pairs = _dealt(pairs, rows, "var_id", "other").distinct()
     tagged = pairs.join(classes, "var_id", "left").join(classes.select(c("var_id").alias("other"), c("cls").alias("cls2")), "other", "left")
     fresh = tagged.where(~F.coalesce(F.arrays_overlap("cls", "cls2"), F.lit(False)))
@@ -129,7 +134,8 @@ def _repeats(light: DataFrame, rows: int) -> DataFrame:
     ends of k * (k - 1) / 2 pairs of checks. So pairs are formed of the checks of
     a variable, and of variables only where two checks share several.
     """
-    checks = light.select("check_id", "var_id").join(light.select(c("check_id").alias("other"), "var_id"), "var_id").where(c("check_id") < c("other"))
+    own, other = light.select("check_id", "var_id"), light.select(c("check_id").alias("other"), "var_id")
+    checks = _dealt(own, rows, "var_id").join(_dealt(other, rows, "var_id"), "var_id").where(c("check_id") < c("other"))
     shared = _dealt(checks, rows, "check_id", "other").groupBy("check_id", "other").agg(
         F.count(F.lit(1)).alias("n"), F.min("var_id").alias("low"), F.max("var_id").alias("high")
     )
@@ -148,8 +154,9 @@ def _repeats(light: DataFrame, rows: int) -> DataFrame:
 def _light_counts(light: DataFrame, classes: DataFrame) -> DataFrame:
     """Variables met through light checks only, itself included, by whichever side forms fewer pairs."""
     reach = written(light.groupBy("var_id").agg(F.count(F.lit(1)).alias("n"), F.sum("degree").alias("members")), "light-reach")
-    of_members, of_checks = (x or 0 for x in reach.agg(F.sum("members"), F.sum(c("n") * (c("n") - 1) / 2).cast("bigint")).first())
-    if 2 * of_checks >= of_members:
+    pairs = (c("n") * (c("n") - 1) / 2).cast("bigint")
+    of_members, of_checks, most = (x or 0 for x in reach.agg(F.sum("members"), F.sum(pairs), F.max(pairs)).first())
+    if 2 * of_checks >= of_members or most > PART_ROWS:  # the checks of one variable are paired in one task
         return _fresh_pairs(light, light, classes, of_members)
     free = reach.join(classes.select("var_id"), "var_id", "left_anti").join(_repeats(light, of_checks), "var_id", "left")
     counts = free.select("var_id", (c("members") - c("n") + 1 - F.coalesce("again", F.lit(0))).alias("light_count"))
