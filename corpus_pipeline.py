@@ -12,6 +12,9 @@ each result as Parquet in the shared folder and reads it back for the next.
 4. personal_data: spans are replaced by their kind in brackets; n_chars follows.
 5. packing: pieces of training sequences.
 
+Texts go to Python in batches of ``BATCH_ROWS`` rows; the session keeps that
+setting, as the results are computed by whoever reads or writes them.
+
 Nulls, empty texts, repeated rows, empty tables and further columns: as stated
 by each operator. Stages 1 to 4 return the columns of their input.
 """
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairsieve.llm import decontam, minhash, packing, pii, quality
-from pairsieve.llm.common import read, written
+from pairsieve.llm.common import few_rows_a_batch, read, written
 from pairsieve.llm.idfilter import without_ids
 
 VOCABULARY = "word_bpe_49k.json"
@@ -34,6 +37,7 @@ ORACLE_SQL = None
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose quality score reaches the threshold."""
+    few_rows_a_batch(spark)
     labels = read(spark, sf_dir, "labels")
     model = quality.learn(quality.sample_statistics(docs, labels), labels)
     return quality.good_rows(docs, model)
@@ -41,6 +45,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies."""
+    few_rows_a_batch(spark)
     judged = written(minhash.judged(docs), "near-duplicates")
     again = judged.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND doc_id IS NOT NULL")
     if again.isEmpty():
@@ -55,6 +60,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no benchmark item."""
+    few_rows_a_batch(spark)
     found = decontam.contaminated(docs, read(spark, sf_dir, "benchmark"))
     return without_ids(docs, written(found.select("doc_id").distinct(), "leaks"))
 
@@ -69,6 +75,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences."""
+    few_rows_a_batch(spark)
     return packing.pack(docs, public_tokenizers.path(VOCABULARY))
 
 

@@ -42,6 +42,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocab_size = self.tokenizer.get_vocab_size()
+        self.kind = np.uint16 if max(self.tokenizer.get_vocab().values(), default=0) < 1 << 16 else np.uint32
         self.model = self.tokenizer.model
         self.bytes_as_letters = ByteLevel(add_prefix_space=False, use_regex=False)
         self.by_model = all(self._by_model(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in PROBES)
@@ -50,7 +51,7 @@ class WordEncoder:
 
     def _clear(self) -> None:
         self.slots = _Slots()
-        self.ids = np.zeros(1 << 16, dtype=np.uint32)
+        self.ids = np.zeros(1 << 16, dtype=self.kind)
         self.starts = np.zeros(1 << 14, dtype=np.int64)
         self.lengths = np.zeros(1 << 14, dtype=np.int64)
         self.n_ids = 0
@@ -95,8 +96,8 @@ class WordEncoder:
         n = np.array(list(map(len, ids)), dtype=np.int64)
         total = int(n.sum())
         if self.n_ids + total > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.zeros(max(total, len(self.ids)), dtype=np.uint32)))
-        self.ids[self.n_ids : self.n_ids + total] = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=total)
+            self.ids = np.concatenate((self.ids, np.zeros(max(total, len(self.ids)), dtype=self.kind)))
+        self.ids[self.n_ids : self.n_ids + total] = np.fromiter(chain.from_iterable(ids), dtype=self.kind, count=total)
         self.lengths[first:stop] = n
         self.starts[first:stop] = self.n_ids + np.cumsum(n) - n
         self.n_ids += total
@@ -127,7 +128,7 @@ class WordEncoder:
         lengths = self.lengths[at]
         ends = np.cumsum(lengths)
         total = int(ends[-1])
-        out = self.ids[np.arange(total) + np.repeat(self.starts[at] - (ends - lengths), lengths)]
+        out = self.ids[np.arange(total) + np.repeat(self.starts[at] - (ends - lengths), lengths)].astype(np.uint32)
         if fresh:
             slots.fresh = []
             if slots.free > self.cache_words:  # full: these words stay outside, and when as many have passed, it starts anew

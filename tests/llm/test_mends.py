@@ -1,7 +1,10 @@
+import numpy as np
+import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 import public_tokenizers
-from pairsieve.llm import minhash, pii, shared_files, token_files, tokens
+from pairsieve.llm import common, minhash, pii, shared_files, token_files, tokens
 from pairsieve.session import scratch_path
 
 SCHEMA = "doc_id long, text string"
@@ -44,3 +47,28 @@ def test_letters_by_the_model():
     assert coder.by_model
     for text in ("plain words", "ciónñ ÀÉ straße µm ª º", "I'm don't", "a,b. c..", "İstanbul ſ ﬁ 中文 é", "x1y2 \t tab", "ends. here,"):
         assert coder.encode(text).tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_workers_keep_little(spark):
+    text = b"some words of a very long text " * 150_000
+    before = common._POWERS["n"]
+    sums = common.prefix_hashes(np.frombuffer(text, dtype=np.uint8))
+    at = np.array([0, 31, len(text) - 31])
+    assert len(set(common.range_hashes(sums, at, at + 30).tolist())) == 1
+    assert common._POWERS["n"] <= max(before, common.KEPT_POWERS)
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * 1000] * 5000})
+    pieces = list(common.rows_at_a_time([batch]))
+    assert sum(p.num_rows for p in pieces) == 5000 and max(p.num_rows for p in pieces) <= 1050
+    coder = tokens.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert coder.encode("words").dtype == np.uint32 and coder.ids.itemsize == 2
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    before = spark.conf.get(common.BATCH_KEY)
+    try:
+        for asked, want in (("10000", str(common.BATCH_ROWS)), ("0", str(common.BATCH_ROWS)), ("50", "50")):
+            spark.conf.set(common.BATCH_KEY, asked)
+            corpus_pipeline.pack(spark, spark.createDataFrame([(1, "a b")], SCHEMA), "")
+            assert spark.conf.get(common.BATCH_KEY) == want
+    finally:
+        spark.conf.set(common.BATCH_KEY, before)
