@@ -19,17 +19,32 @@ c = F.col
 SALTS = 4  # per-node tables are about as large as the edges, so they are repeated less often
 
 
-def attach(big: DataFrame, per_key: DataFrame, keys: list[str], spread: list[str], how: str = "inner") -> DataFrame:
-    return skew.attach(big, per_key, keys, spread, how, SALTS)
+def attach(big: DataFrame, per_key: DataFrame, keys: list[str], spread: list[str], how: str = "inner", rows: int | None = None) -> DataFrame:
+    return skew.attach(big, per_key, keys, spread, how, SALTS, rows)
 
 
-def with_bits(edges: DataFrame, bits: DataFrame) -> DataFrame:
-    return attach(edges, bits.select("var_id", "bit"), ["var_id"], ["check_id"])
+HOT_PARTS = 16
+
+
+def _folded(df: DataFrame, rows: int, key: str, other: str, first: list[Column], then: list[Column]) -> DataFrame:
+    """Aggregates per ``key``, in tasks of a bounded number of rows: ``first`` over each of the key's HOT_PARTS parts, cut by ``other``, and ``then`` over these."""
+    parted = df.withColumn("_part", F.pmod(F.xxhash64(other), F.lit(HOT_PARTS)))
+    per = skew.in_parts(parted, rows, key, "_part").groupBy(key, "_part").agg(*first)
+    return skew.in_parts(per, rows, key).groupBy(key).agg(*then)
+
+
+def with_bits(edges: DataFrame, bits: DataFrame, rows: int | None = None) -> DataFrame:
+    return attach(edges, bits.select("var_id", "bit"), ["var_id"], ["check_id"], rows=rows)
+
+
+# these count the edges first, to deal them out: write the edges where they are costly to compute
 
 
 def syndrome(edges: DataFrame, bits: DataFrame) -> DataFrame:
-    """Parity of the member bits per check; xor combines map-side."""
-    return with_bits(edges, bits).groupBy("check_id").agg(F.bit_xor("bit").alias("parity"))
+    """Parity of the member bits per check."""
+    rows = edges.count()
+    xor = F.bit_xor("bit").alias("bit")
+    return _folded(with_bits(edges, bits, rows), rows, "check_id", "var_id", [xor], [xor]).withColumnRenamed("bit", "parity")
 
 
 def mismatches(edges: DataFrame, bits: DataFrame, target: DataFrame) -> DataFrame:
@@ -50,8 +65,10 @@ def degree_stats(edges: DataFrame) -> DataFrame:
 
 def reliability(edges: DataFrame, failing: DataFrame) -> DataFrame:
     """Failing checks per variable and 1 - failing / largest variable degree."""
-    flagged = attach(edges, failing.withColumn("bad", F.lit(1)), ["check_id"], ["var_id"], "left")
-    per = flagged.groupBy("var_id").agg(F.count("bad").alias("n_failing"), F.count(F.lit(1)).alias("degree"))
+    rows = edges.count()
+    flagged = attach(edges, failing.withColumn("bad", F.lit(1)), ["check_id"], ["var_id"], "left", rows)
+    first = [F.count("bad").alias("n_failing"), F.count(F.lit(1)).alias("degree")]
+    per = written(_folded(flagged, rows, "var_id", "check_id", first, [F.sum(n).alias(n) for n in ("n_failing", "degree")]), "reliability")
     top = per.agg(F.greatest(F.max("degree"), F.lit(1)).alias("top")).first()["top"] or 1
     return per.select("var_id", "n_failing", (1 - c("n_failing") / F.lit(top)).alias("reliability"))
 
@@ -194,9 +211,11 @@ def two_hop_sizes(edges: DataFrame, heavy: int = HEAVY) -> DataFrame:
 
 def check_counts(edges: DataFrame, punctured: DataFrame) -> DataFrame:
     """Edges with the degree and punctured count of their check, and the variable's own flag."""
-    flagged = attach(edges, punctured.select("var_id", "punctured"), ["var_id"], ["check_id"])
-    per = flagged.groupBy("check_id").agg(F.count(F.lit(1)).alias("degree"), F.count_if("punctured").alias("n_punctured"))
-    return attach(flagged, per, ["check_id"], ["var_id"])
+    rows = edges.count()
+    flagged = attach(edges, punctured.select("var_id", "punctured"), ["var_id"], ["check_id"], rows=rows)
+    first = [F.count(F.lit(1)).alias("degree"), F.count_if("punctured").alias("n_punctured")]
+    per = _folded(flagged, rows, "check_id", "var_id", first, [F.sum(n).alias(n) for n in ("degree", "n_punctured")])
+    return attach(flagged, per, ["check_id"], ["var_id"], rows=rows)
 
 
 def extrinsic_score(edges: DataFrame, punctured: DataFrame) -> DataFrame:

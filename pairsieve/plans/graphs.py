@@ -28,21 +28,25 @@ def c12(spark, sf):
 
 @query("d9_parity_syndrome", "SELECT check_id, CAST(parity AS BIGINT) AS parity FROM v_syndrome")
 def d9(spark, sf):
-    return tidy(graph.syndrome(views.edges(spark, sf), views.variables(spark, sf)))
+    return tidy(_syndrome(spark, sf))
 
 
-def _target(spark, sf) -> DataFrame:
-    s = graph.syndrome(views.edges(spark, sf), views.variables(spark, sf))
-    return s.select("check_id", F.when(views.byte_of("flip", c("check_id")) < 20, 1 - c("parity")).otherwise(c("parity")).alias("target"))
+def _edges(spark, sf) -> DataFrame:
+    return written(views.edges(spark, sf), "edges")
+
 
+def _syndrome(spark, sf) -> DataFrame:
+    return graph.syndrome(_edges(spark, sf), views.variables(spark, sf))
 
-def _failing(spark, sf) -> DataFrame:
-    return graph.mismatches(views.edges(spark, sf), views.variables(spark, sf), _target(spark, sf))
+
+def _target(s: DataFrame) -> DataFrame:
+    return s.select("check_id", F.when(views.byte_of("flip", c("check_id")) < 20, 1 - c("parity")).otherwise(c("parity")).alias("target"))
 
 
 @query("d10_syndrome_mismatches", "SELECT count(*) AS n_checks, count(*) FILTER (parity <> target) AS n_failing FROM v_syndrome JOIN v_target USING (check_id)")
 def d10(spark, sf):
-    both = graph.syndrome(views.edges(spark, sf), views.variables(spark, sf)).join(_target(spark, sf), "check_id")
+    s = _syndrome(spark, sf)
+    both = s.join(_target(s), "check_id")
     return both.agg(F.count(F.lit(1)).alias("n_checks"), F.count_if(c("parity") != c("target")).alias("n_failing"))
 
 
@@ -50,7 +54,8 @@ def d10(spark, sf):
 SELECT var_id, n_failing, round(1 - n_failing / max(degree) OVER ()::DOUBLE, 9) AS reliability FROM (
  SELECT var_id, count(*) FILTER (parity <> target) AS n_failing, count(*) AS degree FROM v_edges JOIN v_syndrome USING (check_id) JOIN v_target USING (check_id) GROUP BY 1)""".replace("max(degree) OVER ()::DOUBLE", "CAST(max(degree) OVER () AS DOUBLE)"))
 def d11(spark, sf):
-    return tidy(graph.reliability(views.edges(spark, sf), _failing(spark, sf)))
+    edges, bits = _edges(spark, sf), views.variables(spark, sf)
+    return tidy(graph.reliability(edges, graph.mismatches(edges, bits, _target(graph.syndrome(edges, bits)))))
 
 
 @query("d12_degree_stats", "SELECT sum(d)::BIGINT AS n_edges, count(*) AS n_vars, max(d) AS max_degree, round(avg(d), 9) AS mean_degree FROM (SELECT var_id, count(*) AS d FROM v_edges GROUP BY 1)")
@@ -78,7 +83,7 @@ view("v_checks", "SELECT e.check_id, e.var_id, v.punctured, count(*) OVER w AS d
 @query("i2_extrinsic_score", """
 SELECT var_id, round(coalesce(min(CASE WHEN degree > 1 THEN (degree - n_punctured - (NOT punctured)::INT) / (degree - 1)::DOUBLE END), 0), 9) AS score FROM v_checks GROUP BY 1""")
 def i2(spark, sf):
-    return tidy(graph.extrinsic_score(views.edges(spark, sf), views.variables(spark, sf)))
+    return tidy(graph.extrinsic_score(_edges(spark, sf), views.variables(spark, sf)))
 
 
 view("v_excess", """
@@ -95,12 +100,12 @@ def i3(spark, sf):
 SELECT var_id FROM (SELECT e.var_id, max(v.few) OVER (PARTITION BY e.check_id) AS hit FROM v_edges e JOIN (SELECT p_partkey AS var_id, ({o.byte_of('few', 'p_partkey')} < 1)::INT AS few FROM part) v USING (var_id)) GROUP BY 1 HAVING max(hit) = 0""")
 def i4(spark, sf):
     few = views.variables(spark, sf).select("var_id", (views.byte_of("few", c("var_id")) < 1).alias("punctured"))
-    return graph.untainted(views.edges(spark, sf), few)
+    return graph.untainted(_edges(spark, sf), few)
 
 
 @query("i5_dead_checks", "SELECT var_id, count(*) FILTER (NOT punctured AND degree - n_punctured = 1) AS n_dead FROM v_checks GROUP BY 1")
 def i5(spark, sf):
-    return graph.dead_checks(views.edges(spark, sf), views.variables(spark, sf))
+    return graph.dead_checks(_edges(spark, sf), views.variables(spark, sf))
 
 
 view("v_order_size", """
