@@ -50,7 +50,7 @@ def test_letters_by_the_model():
 
 
 def test_workers_keep_little(spark):
-    text = b"some words of a very long text " * 150_000
+    text = b"some words of a very long text " * 200_000
     before = common._POWERS["n"]
     sums = common.prefix_hashes(np.frombuffer(text, dtype=np.uint8))
     at = np.array([0, 31, len(text) - 31])
