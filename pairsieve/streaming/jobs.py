@@ -7,7 +7,6 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.automaton import states_along, transition
 from ..operators.ledger import entry_bits, whole_bits
 from ..operators.ordered import previous, running
 from ..operators.skew import attach
@@ -224,19 +223,20 @@ def link_violations(rows: DataFrame, carried: DataFrame) -> tuple[DataFrame, Dat
     an allowed type, and not be sent before the last one is acknowledged; an
     acknowledgement must name the last message, once.
 
-    Whether a message waits is a state with two values: a message sets it, the
-    right acknowledgement clears it, all else leaves it.
+    Whether a message waits is told by the last row that settles it: a message
+    sets it, the right acknowledgement clears it, all else leaves it.
     """
     rows = rows.withColumn("own", c("session_id").eqNullSafe(c("link_session")))
     sent = c("own") & ~c("is_ack")
     last = F.when(sent, F.struct("n", "seq", "msg_type"))
     seen = running(rows, ["link_id"], "n", {"last": ("max", last)}, inclusive=False)
-    before = carried.select("link_id", F.struct("n", "seq", "msg_type").alias("_before"))
+    before = carried.select("link_id", F.struct("n", "seq", "msg_type").alias("_before"), c("state").alias("_state"))
     seen = attach(seen, before, ["link_id"], ["n"], "left").withColumn("last", F.coalesce("last", "_before")).drop("_before")
     right = c("own") & c("is_ack") & F.coalesce((c("ack_seq") == c("last.seq")) & (c("ack_type") == c("last.msg_type")), F.lit(False))
     seen = cut_lineage(seen.withColumn("right", right))
-    table = F.when(sent, transition(WAITING, WAITING)).when(c("right"), transition(IDLE, IDLE)).otherwise(transition(IDLE, WAITING))
-    judged, ends = states_along(seen, ["link_id"], "n", table, carried.select("link_id", "state"))
+    settles = F.when(sent, F.struct("n", F.lit(WAITING).alias("state"))).when(c("right"), F.struct("n", F.lit(IDLE).alias("state")))
+    judged = running(seen, ["link_id"], "n", {"settled": ("max", settles)}, inclusive=False)
+    judged = judged.withColumn("state", F.coalesce("settled.state", "_state", F.lit(IDLE)))
     kind = (
         F.when(~c("own"), "session_mismatch")
         .when(c("is_ack"), F.when(~c("right") | (c("state") == IDLE), "ack_mismatch"))
@@ -245,9 +245,9 @@ def link_violations(rows: DataFrame, carried: DataFrame) -> tuple[DataFrame, Dat
         .when(c("state") == WAITING, "not_acknowledged")
     )
     out = judged.select("link_id", "n", kind.alias("violation")).where("violation IS NOT NULL")
-    newest = rows.where(sent).groupBy("link_id").agg(F.max(F.struct("n", "seq", "msg_type")).alias("new"))
-    after = ends.join(newest, "link_id", "left").join(before, "link_id", "left").withColumn("r", F.coalesce("new", "_before"))
-    return out, after.select("link_id", "r.n", "r.seq", "r.msg_type", "state")
+    ends = seen.groupBy("link_id").agg(F.max(last).alias("new"), F.max(settles).alias("settled"))
+    after = ends.join(before, "link_id", "left").withColumn("r", F.coalesce("new", "_before"))
+    return out, after.select("link_id", "r.n", "r.seq", "r.msg_type", F.coalesce("settled.state", "_state", F.lit(IDLE)).alias("state"))
 
 
 def link_check(rows: DataFrame, wait: str) -> DataFrame:

@@ -118,3 +118,24 @@ def test_links_like_one_walk(spark, seed):
 
 def test_stream_without_rows(spark):
     assert jobs.link_check(files(spark, LINK, [[]]), "1 hour").count() == 0
+
+
+def test_rows_wait_without_python(spark):
+    stream = held.held(files(spark, "session_id bigint, n bigint", [[(1, 1, 0)]]), ["session_id", "n"], "1 hour")
+    plan = stream._jdf.queryExecution().logical().toString()
+    assert "Aggregate" in plan and "PySpark" not in plan and "Python" not in plan
+
+
+def test_released_rows_are_judged_with_adaptive_execution(spark):
+    modes, seen = [], []
+
+    def step(rows, carried):
+        modes.append(rows.sparkSession.conf.get("spark.sql.adaptive.enabled"))
+        seen.append(rows.count())
+        return rows.select("k"), rows.groupBy("k").count().select("k", "count")
+
+    rows = [(1, 0), (1, 0), (2, 5)]  # equal rows stay two
+    stream = held.held(files(spark, "k bigint", [rows, [(3, 200)]]), ["k"], "1 hour", buckets=2)
+    got = held.drain_released(stream, "test-adaptive", ["k"], "k bigint, count bigint", "k bigint", step)
+    assert sorted(r.k for r in got.collect()) == [1, 1, 2]
+    assert seen == [3] and modes == ["true"]
