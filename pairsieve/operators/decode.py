@@ -64,12 +64,18 @@ def sum_product(code: Code, llr: np.ndarray, target: np.ndarray, bound: np.ndarr
     at = code.check_at
     for iteration in range(1, max_iterations + 1):
         t = np.tanh(q / 2)
-        zero, negative = t == 0, t < 0
+        zero, negative = t == 0, (t < 0).view(np.int8)
         logs = np.log(np.abs(t), out=np.zeros_like(t), where=~zero)
-        total, zeros, signs = (np.add.reduceat(x, code.check_starts, axis=1, dtype=d)[:, at] for x, d in ((logs, float), (zero, np.int32), (negative, np.int32)))
-        size = np.minimum(np.exp(total - logs), CLIP)
-        odd = (signs - negative + target[open_][:, at]) % 2
-        r = np.where((zeros - zero > 0) | ~bound[open_][:, at], 0.0, np.where(odd == 1, -1.0, 1.0) * np.log((1 + size) / (1 - size)))
+        size = np.minimum(np.exp(np.add.reduceat(logs, code.check_starts, axis=1).take(at, axis=1) - logs), CLIP)
+        odd = (np.bitwise_xor.reduceat(negative, code.check_starts, axis=1) ^ target[open_]).take(at, axis=1) ^ negative
+        r = np.log((1 + size) / (1 - size))
+        np.negative(r, out=r, where=odd == 1)
+        silent = ~bound[open_].take(at, axis=1) if not bound[open_].all() else None
+        if zero.any():
+            others = np.add.reduceat(zero, code.check_starts, axis=1, dtype=np.int32).take(at, axis=1) - zero > 0
+            silent = others if silent is None else silent | others
+        if silent is not None:
+            r[silent] = 0.0
         belief = llr[open_] + np.add.reduceat(r[:, code.by_var], code.var_starts, axis=1)
         bit = (belief < 0).astype(np.int8)
         parity = np.bitwise_xor.reduceat(bit[:, code.var_at], code.check_starts, axis=1)
@@ -102,6 +108,20 @@ def ladder(
     return bits, used, failing, attempts
 
 
+def bound_ladder(code: Code, llr: np.ndarray, target: np.ndarray, bound: np.ndarray, *settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``ladder`` on the checks that bind any of the frames; the others send 0 and are never wrong, so the result is the same."""
+    met = bound.any(axis=0)
+    if met.all():
+        return ladder(code, llr, target, bound, *settings)
+    bits, n = (llr < 0).astype(np.int8), len(llr)
+    if not met.any():
+        return bits, np.ones(n, dtype=np.int64), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    kept = met[code.check_at]
+    part = Code.of(np.column_stack([code.check_at[kept], code.var_at[kept]]))  # places of the whole code as ids
+    bits[:, part.variables], *rest = ladder(part, llr[:, part.variables], target[:, part.checks], bound[:, part.checks], *settings)
+    return bits, *rest
+
+
 def packed_code(edges: DataFrame) -> Code | None:
     """The graph as arrays, or None where it has more than ``MAX_EDGES`` edges."""
     distinct = cut_lineage(edges.select(c("check_id").cast("long"), c("var_id").cast("long")).distinct())
@@ -155,16 +175,27 @@ def decode_frames(
         out[row[known], at[known]] = value[known]
         return out
 
+    def most(graph: Code, sizes: np.ndarray) -> int:
+        """How many of the next frames, by ascending number of targets, keep within ``BATCH_EDGES`` edges."""
+        edges = np.minimum(sizes, len(graph.checks)) * (len(graph.check_at) / len(graph.checks))
+        fit = np.arange(1, len(sizes) + 1) * np.maximum(edges, len(graph.variables) / 4) <= BATCH_EDGES
+        return max(1, int(fit.sum()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph = shared.value
-        step = max(1, BATCH_EDGES // len(graph.check_at))
         for batch in batches:
-            for start in range(0, batch.num_rows, step):
-                rows = batch.slice(start, step)
+            # short frames bind few checks: frames of like size go together, more of them at once
+            sizes = np.diff(batch.column("target").offsets.to_numpy())
+            order = np.argsort(sizes, kind="stable")
+            start = 0
+            while start < batch.num_rows:
+                step = most(graph, sizes[order[start:]])
+                rows = batch.take(pa.array(order[start : start + step]))
+                start += step
                 values = dense(rows.column("llr"), graph.variables, missing)
                 goal = dense(rows.column("target"), graph.checks, -1)
                 bound = goal >= 0
-                bits, used, failing, attempts = ladder(graph, values, np.where(bound, goal, 0).astype(np.int8), bound, max_iterations, retries, damping_step, iteration_scale)
+                bits, used, failing, attempts = bound_ladder(graph, values, np.where(bound, goal, 0).astype(np.int8), bound, max_iterations, retries, damping_step, iteration_scale)
                 offsets = pa.array(np.arange(len(bits) + 1) * bits.shape[1], pa.int32())
                 columns = [pa.ListArray.from_arrays(offsets, pa.array(bits.ravel(), pa.int8())), pa.array(failing == 0), *[pa.array(x, pa.int64()) for x in (used, attempts, failing)]]
                 yield pa.RecordBatch.from_arrays([*[rows.column(k) for k in keys], *columns], [*keys, "bits", "converged", "iterations", "attempt", "n_failing"])

@@ -127,3 +127,27 @@ def test_regular_code(spark):
     assert len(set(edges)) == 300 and len({c for c, _ in edges}) == 51
     per = [sum(1 for c, _ in edges if c == k) for k in {c for c, _ in edges}]
     assert max(per) == 6 and sum(p < 6 for p in per) == 3
+
+
+def test_short_frames_are_decoded_on_their_own_checks(monkeypatch):
+    rng = np.random.default_rng(5)
+    code = decode.Code.of(np.column_stack([np.repeat(np.arange(60), 6), np.concatenate([rng.permutation(120) for _ in range(3)])]))
+    n, length = 12, 30
+    llr = np.full((n, 120), decode.LLR_LIMIT)
+    llr[:, :length] = rng.choice([-2.0, 2.0], (n, length))
+    bits = (rng.random((n, 120)) < 0.5) & (np.arange(120) < length)
+    target = np.stack([np.bitwise_xor.reduceat(b[code.var_at].astype(np.int8), code.check_starts) for b in bits])
+    bound = np.zeros((n, len(code.checks)), dtype=bool)
+    bound[:, np.unique(code.check_at[code.var_at < length])[:25]] = True
+    bound[0] = False
+    settings = (20, 2, 0.15, 0.5)
+    want = decode.ladder(code, llr, target, bound, *settings)
+    widths, plain = [], decode.sum_product
+    monkeypatch.setattr(decode, "sum_product", lambda part, *a: (widths.append(len(part.check_at)), plain(part, *a))[1])
+    got = decode.bound_ladder(code, llr, target, bound, *settings)
+    for a, b in zip(got, want, strict=True):
+        assert (a == b).all()
+    assert max(widths) < len(code.check_at) / 2
+    nothing = np.zeros_like(bound)
+    for a, b in zip(decode.bound_ladder(code, llr, target, nothing, *settings), decode.ladder(code, llr, target, nothing, *settings), strict=True):
+        assert (a == b).all()
