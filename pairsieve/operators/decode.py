@@ -143,10 +143,13 @@ def packed_frames(llr: DataFrame, target: DataFrame, keys: list[str]) -> DataFra
 
 def decode_frames(
     edges: DataFrame, llr: DataFrame, target: DataFrame, max_iterations: int = ITERATIONS, retries: int = RETRIES, damping_step: float = DAMPING_STEP,
-    iteration_scale: float = ITERATION_SCALE, keys: list[str] | None = None, missing: float = 0.0,
+    iteration_scale: float = ITERATION_SCALE, keys: list[str] | None = None, missing: float = 0.0, whole: bool = True,
 ) -> DataFrame:
     """One row per frame of ``llr``: ``bits`` by ascending var_id, converged, iterations, attempt, n_failing.
 
+    ``bits`` has all variables of the code or, without ``whole``, those up to
+    the last one that has a value in the frame.
+
     A variable without value in a frame has ``missing`` (0: punctured; a large
     value: known to be 0); a check without target doesn't bind that frame.
     Null ids and values count as absent. The code must be within ``MAX_EDGES``.
@@ -175,6 +178,15 @@ def decode_frames(
         out[row[known], at[known]] = value[known]
         return out
 
+    def reach(lists: pa.ListArray, ids: np.ndarray) -> np.ndarray:
+        """How many variables of the code there are up to each frame's last one."""
+        items = lists.flatten()
+        row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        good = items.field("id").is_valid().to_numpy(zero_copy_only=False) & items.field("value").is_valid().to_numpy(zero_copy_only=False)
+        out = np.zeros(len(lists), dtype=np.int64)
+        np.maximum.at(out, row[good], np.searchsorted(ids, items.field("id").fill_null(0).to_numpy()[good], side="right"))
+        return out
+
     def most(graph: Code, sizes: np.ndarray) -> int:
         """How many of the next frames, by ascending number of targets, keep within ``BATCH_EDGES`` edges."""
         edges = np.minimum(sizes, len(graph.checks)) * (len(graph.check_at) / len(graph.checks))
@@ -196,8 +208,9 @@ def decode_frames(
                 goal = dense(rows.column("target"), graph.checks, -1)
                 bound = goal >= 0
                 bits, used, failing, attempts = bound_ladder(graph, values, np.where(bound, goal, 0).astype(np.int8), bound, max_iterations, retries, damping_step, iteration_scale)
-                offsets = pa.array(np.arange(len(bits) + 1) * bits.shape[1], pa.int32())
-                columns = [pa.ListArray.from_arrays(offsets, pa.array(bits.ravel(), pa.int8())), pa.array(failing == 0), *[pa.array(x, pa.int64()) for x in (used, attempts, failing)]]
+                width = np.full(len(bits), bits.shape[1]) if whole else reach(rows.column("llr"), graph.variables)
+                offsets = pa.array(np.append(0, np.cumsum(width)), pa.int32())
+                columns = [pa.ListArray.from_arrays(offsets, pa.array(bits[np.arange(bits.shape[1]) < width[:, None]], pa.int8())), pa.array(failing == 0), *[pa.array(x, pa.int64()) for x in (used, attempts, failing)]]
                 yield pa.RecordBatch.from_arrays([*[rows.column(k) for k in keys], *columns], [*keys, "bits", "converged", "iterations", "attempt", "n_failing"])
 
     return frames.where(F.size("llr") > 0).mapInArrow(run, schema)

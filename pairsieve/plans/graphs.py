@@ -203,14 +203,15 @@ def decoded_frames(spark, sf, check_degree: int) -> tuple[DataFrame, DataFrame,
     edges = written(decode.regular_code(spark, rates.FRAME, 3, check_degree), "code")
     target = decode.frame_syndromes(edges, frames.select(*FRAME_KEYS, "var_id", c("a_bit").alias("bit")), FRAME_KEYS)
     llr = frames.select(*FRAME_KEYS, "var_id", bits.channel_llr(c("b_bit"), F.lit(views.NOISE_OF_256 / 256), F.lit(False)).alias("llr"))
-    found = decode.decode_frames(edges, llr, target, keys=FRAME_KEYS, missing=decode.LLR_LIMIT)
+    found = decode.decode_frames(edges, llr, target, keys=FRAME_KEYS, missing=decode.LLR_LIMIT, whole=False)
     return frames, edges, written(found, "decoded")
 
 
 def frame_errors(frames: DataFrame, edges: DataFrame, found: DataFrame) -> DataFrame:
     """Per frame: errors before and after decoding, ones, and the checks whose parity is off, recounted from the rows."""
+    # bits take a byte each here and far less in files, by which the optimizer would have the driver collect and broadcast them
     # the code's variables are the places in a frame
-    both = frames.join(found.select(*FRAME_KEYS, "bits"), FRAME_KEYS).withColumn("bit", F.element_at("bits", (c("var_id") + 1).cast("int")).cast("int")).drop("bits")
+    both = frames.join(found.select(*FRAME_KEYS, "bits").hint("merge"), FRAME_KEYS).withColumn("bit", F.element_at("bits", (c("var_id") + 1).cast("int")).cast("int")).drop("bits")
     per = both.groupBy(*FRAME_KEYS).agg(
         F.count(F.lit(1)).alias("n_bits"), F.sum("bit").alias("ones"), F.count_if(c("a_bit") != c("b_bit")).alias("errors_before"), F.count_if(c("a_bit") != c("bit")).alias("errors_after")
     )
@@ -218,7 +219,7 @@ def frame_errors(frames: DataFrame, edges: DataFrame, found: DataFrame) -> DataF
         F.bit_xor("a_bit").alias("a"), F.bit_xor("b_bit").alias("b"), F.bit_xor("bit").alias("x")
     )
     off = parities.groupBy(*FRAME_KEYS).agg(F.count(F.lit(1)).alias("n_checks"), F.count_if(c("a") != c("b")).alias("off_before"), F.count_if(c("a") != c("x")).alias("off_after"))
-    return per.join(off, FRAME_KEYS).join(found.drop("bits"), FRAME_KEYS)
+    return per.join(off, FRAME_KEYS).join(found.drop("bits").hint("merge"), FRAME_KEYS)
 
 
 # at the error rate of these tables a code of rate 1/2 corrects every frame, so the corrected bits are those of the other party

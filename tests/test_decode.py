@@ -151,3 +151,28 @@ def test_short_frames_are_decoded_on_their_own_checks(monkeypatch):
     nothing = np.zeros_like(bound)
     for a, b in zip(decode.bound_ladder(code, llr, target, nothing, *settings), decode.ladder(code, llr, target, nothing, *settings), strict=True):
         assert (a == b).all()
+
+
+def test_bits_end_with_the_frame(spark):
+    edges, llr, target = frames_for(spark, 4)
+    short = llr.where("frame_id > 2 OR var_id < 7 + 11 * frame_id")
+    want = {r.frame_id: r for r in decode.decode_frames(edges, short, target, 5, missing=30.0).collect()}
+    got = {r.frame_id: r for r in decode.decode_frames(edges, short, target, 5, missing=30.0, whole=False).collect()}
+    assert {f: len(r.bits) for f, r in got.items()} == {0: 7, 1: 18, 2: 29, 3: 60, 4: 60, 5: 60}
+    for f, r in got.items():
+        assert list(r.bits) == list(want[f].bits)[: len(r.bits)] and r[2:] == want[f][2:]
+
+
+def test_decoded_bits_are_not_broadcast(spark):
+    from pairsieve.plans import graphs
+    from pairsieve.session import written
+
+    n = 300  # short frames: a few bytes each in the file
+    frames = written(spark.range(n * 10).selectExpr(f"id % {n} AS session_id", "id * 0 AS block_id", f"id div {n} AS var_id", "cast(id % 2 AS int) AS a_bit", "cast(id % 2 AS int) AS b_bit"), "frames")
+    edges = written(spark.range(10).selectExpr("id div 5 AS check_id", "id AS var_id"), "code")
+    found = written(frames.select("session_id", "block_id").distinct().selectExpr("*", "array_repeat(cast(0 AS tinyint), 4096) AS bits", "true AS converged", "1L AS iterations", "0L AS attempt", "0L AS n_failing"), "decoded")
+    got = graphs.frame_errors(frames, edges, found)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    sides = [part.split("FileScan", 1)[1].split("\n")[0] if "FileScan" in part else part for part in plan.split("BroadcastExchange")[1:]]
+    assert not any("bits" in side or "n_failing" in side for side in sides)
+    assert got.count() == n
