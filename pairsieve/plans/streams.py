@@ -33,7 +33,7 @@ def in_epochs(spark, df: DataFrame, label: str, late_minutes: int = LATE) -> Dat
     at = F.unix_micros(c("ts").cast("timestamp")) - F.lit(first or 0)
     part = F.floor(at / step)
     late = ((part + 1) * step - at <= late_minutes * 60_000_000) & (F.pmod(F.xxhash64(*[c(n) for n in df.columns]), F.lit(2)) == 0)
-    cut = written(df.withColumn("_part", F.least(part + late.cast("int"), F.lit(EPOCHS - 1))), "epochs")
+    cut = written(df.withColumn("_part", F.least(part + late.cast("int"), F.lit(EPOCHS - 1))), "epochs", by="_part")
     return base.file_epochs(cut, "_part", EPOCHS, path)
 
 
@@ -201,7 +201,7 @@ def k10(spark, sf):
 def k11(spark, sf):
     r = store.conform(views.results(spark, sf)).withColumn("ts", F.timestamp_seconds(1_704_067_200 + c("num_pairs") % 1000))
     path, target = scratch_path(spark, "arrivals"), store.new_store(spark, "ingest")
-    cut = written(r.withColumn("_part", F.pmod(F.xxhash64("sample_key"), F.lit(EPOCHS))), "arrivals")
+    cut = written(r.withColumn("_part", F.pmod(F.xxhash64("sample_key"), F.lit(EPOCHS))), "arrivals", by="_part")
     again = cut.where("outcome = 'success'").withColumn("_part", F.lit(EPOCHS))  # some evaluations arrive twice
     jobs.ingest_results(base.file_epochs(cut.unionByName(again), "_part", EPOCHS + 1, path), target)
     return store.read_results(spark, target).groupBy("phase", "outcome").agg(F.count(F.lit(1)).alias("n"))

@@ -12,7 +12,7 @@ from ..operators.ordered import previous, running
 from ..operators.skew import attach
 from ..session import cut_lineage
 from ..sources import store
-from .base import drain_with_carry
+from .base import drain_with_carry, run_on_disk
 from .held import drain_released, held
 
 c = F.col
@@ -257,7 +257,7 @@ def link_check(rows: DataFrame, wait: str) -> DataFrame:
 
 
 def ingest_results(stream: DataFrame, path: str, key: str = "sample_key") -> None:
-    """Append completed evaluations to the results store, each key once."""
+    """Append completed evaluations to the results store, each key once; the keys of a day wait on disk."""
     once = stream.withWatermark("ts", "1 day").dropDuplicatesWithinWatermark([key])
 
     def write(batch: DataFrame, epoch: int) -> None:
@@ -265,5 +265,5 @@ def ingest_results(stream: DataFrame, path: str, key: str = "sample_key") -> Non
         store.conform(batch).write.mode("overwrite").partitionBy("phase").parquet(f"{path}/epoch={epoch}")
 
     query = once.writeStream.option("checkpointLocation", path + "-state").trigger(availableNow=True)
-    query.foreachBatch(write).start().awaitTermination()
+    run_on_disk(stream.sparkSession, query.foreachBatch(write))
 

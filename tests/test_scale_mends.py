@@ -171,3 +171,26 @@ def test_greedy_choice_in_rounds(spark):
     for target in (0, 1, 7, 1_000):
         got = graph.untainted_selection(df, table, "score", target).collect()
         assert sorted((r.rank, r.var_id) for r in got) == [(ranks[v], v) for v in want[:target]]
+
+
+def test_known_keys_are_kept_on_disk(spark):
+    from pyspark.sql import functions as F
+
+    from pairsieve.session import scratch_path, written
+    from pairsieve.sources import store
+    from pairsieve.streaming import base, jobs
+
+    rows = store.conform(spark.range(90).selectExpr("id AS sample_id", *[f"cast(null AS {f.dataType.simpleString()}) AS {f.name}" for f in store.RESULT_SCHEMA if f.name not in ("sample_key", "phase")], "if(id % 2 = 0, 'a', 'b') AS phase"))
+    rows = rows.withColumn("ts", F.timestamp_seconds(F.lit(1_704_067_200)))
+    # each row in two of three epochs, some twice in one
+    cut = rows.withColumn("part", F.pmod(F.xxhash64("sample_key"), F.lit(3))).unionByName(rows.withColumn("part", F.lit(2).cast("long")))
+    cut = written(cut, "cut", by="part")
+    assert "PartitionFilters: [isnotnull(part" in cut.where("part = 1")._jdf.queryExecution().executedPlan().toString()
+    path, before = store.new_store(spark, "test"), spark.conf.get(base.STATE_STORE)
+    jobs.ingest_results(base.file_epochs(cut, "part", 3, scratch_path(spark, "test-arrivals")), path)
+    assert spark.conf.get(base.STATE_STORE) == before
+    got = [r.sample_key for r in store.read_results(spark, path).collect()]
+    assert len(got) == 90 and set(got) == {r.sample_key for r in rows.collect()}
+    assert all("RocksDB" in r.value for r in spark.read.text(path + "-state/offsets").where("value LIKE '%providerClass%'").collect())
+    kept = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path + "-state/state").select("path").collect()
+    assert any(r.path.endswith(".zip") for r in kept) and not any(r.path.endswith(".delta") for r in kept)
