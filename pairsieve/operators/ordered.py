@@ -34,8 +34,12 @@ def bucket_of(order: str, width: int = WIDTH) -> Column:
 
 def prefix_digits(df: DataFrame) -> int:
     """Hex digits with which a prefix holds about WIDTH rows, from the optimizer's size estimate (no job)."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    prefixes = max(1, size // ROW_BYTES // WIDTH)
+    return digits_for(int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // ROW_BYTES)
+
+
+def digits_for(rows: int) -> int:
+    """The same for a known number of rows."""
+    prefixes = max(1, rows // WIDTH)
     return min(MOST_DIGITS, max(LEAST_DIGITS, -(-(prefixes.bit_length() - 1) // 4)))
 
 

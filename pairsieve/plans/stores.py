@@ -45,7 +45,7 @@ def arrivals(spark, sf) -> DataFrame:
     """Results as a stream of four epochs."""
     r = store.conform(views.results(spark, sf))
     path = scratch_path(spark, "buffer")
-    cut = written(r.withColumn("_part", F.pmod(F.xxhash64("sample_key"), F.lit(4))), "arrivals")
+    cut = written(r.withColumn("_part", F.pmod(F.xxhash64("sample_key"), F.lit(4))), "arrivals", by="_part")
     return base.file_epochs(cut, "_part", 4, path)
 
 

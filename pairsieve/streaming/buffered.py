@@ -4,6 +4,9 @@ Rows of an epoch join what the epochs before left over; whole files are
 written, the rest is carried on. An epoch owns its folders (rows, remainder,
 log) and reads those of the epoch before, so a repeated epoch writes the same
 again and changes nothing else. ``close`` writes the last, shorter file.
+
+A batch is read three times (its number of rows, the files, the remainder), which is
+cheap for files; a stream that is costly to compute should be persisted before.
 """
 
 from __future__ import annotations
@@ -11,10 +14,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ordered import positions, prefix_digits, prefix_of
+from ..operators.ordered import digits_for, positions, prefix_of
 from ..session import scratch_path
 
 c = F.col
+PART_ROWS = 1 << 17  # rows of the files that one task writes
+# On a local disk Hadoop starts a process for each file it makes and one for its checksum file; Parquet's pages have checksums
+# of their own. Other file systems are not touched by this.
+PLAIN_LOCAL = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 LOG = "epoch bigint, n_rows bigint, n_files bigint, left_over bigint"
 
 
@@ -30,21 +37,25 @@ class BufferedAppend:
     def write(self, batch: DataFrame, epoch: int) -> None:
         """For ``foreachBatch``."""
         spark = batch.sparkSession
-        rows = self._left_over(spark, epoch - 1).unionByName(batch.select(*self.schema.names)).persist()
-        try:
-            n = rows.count()
-            files, names = n // self.file_rows, self.schema.names
-            placed = positions(rows, [], self.order, out="_place", start=0, bucket=prefix_of(self.order, prefix_digits(rows)))
-            placed = placed.withColumn("_file", F.floor(c("_place") / self.file_rows))
-            if files:
-                # a task holds whole files only, in order, so the writer cuts them where they end
-                whole = placed.where(c("_file") < files).repartitionByRange(files, "_file").sortWithinPartitions("_file")
-                whole.select(*names).write.option("maxRecordsPerFile", self.file_rows).mode("overwrite").parquet(f"{self.path}/rows/epoch={epoch}")
-            placed.where(c("_file") >= files).select(*names).write.mode("overwrite").parquet(f"{self.path}/left/epoch={epoch}")
-            entry = spark.createDataFrame([(epoch, n, files, n - files * self.file_rows)], LOG)
-            entry.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/log/epoch={epoch}")
-        finally:
-            rows.unpersist()
+        names = self.schema.names
+        rows = self._left_over(spark, epoch - 1).unionByName(batch.select(*names))
+        n = rows.count()
+        files = n // self.file_rows
+        over = n - files * self.file_rows
+        if files:
+            placed = positions(rows, [], self.order, out="_place", start=0, bucket=prefix_of(self.order, digits_for(n)))
+            # a task holds whole files only, in order, so the writer cuts them where they end; a task's files have a folder
+            # of their own, which the commit moves as one
+            per_task = max(1, PART_ROWS // self.file_rows)
+            dealt = placed.withColumn("_file", F.floor(c("_place") / self.file_rows)).where(c("_file") < files)
+            dealt = dealt.withColumn("part", F.floor(c("_file") / per_task).cast("int")).repartitionById(-(-files // per_task), "part")
+            whole = dealt.sortWithinPartitions("part", "_file").select(*names, "part")
+            writer = whole.write.options(**PLAIN_LOCAL).option("maxRecordsPerFile", self.file_rows)
+            writer.partitionBy("part").mode("overwrite").parquet(f"{self.path}/rows/epoch={epoch}")
+        # the last rows of the order, fewer than a file's
+        rows.orderBy(c(self.order).desc()).limit(over).write.mode("overwrite").parquet(f"{self.path}/left/epoch={epoch}")
+        entry = spark.createDataFrame([(epoch, n, files, over)], LOG)
+        entry.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/log/epoch={epoch}")
 
     def close(self, spark: SparkSession, last_epoch: int) -> DataFrame:
         """Write what is left and return all rows, with ``file``, the file each is in."""

@@ -194,3 +194,27 @@ def test_known_keys_are_kept_on_disk(spark):
     assert all("RocksDB" in r.value for r in spark.read.text(path + "-state/offsets").where("value LIKE '%providerClass%'").collect())
     kept = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path + "-state/state").select("path").collect()
     assert any(r.path.endswith(".zip") for r in kept) and not any(r.path.endswith(".delta") for r in kept)
+
+
+def test_a_task_writes_many_files(spark, monkeypatch):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from pairsieve.session import scratch_path
+    from pairsieve.streaming import buffered
+
+    monkeypatch.setattr(buffered, "PART_ROWS", 75, raising=False)  # seven files of ten rows
+    df = spark.range(1_003).select(F.md5(F.col("id").cast("string")).alias("k"), "id")
+    sink = buffered.BufferedAppend(scratch_path(spark, "test-parts"), df.schema, "k", 10)
+    sink.write(df, 0)
+    got = sink.close(spark, 0).collect()
+    assert sorted(r.id for r in got) == list(range(1_003))
+    files = {}
+    for r in got:
+        files.setdefault(r.file, []).append(r.k)
+    assert sorted(len(x) for x in files.values()) == [3] + [10] * 100
+    order = sorted(r.k for r in got)
+    assert all(order.index(min(x)) % 10 == 0 and order.index(max(x)) - order.index(min(x)) == len(x) - 1 for x in files.values())
+    tasks = {re.search(r"/part-(\d+)-", f).group(1) for f in files if "epoch=0" in f}
+    assert len(tasks) == 15  # not one for each file
